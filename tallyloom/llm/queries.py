@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import confusables, splitting, tokenizing
+from tallyloom.llm import confusables, leakage, neighbours, splitting, tokenizing
 from tallyloom.sources.tables import table
 
 
@@ -19,12 +19,24 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(both)
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def _embedded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {t: table(spark, d, t, "id", "embedding") for t in ("code_chunks", "rules_chunks", "session_chunks")}
+
+
 QUERIES = {
     "p2_found": lambda spark, d: confusables.look_alike_pairs(_look_forms(spark, d)),
     "p2_classes": lambda spark, d: confusables.look_classes(_look_forms(spark, d)),
+    "p3_found": lambda spark, d: neighbours.nearest_pairs(_embedded(spark, d)),
+    "p3_nearest": lambda spark, d: neighbours.nearest(_embedded(spark, d)),
     "p5_found": lambda spark, d: splitting.hardest_cuts(_split(spark, d)),
     "p5_pieces": lambda spark, d: splitting.piece_rows(_split(spark, d)),
     "p6_ids": lambda spark, d: tokenizing.encode_ids(table(spark, d, "documents", "doc_id", "text")),
+    "p7_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
+    "p7_passages": _leaks,
     "p6_round_trip": lambda spark, d: tokenizing.round_trip(table(spark, d, "documents", "doc_id", "text")),
 }
 
