@@ -1,6 +1,7 @@
 """Cutting lineage so that iterative jobs survive the loss of executors."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,3 +18,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read back: computed once, no lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared checkpoint folder and read back, so that later reads take only some columns."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
