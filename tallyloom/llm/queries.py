@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import confusables, leakage, neighbours, splitting, tokenizing
+from tallyloom.llm import confusables, leakage, neighbours, pairs, residue, splitting, tokenizing
 from tallyloom.sources.tables import table
 
 
@@ -27,7 +27,12 @@ def _embedded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {t: table(spark, d, t, "id", "embedding") for t in ("code_chunks", "rules_chunks", "session_chunks")}
 
 
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.not_content(table(spark, d, "documents", "doc_id", "text"))
+
+
 QUERIES = {
+    "p1_found": lambda spark, d: pairs.defects(table(spark, d, "cache_rows", "key", "prompt", "response")),
     "p2_found": lambda spark, d: confusables.look_alike_pairs(_look_forms(spark, d)),
     "p2_classes": lambda spark, d: confusables.look_classes(_look_forms(spark, d)),
     "p3_found": lambda spark, d: neighbours.nearest_pairs(_embedded(spark, d)),
@@ -37,6 +42,8 @@ QUERIES = {
     "p6_ids": lambda spark, d: tokenizing.encode_ids(table(spark, d, "documents", "doc_id", "text")),
     "p7_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
     "p7_passages": _leaks,
+    "p8_found": lambda spark, d: _residue(spark, d).select("doc_id"),
+    "p8_kinds": _residue,
     "p6_round_trip": lambda spark, d: tokenizing.round_trip(table(spark, d, "documents", "doc_id", "text")),
 }
 
