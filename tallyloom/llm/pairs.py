@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHINGLE = 3
-COPIED = 0.8  # least share of the response's shingles that the prompt has, and of response words in their common subsequence
+LIKE = 0.6  # least share of the response's shingles that the prompt has, for the two to be aligned
+COPIED = 0.8  # least share of response words in their common subsequence
 GIVEN_BACK = 0.6  # least share of the prompt's words in the common subsequence
 ALIGNED = 0.8  # least share of a template's words that a sentence has in order
 
 # Stand-ins for a missing text.
 STAND_INS = r"^(none|null|nil|undefined|nan|n\s?a|empty|no (content|response|answer|output|data|text|result)|not available|missing|keine antwort|kein inhalt|leer|aucune réponse|vide|sin respuesta|vacío|خالی|بدون پاسخ)$"
 # Requests for the very thing that is a defect otherwise.
-WANTS_TRANSLATION = r"(?i)^\W*(please |bitte |por favor,? |s'il (te|vous) plaît,? |لطفا )?(translate|übersetz|tradui|traduc|traduz)|برگردان|ترجمه|\b(translate|render|rewrite) (this|it|the following)?.{0,40}\b(in|into|to) (english|german|french|spanish|persian|farsi)|\b(answer|reply|respond|write) in (english|german|french|spanish|persian|farsi)\b|\b(antworte|schreib\w*) auf (englisch|deutsch|französisch|spanisch|persisch)|\b(réponds?|répondez|écri\w+) en (anglais|allemand|français|espagnol|persan)|\b(responde|contesta|escribe) en (inglés|alemán|francés|español|persa)"
-WANTS_REPETITION = r"(?i)\b(repeat|echo|say it back|copy|quote|recite)\b.{0,60}(line|text|sentence|word|exactly|colon|back|following|as it is|without changes)|\bword for word\b|\bverbatim\b|\bwiederhol\w*\b|\bwortwörtlich\b|\bwort für wort\b|\brép[èé]t\w*\b|\bmot pour mot\b|\brep[ií]t\w*\b|\bpalabra por palabra\b|تکرار کن|کلمه به کلمه|عین همین"
-WANTS_BARE = r"(?i)\b(yes or no|name only|number only|one word|only the (name|number|word|path))\b|\b(ja oder nein|nur (der|die|das|den)? ?(name|zahl|wort|pfad)\w*)\b|\b(oui ou non|(nom|nombre|chiffre) seulement|seulement le (nom|nombre))\b|\b(sí o no|solo (el|la) (nombre|número|cifra)|(nombre|número) solamente)\b|بله یا (خیر|نه)|فقط (نام|عدد)"
+WANTS_TRANSLATION = r"(?iU)^\W*(please |bitte |por favor,? |s'il (te|vous) plaît,? |لطفا )?(translate|übersetz|tradui|traduc|traduz)|برگردان|ترجمه|\b(translate|render|rewrite) (this|it|the following)?.{0,40}\b(in|into|to) (english|german|french|spanish|persian|farsi)|\b(answer|reply|respond|write) in (english|german|french|spanish|persian|farsi)\b|\b(antworte|schreib\w*) auf (englisch|deutsch|französisch|spanisch|persisch)|\b(réponds?|répondez|écri\w+) en (anglais|allemand|français|espagnol|persan)|\b(responde|contesta|escribe) en (inglés|alemán|francés|español|persa)"
+WANTS_REPETITION = r"(?iU)\b(repeat|echo|say it back|copy|quote|recite)\b.{0,60}(line|text|sentence|word|exactly|colon|back|following|as it is|without changes)|\bword for word\b|\bverbatim\b|^\W*wiederhol\w*\b|\bwortwörtlich\b|\bwort für wort\b|^\W*rép[èé]t\w*\b|\bmot pour mot\b|^\W*rep[ií]t\w*\b|\bpalabra por palabra\b|تکرار کن|کلمه به کلمه|عین همین"
+WANTS_BARE = r"(?iU)\b(yes or no|name only|number only|one word|only the (name|number|word|path))\b|\b(ja oder nein|nur (der|die|das|den)? ?(name|zahl|wort|pfad)\w*)\b|\b(oui ou non|(nom|nombre|chiffre) seulement|seulement le (nom|nombre))\b|\b(sí o no|solo (el|la) (nombre|número|cifra)|(nombre|número) solamente)\b|بله یا (خیر|نه)|فقط (نام|عدد)"
 
 # Common short words by language; Persian is told by its script.
 COMMON = {
@@ -38,11 +39,11 @@ i'm sorry but i can't help with | i'm sorry but i am unable to assist with | i'm
 i'm afraid i have to decline | my apologies i can't help with | my apologies i am unable to assist with | my apologies i won't comment on | unfortunately i can't help with | unfortunately i am unable to assist with
 unfortunately i won't comment on | unfortunately i won't be able to answer | for safety reasons i can't help with | for safety reasons i won't comment on | for safety reasons i am unable to assist with
 it isn't possible for me to advise on | i have to decline a discussion of | i cannot assist with this request | i can't assist with that | i must decline to work on | as a language model i am not able to do this
-as an ai i can't do that | sorry this is outside what i may do | i can't comply with this request | i won't provide that | i am not allowed to answer this
-dabei kann ich nicht helfen | diese anfrage darf ich leider nicht beantworten | das kann ich leider nicht tun | als sprachmodell darf ich das nicht | dazu darf ich nichts sagen
-je ne peux pas vous aider sur ce point | je ne peux pas répondre à cette demande | je ne suis pas en mesure de répondre | en tant que modèle de langage je ne peux pas
-lo siento no puedo ayudarte con eso | como modelo de lenguaje no tengo permitido hacerlo | no puedo responder a esta petición | no me está permitido responder
-نمی‌توانم در این مورد کمک کنم | اجازه ندارم به این درخواست پاسخ بدهم | نمی‌توانم به این پرسش پاسخ دهم
+as an ai i can't do that | sorry this is outside what i may do | i can't comply with this request | i won't provide that | that is something i am not permitted to discuss | i'd rather not provide guidance on | my guidelines do not let me respond to this | i am not allowed to answer this
+dabei kann ich nicht helfen | diese anfrage darf ich leider nicht beantworten | das kann ich leider nicht tun | als sprachmodell darf ich das nicht | dazu darf ich nichts sagen | dazu möchte ich mich nicht äußern | als sprachmodell ist es mir nicht möglich das zu tun
+je ne peux pas vous aider sur ce point | je ne peux pas répondre à cette demande | je ne suis pas en mesure de répondre | il m'est impossible de répondre | je ne suis pas autorisé à le faire | en tant que modèle de langage je ne peux pas | je préfère ne pas traiter ce sujet
+lo siento no puedo ayudarte con eso | como modelo de lenguaje no tengo permitido hacerlo | no puedo responder a esta petición | no me está permitido responder | prefiero no tratar ese asunto
+نمی‌توانم در این مورد کمک کنم | اجازه ندارم به این درخواست پاسخ بدهم | نمی‌توانم به این پرسش پاسخ دهم | این کار از توان من بیرون است و آن را انجام نمی‌دهم
 """
 COMPANIONS = """
 sharing details about could be misused | the request touches and i have to stay within my limits | it would not be appropriate for me to comment on | is there something else i can do for you
@@ -53,7 +54,10 @@ eso queda fuera de mis límites | dirígete al equipo responsable por favor | pu
 این بیرون از حد من است | کار دیگری هست که انجام دهم | درباره چیزی نمی‌گویم | لطفاً از گروه مسئول بپرسید | متأسفم
 """
 
-WORD = r"[\p{L}\p{N}]"
+
+def bind(column: Column, use) -> Column:
+    """`use` of a column that is computed once, however often the result names it."""
+    return F.element_at(F.transform(F.array(column), use), 1)
 
 
 def common_length(a: list, b: list) -> int:
@@ -130,10 +134,11 @@ def words(text: Column) -> Column:
 
 
 def containment(prompt: Column, response: Column) -> Column:
-    """Share of the response's distinct shingles (of fewer words if it is shorter) that the prompt has; null without words."""
-    shingles = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
-    mine, theirs = shingles(response), shingles(prompt)
-    return F.when(F.size(response) > 0, F.size(F.array_intersect(mine, theirs)) / F.size(mine))
+    """Share of the response's distinct shingles (of fewer words if it is shorter) that the prompt, said twice, has; null without words."""
+    at = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
+    shingles = lambda words_: bind(words_, lambda w: F.array_distinct(F.transform(at(w), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))))
+    share = lambda both: F.when(both["mine"][0] != "", F.size(F.array_intersect(both["mine"], both["theirs"])) / F.size(both["mine"]))
+    return bind(F.struct(shingles(response).alias("mine"), shingles(F.concat(prompt, prompt)).alias("theirs")), share)
 
 
 def prose(text: Column) -> Column:
@@ -144,18 +149,18 @@ def prose(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """en, de, fr, es, fa, other (another script), or null where there is too little to tell."""
-    p = prose(text)
-    letters = F.length(F.regexp_replace(p, r"\P{L}", ""))
-    arabic = F.length(F.regexp_replace(p, r"[^\p{IsArabic}]", ""))
-    latin = F.length(F.regexp_replace(p, r"[^\p{IsLatin}]", ""))
-    found = F.array_distinct(F.split(F.lower(p), r"[^\p{L}']+"))
-    scored = F.array_sort(F.array(*(F.struct((-F.size(F.array_intersect(found, F.array(*map(F.lit, ws))))).alias("n"), F.lit(lang).alias("lang")) for lang, ws in COMMON.items())))
-    best, second = -scored[0]["n"], -scored[1]["n"]
-    return (
-        F.when((letters >= 8) & (arabic > 0.6 * letters), "fa")
-        .when((letters >= 8) & (latin < 0.4 * letters), "other")
-        .when((best >= 2) & (best > second + F.when(best >= 5, 1).otherwise(0)), scored[0]["lang"])
-    )
+
+    def by_words(p: Column) -> Column:
+        hits = lambda found: F.array_sort(F.array(*(F.struct((-F.size(F.array_intersect(found, F.array(*map(F.lit, ws))))).alias("n"), F.lit(lang).alias("lang")) for lang, ws in COMMON.items())))
+        return bind(bind(F.array_distinct(F.split(F.lower(p), r"[^\p{L}']+")), hits), lambda s: F.when((s[0]["n"] <= -2) & (s[0]["n"] < s[1]["n"]) & ((s[0]["n"] > -5) | (s[0]["n"] < s[1]["n"] - 1)), s[0]["lang"]))
+
+    def by_script(p: Column) -> Column:
+        size = lambda other: F.length(F.regexp_replace(p, other, ""))
+        counted = F.struct(size(r"\P{L}").alias("letters"), size(r"[^\p{IsArabic}]").alias("arabic"), size(r"[^\p{IsLatin}]").alias("latin"))
+        enough = lambda n: n["letters"] >= 8
+        return bind(counted, lambda n: F.when(enough(n) & (n["arabic"] > 0.6 * n["letters"]), "fa").when(enough(n) & (n["latin"] < 0.4 * n["letters"]), "other").otherwise(by_words(p)))
+
+    return bind(prose(text), by_script)
 
 
 def is_empty(response: Column) -> Column:
@@ -164,37 +169,46 @@ def is_empty(response: Column) -> Column:
     return response.isNull() | (said == "") | said.rlike(STAND_INS)
 
 
+CUT_NOTE = r"(?iU)(?:\[[^\]\n]*\b(?:closed|cut|interrupted|truncated|reached|aborted|lost|ended|stopped|limit)\b[^\]\n]*\]|<(?:max_tokens|eos|cut|truncated|length)>|\bfinish_reason\W+(?:length|max_tokens))$"
+ITEM = r"^([-*+•]|\d+[.)])\s+"
+
+
 def is_truncated(response: Column) -> Column:
-    """Open fences, brackets and quotes of code, a broken table row or list item, or a sentence without its end."""
-    text = F.regexp_replace(response, r"[\s\p{Cf}\x{a0}]+$", "")
+    """Open fences and brackets, a broken table row or list item, a sentence without its end, or a note of the cut.
+
+    A last line that is a path, a name, a label with its value or an item of a list of phrases needs no full stop.
+    """
     count = lambda c, p: F.regexp_count(c, F.lit(p))
-    fences = count(text, r"(?m)^\s*(```|~~~)") % 2 == 1
-    in_code = text.rlike(r"(```|~~~)[\"*_)”]*$")
-    last = F.trim(F.element_at(F.split(text, r"\r\n|\n|\r"), -1))
-    data = text.rlike(r"^\s*[\[{]\s*[\"{\[\d]") | last.rlike(r"^[\[{]\s*[\"{\[]")
-    block = F.when(text.rlike(r"^\s*[\[{]\s*[\"{\[\d]"), text).otherwise(last)
-    unbalanced = (count(block, r"[\[{]") != count(block, r"[\]}]")) | (count(block, r"\"") % 2 == 1)
-    cut_note = text.rlike(r"(?i)\[[^\]\n]*\b(stream|response|output|connection|generation|message|token limit|length)\b[^\]\n]*\]$") & text.rlike(r"(?i)\b(closed|cut|interrupted|truncated|reached|aborted|lost|ended|stopped)\b[^\]\n]*\]$")
-    is_row = last.startswith("|")
-    broken_row = ~last.endswith("|") | (count(last, r"\|") != count(F.regexp_extract(text, r"(?s).*?(?:^|\n)(\|[^\n]*)\n\s*\|[ :|-]+\n", 1), r"\|")) & text.rlike(r"(?m)^\s*\|[ :|-]+$")
-    item = last.rlike(r"^([-*+•]|\d+[.)])\s")
-    inner = F.regexp_replace(F.regexp_replace(last, r"^([-*+•]|\d+[.)])\s+", ""), r"[*_]+$", "")
-    ended = inner.rlike(r"(?:[.!?…؟。！？]|\.\.\.)[\"'”»)*_\]]*$") | inner.rlike(r"[\x{2190}-\x{2bff}\x{1f000}-\x{1faff}]\x{fe0f}?$")
-    hanging = inner.rlike(r"[,;:(\[{–—/=&+-]$|\s-$") | (count(last, "`") % 2 == 1) | ((count(inner, r"\(") > count(inner, r"\)")) & ~ended)
-    cut_path = inner.rlike(r"(^|\s)\w+(/\w+)+\.$")
-    n = F.size(words(inner))
-    dotted_items = text.rlike(r"(?m)^\s*([-*+•]|\d+[.)])\s.*[.!?؟]\s*$")
-    label = inner.rlike(r"^[^.!?]{1,60}[:=] ?\S+$") | inner.rlike(r"^\S*[/_.\d]\S*(,? \S*[/_.\d]\S*)*$") | inner.rlike(r"^`[^`]*`(,? `[^`]*`)*$") | inner.rlike("^[→⇒>]")
-    open_sentence = F.when(item, dotted_items & (n >= 1) & ~inner.rlike(r"^`[^`]*`$")).otherwise(n >= 3)
-    return (
-        F.when(cut_note | fences, True)
-        .when(in_code, False)
-        .when(data, unbalanced)
-        .when(is_row, broken_row)
-        .when(hanging & ~label | cut_path, True)
-        .when(ended | label, False)
-        .otherwise(open_sentence)
-    )
+
+    def whole(text: Column) -> Column:
+        last = F.trim(F.element_at(F.split(text, r"\r\n|\n|\r"), -1))
+        return (
+            F.when(text.rlike(CUT_NOTE) | (count(text, r"(?m)^\s*(```|~~~)") % 2 == 1), True)
+            .when(text.rlike(r"(```|~~~)[\"*_)”]*$"), False)
+            .when(text.rlike(r"^\s*[\[{]\s*[\"{\[\d]"), unbalanced(text))
+            .otherwise(bind(last, lambda line: of_line(text, line)))
+        )
+
+    def unbalanced(c: Column) -> Column:
+        return (count(c, r"[\[{]") != count(c, r"[\]}]")) | (count(c, r"\"") % 2 == 1)
+
+    def of_line(text: Column, last: Column) -> Column:
+        header = F.regexp_extract(text, r"(?s)(?:^|\n)(\|[^\n]*)\n\s*\|[ :|-]+\n", 1)
+        broken_row = ~last.endswith("|") | ((header != "") & (count(last, r"\|") != count(header, r"\|")))
+        inner = F.regexp_replace(F.regexp_replace(last, ITEM, ""), r"[*_]+$", "")
+        return F.when(last.rlike(r"^[\[{]\s*[\"{\[]"), unbalanced(last)).when(last.startswith("|"), broken_row).otherwise(bind(inner, lambda i: of_sentence(text, last, i)))
+
+    def of_sentence(text: Column, last: Column, inner: Column) -> Column:
+        ended = inner.rlike(r"[.!?…؟。！？][\"'”»)*_\]]*$|[\x{2190}-\x{2bff}\x{1f000}-\x{1faff}]\x{fe0f}?$")
+        label = inner.rlike(r"^[^.!?]{1,60}[:=] ?\S+$|^\S*[/_.\d]\S*(,? \S*[/_.\d]\S*)*$|^`[^`]*`(,? `[^`]*`)*$|^[→⇒>]")
+        open_bracket = (count(inner, r"\(") > count(inner, r"\)")) & ~ended
+        hanging = inner.rlike(r"[,;:(\[{–—/=&+-]$") | (count(last, "`") % 2 == 1) | open_bracket
+        cut_path = inner.rlike(r"(^|\s)\w+(/\w+)+\.$")
+        items_end = text.rlike(r"(?m)^\s*([-*+•]|\d+[.)])\s.*[.!?؟]\s*$")
+        unfinished = F.when(last.rlike(ITEM), items_end & ~inner.rlike(r"^`[^`]*`$")).otherwise(F.size(words(inner)) >= 3)
+        return F.when((hanging & ~label) | cut_path, True).when(ended | label, False).otherwise(unfinished)
+
+    return bind(F.regexp_replace(response, r"[\s\p{Cf}\x{a0}]+$", ""), whole)
 
 
 def defects(cache: DataFrame) -> DataFrame:
@@ -213,17 +227,19 @@ def defects(cache: DataFrame) -> DataFrame:
         wants(WANTS_BARE).alias("bare"),
         containment(words(F.col("prompt")), words(F.col("response"))).alias("shared"),
     )
-    like_copy = ~F.col("empty") & ~F.col("given_text") & (F.col("shared") >= COPIED)
+    like_copy = ~F.col("empty") & ~F.col("given_text") & (F.col("shared") >= LIKE)
     copied = copied_udf(F.when(like_copy, F.col("prompt")), F.when(like_copy, F.col("response")))
     refused = refusal_udf(F.when(~F.col("empty"), F.col("response")))
     rows = rows.withColumn("copied", copied).withColumn("refused", refused)
-    asked, answered = language(F.col("prompt")), language(F.col("response"))
+    pair = F.struct(language(F.col("prompt")).alias("asked"), language(F.col("response")).alias("answered"))
+    other_language = bind(pair, lambda p: F.coalesce(p["asked"] != p["answered"], F.lit(False)))
+    # text that was asked for is cut only if what the prompt gave was not
+    cut = is_truncated(F.col("response")) & F.when(F.col("given_text"), ~F.coalesce(is_truncated(F.col("prompt")), F.lit(False))).otherwise(True)
     defect = (
         F.when(F.col("empty"), "empty")
         .when(F.col("copied"), "copied")
         .when(F.col("refused"), "refusal")
-        .when(~F.col("given_text") & ~F.col("bare") & (asked != answered), "wrong_language")
-        .when(~F.col("bare") & ~F.col("given_text") & is_truncated(F.col("response")), "truncated")
-        .when(F.col("given_text") & is_truncated(F.col("response")) & ~is_truncated(F.col("prompt")), "truncated")
+        .when(~F.col("given_text") & ~F.col("bare") & other_language, "wrong_language")
+        .when(~F.col("bare") & cut, "truncated")
     )
     return rows.select("cache_key", defect.alias("defect")).where(F.col("defect").isNotNull()).distinct()
