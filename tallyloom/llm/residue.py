@@ -41,7 +41,7 @@ LOREM = (
 # Cues of filler, in the languages of the corpus.
 FILLER = (
     r"\b(placeholder|dummy|sample|example|demo|filler) (text|copy|content|paragraph|headline|title|description|sentence)s?\b", r"\b(goes?|comes?) (in )?here\b", r"^\(?to be (written|added|filled|replaced|done)",
-    r"\breplace (me|this)\b", r"\b(will be )?replaced later\b", r"\bwrite (a few|some) sentences\b", r"^(add|insert|enter|type) (a |an |the |your |some )?(description|text|title|content|summary|headline)", r"^your (text|content|title) here",
+    r"\breplace (me|this)\b", r"\b(will be )?replaced later\b", r"\bwrite (a few|some) sentences\b", r"^(add|insert|enter|type) (a |an |the |your |some )?(description|text|title|content|summary|headline)", r"^your \w+ (here|to be (written|added|filled))\b",
     r"^(sub)?headline$", r"^body copy\b", r"\b(bla ?){2,}", r"\bfoo bar\b", r"\bplatzhalter\b", r"\b(beispiel|muster|blind|füll)text\b", r"^hier (steht|kommt|folgt) (später|noch|bald)", r"^(wird )?(noch|später) (ersetzt|ergänzt|gefüllt)",
     r"\btexte? d'(exemple|attente)\b", r"\btexte (factice|provisoire)\b", r"^ici (viendra|se trouvera|ira)\b", r"^à (remplacer|compléter|rédiger)", r"\btexto de (ejemplo|relleno|muestra|prueba)\b", r"^aquí (irá|va|vendrá)\b",
     r"^(por|para) (reemplazar|sustituir|completar|rellenar)\b", r"^(reemplazar|sustituir|completar)\b.{0,30}$", r"متن (نمونه|آزمایشی|ساختگی)", r"بعدا?ً? (پر|نوشته|جایگزین|تکمیل) (می|خواهد)", r"(این‌جا|اینجا) .{0,30}(می‌آید|خواهد آمد|قرار می‌گیرد|نوشته می‌شود)", r"^جای (متن|عنوان|توضیح)",
@@ -52,7 +52,7 @@ ERRORS = (
     r"\bauthori[sz]ation required\b", r"\b(internal server|unexpected|fatal|server|unknown|application) error\b", r"\bservice (temporarily )?(is )?unavailable\b", r"\btoo many requests\b", r"\bsession (has )?expired\b", r"\b(sign|log) in again\b",
     r"\bsomething went wrong\b", r"\bcannot be (reached|displayed|found)\b", r"\btemporarily (down|unavailable|out of service)\b", r"\b(down|closed) for maintenance\b|\bunder maintenance\b", r"\btimed out\b", r"\bconnection (was |has been )?(reset|refused|closed|lost|aborted)\b",
     r"\b(please )?try again (in|later|soon|shortly)\b", r"^come back later", r"\bno route matches\b", r"\bthe page you (asked|requested|were looking)", r"\bupstream\b.{0,40}\b(answer|error|unavailable|response|invalid)\b", r"^panic\b", r"^traceback\b", r"^file ‹› ?, line", r"\b\w*(error|exception)$",
-    r"^\w+(error|exception):?\s", r"\berr_\w*#?\w*\b", r"\bretry.after\b", r"\"(error|status|code|detail)\"\s*:", r"^</?error", r"^curl\b", r"^no such \w+$", r"\bchecking your browser\b", r"^(this takes|it takes) a few seconds", r"^just a moment", r"^loading\W*$", r"^oops\b", r"\bdoes not exist\b.{0,20}$",
+    r"^\w+(error|exception):?\s", r"\berr_\w*#?\w*\b", r"\bretry.after\b", r"\"(error|status|code|detail)\"\s*:", r"^</?error", r"^curl\b", r"^no such \w+$", r"\bchecking your browser\b", r"^(this takes|it takes) a few seconds", r"^just a moment", r"^loading\W*$", r"^we are (looking into|working on) it", r"^oops\b", r"\bdoes not exist\b.{0,20}$",
     r"\bcannot connect to\b", r"\b(server|site|page) (could|can|did) ?not (complete|process|handle|respond|load|be)\b", r"\byou (do not|don't) have (permission|access)\b", r"\bwe could not (load|find|open)\b", r"\brender failed\b", r"^gateway closed the stream",
     r"\b(seite|adresse|datei) (wurde )?nicht gefunden\b", r"\bzugriff (wurde )?verweigert\b", r"\binterner (server)?fehler\b", r"\bserverfehler\b", r"\b(dienst|server|seite|service) (ist )?(derzeit |zurzeit |vorübergehend )?nicht (verfügbar|erreichbar)\b", r"\bsitzung (ist )?abgelaufen\b", r"\bserver antwortet nicht\b",
     r"\bzu viele anfragen\b", r"\bversuchen sie es\b", r"\b(adresse|seite)( \w+)? (gibt es|existiert) nicht", r"\bzeitüberschreitung\b", r"\bwartungsarbeiten\b", r"\bbitte (melden|loggen) sie sich\b", r"\betwas ist schief",
@@ -60,7 +60,7 @@ ERRORS = (
     r"\b(adresse|page) n'existe (plus|pas)\b", r"\bdélai (d'attente )?dépassé\b", r"\bmaintenance en cours\b", r"\breconnectez-vous\b",
     r"\bpágina no (encontrada|existe|disponible)\b", r"\bacceso (denegado|prohibido)\b", r"\berror (interno|del servidor|inesperado)\b", r"\bservicio (temporalmente )?no disponible\b", r"\b(la )?sesión (ha )?(expirado|caducado|caducada|expirada)\b", r"\bservidor no responde\b", r"\bdemasiadas (solicitudes|peticiones)\b",
     r"\b(inténtelo|intente|inténtalo|vuelva a intentar)", r"\b(dirección|página) (ya )?no existe\b", r"\btiempo de espera\b", r"\bmantenimiento\b.{0,30}$",
-    r"(صفحه|نشانی|پرونده).{0,25}(پیدا|یافت) نشد", r"(دسترسی|اجازه).{0,15}(رد شد|ندارید|مجاز نیست|ممنوع)", r"خطای (داخلی|سرور|ناشناخته|کارساز)", r"(سرور|کارساز).{0,15}(پاسخ نمی|در دسترس نیست)", r"(نشست|جلسه).{0,20}(منقضی|پایان یافت|به پایان رسید)", r"دوباره (تلاش|امتحان|وارد)", r"(سرویس|خدمت).{0,20}در دسترس نیست", r"درخواست‌?های? (بیش|زیاد)", r"این (صفحه|نشانی) (دیگر )?وجود ندارد",
+    r"(صفحه|نشانی|پرونده).{0,25}(پیدا|یافت) نشد", r"(دسترسی|اجازه).{0,15}(رد شد|ندارید|مجاز نیست|ممنوع)", r"خطای (داخلی|سرور|ناشناخته|کارساز)", r"(سرور|کارساز).{0,15}(پاسخ نمی|در دسترس نیست)", r"(نشست|جلسه).{0,20}(منقضی|پایان یافت|به پایان رسید)", r"دوباره (تلاش|امتحان|وارد)|(دقیقه|لحظه|ثانیه) دیگر (تلاش|امتحان)", r"(سرویس|خدمت).{0,20}در دسترس نیست", r"درخواست‌?های? (بیش|زیاد)", r"این (صفحه|نشانی) (دیگر )?وجود ندارد",
 )
 # Cues of a notice that scripts are needed.
 SCRIPTS = (
@@ -128,10 +128,11 @@ def templates(said: DataFrame) -> DataFrame:
     The least and the largest message of a leaf stand for it, so a hot leaf is combined before it is shuffled. Where the
     two are judged differently the kind is "divided".
     """
-    ends = said.groupBy(leaf(F.col("message")).alias("leaf")).agg(F.min("message").alias("a"), F.max("message").alias("b"), F.count("*").alias("n_messages"))
+    ends = said.groupBy("leaf").agg(F.min("message").alias("a"), F.max("message").alias("b"), F.count("*").alias("n_messages"))
     agreed = F.zip_with(F.split("a", " "), F.split("b", " "), lambda x, y: F.when(x == y, x).otherwise("<*>"))
-    both = ends.withColumn("of_a", verdict(F.col("a"))).withColumn("of_b", verdict(F.col("b")))
-    kind = F.when(F.col("of_a").eqNullSafe(F.col("of_b")), F.col("of_a")).otherwise(F.lit("divided"))
+    both = ends.withColumn("kinds", F.transform(F.array_distinct(F.array("a", "b")), verdict))
+    one = (F.size("kinds") == 1) | F.col("kinds")[0].eqNullSafe(F.get("kinds", F.lit(1)))
+    kind = F.when(one, F.col("kinds")[0]).otherwise(F.lit("divided"))
     return both.select("leaf", F.concat_ws(" ", agreed).alias("template"), kind.alias("kind"), "n_messages")
 
 
@@ -159,10 +160,10 @@ def residue(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts and texts of nothing but furniture, code or signs are none.
     """
-    said = messages(documents.where(F.col("text").isNotNull()))
+    said = stored(messages(documents.where(F.col("text").isNotNull())).withColumn("leaf", leaf(F.col("message"))))
     judged = stored(templates(said).where(F.col("kind").isNotNull()).select("leaf", "kind"))
     few = judged.count() <= BROADCAST_ROWS
-    known = said.withColumn("leaf", leaf(F.col("message"))).join(F.broadcast(judged) if few else judged, "leaf", "left")
+    known = said.join(F.broadcast(judged) if few else judged, "leaf", "left")
     known = known.withColumn("kind", F.when(F.col("kind") == "divided", verdict(F.col("message"))).otherwise(F.col("kind")))
     of = lambda kind: F.max(F.col("kind") == kind)
     whole = known.groupBy("doc_id").agg(F.max(F.col("kind").isNull()).alias("content"), *(F.coalesce(of(k), F.lit(False)).alias(k) for k in ("filler", "error", "script")))
