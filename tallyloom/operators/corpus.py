@@ -1,0 +1,171 @@
+"""Corpus indexing: manifests, upserts, garbage collection, receipts, dates, Markdown chunks and text measures."""
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+UNKNOWN = "unknown"
+LINE_END = r"\r\n|[\n\r]"
+
+
+def manifest(chunks: DataFrame) -> DataFrame:
+    """(repo, path, content_hash): one row per file; the hash is that of its chunks' hashes in id order."""
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("chunk_sha", F.lit("")).alias("sha"))))
+    joined = F.array_join(F.transform(ordered, lambda x: x["sha"]), "")
+    return chunks.where(F.col("path").isNotNull()).groupBy("repo", "path").agg(F.sha2(joined, 256).alias("content_hash"))
+
+
+def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(repo, path, status): added, removed, changed or same for every file of either manifest."""
+    a, b = old.select("repo", "path", F.col("content_hash").alias("old_hash")), new.select("repo", "path", F.col("content_hash").alias("new_hash"))
+    status = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") != F.col("new_hash"), "changed").otherwise("same")
+    return a.join(b, ["repo", "path"], "full_outer").select("repo", "path", status.alias("status"))
+
+
+def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(repo, path, chunk_sha, id, is_new): incoming chunks once per (repo, path, chunk_sha), with the id they already have.
+
+    Equal chunks of a file collapse to the least id. Chunks already stored keep their id, others bring their own.
+    """
+    key = ["repo", "path", "chunk_sha"]
+    once = lambda df, name: df.groupBy(*key).agg(F.min("id").alias(name))
+    joined = once(incoming, "new_id").join(once(stored, "old_id"), key, "left")
+    return joined.select(*key, F.coalesce("old_id", "new_id").alias("id"), F.col("old_id").isNull().alias("is_new"))
+
+
+def stale(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored chunk ids whose (repo, path, chunk_sha) the incoming corpus lacks, with the reason: path_gone or chunk_gone."""
+    gone = stored.join(incoming.select("repo", "path", "chunk_sha").distinct(), ["repo", "path", "chunk_sha"], "left_anti").select("repo", "path", "id")
+    paths = incoming.select("repo", "path", F.lit(True).alias("seen")).distinct()
+    return gone.join(paths, ["repo", "path"], "left").select("id", F.when(F.col("seen"), "chunk_gone").otherwise("path_gone").alias("reason"))
+
+
+def sweep(tables: dict[str, DataFrame]) -> DataFrame:
+    """All collections in one: (collection, id, repo, path, repo_commit)."""
+    parts = [df.select(F.lit(name).alias("collection"), "id", "repo", "path", "repo_commit") for name, df in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def counts(chunks: DataFrame) -> DataFrame:
+    """Chunks, files, chunks of unknown commit and distinct commits per collection and repo."""
+    known = F.when(F.col("repo_commit").isNotNull() & (F.col("repo_commit") != UNKNOWN), F.col("repo_commit"))
+    return chunks.groupBy("collection", "repo").agg(F.count("*").alias("chunks"), F.countDistinct("path").alias("files"), F.count_if(known.isNull()).alias("unknown_commit"), F.countDistinct(known).alias("commits"))
+
+
+def stale_paths(chunks: DataFrame) -> DataFrame:
+    """Files whose chunks do not all have one known commit: (collection, repo, path, chunks, commits)."""
+    commit = F.coalesce("repo_commit", F.lit(UNKNOWN))
+    grouped = chunks.groupBy("collection", "repo", "path").agg(F.count("*").alias("chunks"), F.countDistinct(commit).alias("commits"), F.count_if(commit == UNKNOWN).alias("unknown"))
+    return grouped.where((F.col("commits") > 1) | (F.col("unknown") > 0)).select("collection", "repo", "path", "chunks", "commits")
+
+
+def receipts(chunks: DataFrame) -> DataFrame:
+    """(repo, path, receipt, first_id, last_id, n): 12 hex digits over a file's chunks in id order; a file is what bounds a group."""
+    ordered = F.array_sort(F.collect_list(F.struct("id", "chunk")))
+    text = F.array_join(F.transform(ordered, lambda x: F.coalesce(x["chunk"], F.lit(""))), "")
+    return chunks.groupBy("repo", "path").agg(F.substring(F.sha2(text, 256), 1, 12).alias("receipt"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
+
+
+def session_date(heading: Column, text: Column, path: Column) -> Column:
+    """The first of: a day or month in the heading, a date: field in the text, a day, eight digits or a month in the file name.
+
+    Kept as text, since a month is no date; null where there is none.
+    """
+    name = F.element_at(F.split(path, "/"), -1)
+    take = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    digits = take(name, r"([0-9]{8})")
+    return F.coalesce(
+        take(heading, r"([0-9]{4}-[0-9]{2}-[0-9]{2})"), take(heading, r"([0-9]{4}-[0-9]{2})"), take(text, r"[dD]ate:[ \t\n\r]*[\"']?([0-9]{4}-[0-9]{2}-[0-9]{2})"),
+        take(name, r"([0-9]{4}-[0-9]{2}-[0-9]{2})"), F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2)),
+        take(name, r"([0-9]{4}-[0-9]{2})"),
+    )
+
+
+def measures(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Characters, lines, words, estimated tokens (a third of the characters) and zero-width non-joiners of each text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    lines = F.when(t == "", 0).otherwise(F.size(F.split(t, LINE_END)))
+    return documents.select(
+        key, F.length(t).cast("long").alias("chars"), lines.cast("long").alias("lines"), F.regexp_count(t, F.lit(r"[^ \t\r\n]+")).cast("long").alias("words"),
+        F.floor(F.length(t) / 3).cast("long").alias("est_tokens"), (F.length(t) - F.length(F.replace(t, F.lit("‌")))).cast("long").alias("joiners"),
+    )
+
+
+def script_shares(documents: DataFrame) -> DataFrame:
+    """(lang, documents, arabic, joiners): per declared language, texts with Arabic-script letters and their non-joiners."""
+    t = F.coalesce("text", F.lit(""))
+    joiners = F.length(t) - F.length(F.replace(t, F.lit("‌")))
+    return documents.groupBy(F.lower(F.coalesce("lang", F.lit("(none)"))).alias("lang")).agg(F.count("*").alias("documents"), F.count_if(t.rlike("[؀-ۿ]")).alias("arabic"), F.sum(joiners).cast("long").alias("joiners"))
+
+
+def joiner_losses(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(repo, path, joiners_before, joiners_after) of files, present in both, with fewer zero-width non-joiners after than before."""
+    per_file = lambda df, name: df.groupBy("repo", "path").agg(F.sum(F.length("chunk") - F.length(F.replace("chunk", F.lit("‌")))).cast("long").alias(name))
+    both = per_file(before, "joiners_before").join(per_file(after, "joiners_after"), ["repo", "path"])
+    return both.where(F.col("joiners_after") < F.col("joiners_before"))
+
+
+def markdown_chunks(text: str | None, max_tokens: int = 300, chars_per_token: int = 3) -> list[tuple[str, int, str]]:
+    """(heading, start_line, text): a chunk per heading outside code fences; a chunk above the limit ends at a blank line.
+
+    After such an end the next chunk starts at the number of the blank line. Chunks of only their heading or without any
+    letter or digit are dropped. Tokens are estimated from characters.
+    """
+    chunks: list[tuple[str, int, str]] = []
+    heading, start, held, fenced = "", 1, [], False
+
+    def close() -> None:
+        body = "\n".join(held).strip()
+        if body and body != heading and any(c.isalnum() for c in body):
+            chunks.append((heading, start, body))
+        held.clear()
+
+    for number, line in enumerate((text or "").splitlines(), 1):
+        fenced ^= line.lstrip().startswith("```")
+        marks, space, _ = line.partition(" ")
+        if not fenced and space and marks and not marks.strip("#"):
+            close()
+            heading, start = line.strip(), number
+        elif not line.strip() and len("\n".join(held)) // chars_per_token > max_tokens:
+            close()
+            start = number
+            continue
+        held.append(line)
+    close()
+    return chunks
+
+
+def chunk_documents(documents: DataFrame, max_tokens: int = 300, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, chunk_no, heading, start_line, chunk) of every text; null and empty texts have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, n, *c) for d, t in zip(b["doc_id"], b["text"]) for n, c in enumerate(markdown_chunks(t, max_tokens), 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "heading", "start_line", "chunk"])
+
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, chunk_no int, heading string, start_line int, chunk string")
+
+
+def sections(texts: DataFrame, key: str = "id", text: str = "chunk") -> DataFrame:
+    """(id, line_no, line, heading): the lines of a text outside code fences under the heading seen last; lines before any have none.
+
+    One text is what bounds a window; ids are unique.
+    """
+    rows = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, LINE_END)).alias("at", "line"))
+    order = Window.partitionBy(key).orderBy("at")
+    fence = F.col("line").rlike(r"^[ \t]*```")
+    rows = rows.withColumn("fenced", F.sum(fence.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1).where(~F.col("fenced") & ~fence)
+    mark = F.when(F.col("line").rlike(r"^#+ "), F.trim("line"))
+    return rows.select(key, (F.col("at") + 1).cast("long").alias("line_no"), "line", F.last(mark, ignorenulls=True).over(order).alias("heading"))
+
+
+def within_budget(rows: DataFrame, order: list[Column], size: Column, budget: int) -> DataFrame:
+    """The longest prefix of an already short ranked list whose sizes add up to `budget` at most."""
+    upto = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_upto", upto).where(F.col("_upto") <= budget).drop("_upto")
