@@ -6,11 +6,11 @@ and truncation are column expressions. A request for the very thing (translation
 """
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SHINGLE = 3
 LIKE = 0.6  # least share of the response's shingles that the prompt has, for the two to be aligned
@@ -84,6 +84,77 @@ def _templates(block: str) -> list[list[str]]:
 _REFUSALS, _COMPANIONS = _templates(REFUSALS), _templates(COMPANIONS)
 
 
+def _aligned(sentence: list[str], templates: list[list[str]]) -> bool:
+    has = set(sentence)
+    for t in templates:
+        if len(sentence) <= 2 * len(t) + 8 and sum(w in has for w in t) >= ALIGNED * len(t) and common_length(t, sentence) >= ALIGNED * len(t):
+            return True
+    return False
+
+
+def is_refusal(response: str) -> bool:
+    """Every sentence is one of a refusal or goes with one, and at least one refuses."""
+    sentences = [w for s in re.split(r"(?<=[.!?؟])[\"*_)”»\s]+|\n+", response) if (w := plain_words(s))]
+    refused = False
+    for s in sentences:
+        if _aligned(s, _REFUSALS):
+            refused = True
+        elif not _aligned(s, _COMPANIONS):
+            return False
+    return refused
+
+
+def is_copy(prompt: str, response: str) -> bool:
+    """The response is words of the prompt in order, most of the prompt, once or several times, with nothing of its own after."""
+    a, b = plain_words(prompt), plain_words(response)
+    if len(b) < 3 or not a:
+        return False
+    shared = common_length(a, b)
+    times = max(1, round(len(b) / len(a)))
+    if times > 1:
+        shared = min(common_length(a * times, b) , len(b))
+    last = set(zip(a, a[1:]))
+    answered = len(b) > len(a) * times and not (b[-2], b[-1]) in last
+    return shared >= COPIED * len(b) and shared >= GIVEN_BACK * len(a) and not answered
+
+
+def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds copied, for the pairs whose shingles leave it open, and refused, for all that are not empty."""
+    for b in batches:
+        copied = [bool(like and is_copy(p, r)) for like, p, r in zip(b["like_copy"], b["prompt"], b["response"])]
+        refused = [not empty and is_refusal(r) for empty, r in zip(b["empty"], b["response"])]
+        yield b.assign(copied=copied, refused=refused)
+
+
+def bind(column: Column, use) -> Column:
+    """`use` of a column that is computed once, however often the result names it."""
+    return F.element_at(F.transform(F.array(column), use), 1)
+
+
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, by bits."""
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for y in b:
+        u = v & at.get(y, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+def plain_words(text: str) -> list[str]:
+    return [w for w in ("".join(c for c in t if c.isalnum() or c in "'‌") for t in text.casefold().replace("’", "'").split()) if w]
+
+
+def _templates(block: str) -> list[list[str]]:
+    return [plain_words(t) for line in block.strip().splitlines() for t in line.split("|")]
+
+
+_REFUSALS, _COMPANIONS = _templates(REFUSALS), _templates(COMPANIONS)
+
+
 def _aligned(sentence: list[str], templates: list[list[str]]) -> bool:
     has = set(sentence)
     for t in templates:
@@ -220,17 +291,13 @@ def defects(cache: DataFrame) -> DataFrame:
     """
     rows = cache.select(F.col("key").alias("cache_key"), "prompt", "response").where(F.col("cache_key").isNotNull())
     wants = lambda pattern: F.coalesce(F.col("prompt").rlike(pattern), F.lit(False))
-    rows = rows.select(
-        "*",
-        is_empty(F.col("response")).alias("empty"),
-        (wants(WANTS_TRANSLATION) | wants(WANTS_REPETITION)).alias("given_text"),
-        wants(WANTS_BARE).alias("bare"),
-        containment(words(F.col("prompt")), words(F.col("response"))).alias("shared"),
-    )
-    like_copy = ~F.col("empty") & ~F.col("given_text") & (F.col("shared") >= LIKE)
-    copied = copied_udf(F.when(like_copy, F.col("prompt")), F.when(like_copy, F.col("response")))
-    refused = refusal_udf(F.when(~F.col("empty"), F.col("response")))
-    rows = rows.withColumn("copied", copied).withColumn("refused", refused)
+    empty, given = is_empty(F.col("response")), wants(WANTS_TRANSLATION) | wants(WANTS_REPETITION)
+    shared = containment(words(F.col("prompt")), words(F.col("response")))
+    rows = rows.select("*", empty.alias("empty"), given.alias("given_text"), wants(WANTS_BARE).alias("bare"), shared.alias("shared"))
+    like_copy = F.coalesce(~F.col("empty") & ~F.col("given_text") & (F.col("shared") >= LIKE), F.lit(False))
+    rows = rows.withColumn("like_copy", like_copy).drop("shared")
+    names = "cache_key string, prompt string, response string, empty boolean, given_text boolean, bare boolean, like_copy boolean, copied boolean, refused boolean"
+    rows = rows.mapInPandas(_align, names)
     pair = F.struct(language(F.col("prompt")).alias("asked"), language(F.col("response")).alias("answered"))
     other_language = bind(pair, lambda p: F.coalesce(p["asked"] != p["answered"], F.lit(False)))
     # text that was asked for is cut only if what the prompt gave was not
