@@ -126,79 +126,6 @@ def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(copied=copied, refused=refused)
 
 
-def bind(column: Column, use) -> Column:
-    """`use` of a column that is computed once, however often the result names it."""
-    return F.element_at(F.transform(F.array(column), use), 1)
-
-
-def common_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, by bits."""
-    at: dict = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for y in b:
-        u = v & at.get(y, 0)
-        v = (v + u | v - u) & full
-    return len(a) - v.bit_count()
-
-
-def plain_words(text: str) -> list[str]:
-    return [w for w in ("".join(c for c in t if c.isalnum() or c in "'‌") for t in text.casefold().replace("’", "'").split()) if w]
-
-
-def _templates(block: str) -> list[list[str]]:
-    return [plain_words(t) for line in block.strip().splitlines() for t in line.split("|")]
-
-
-_REFUSALS, _COMPANIONS = _templates(REFUSALS), _templates(COMPANIONS)
-
-
-def _aligned(sentence: list[str], templates: list[list[str]]) -> bool:
-    has = set(sentence)
-    for t in templates:
-        if len(sentence) <= 2 * len(t) + 8 and sum(w in has for w in t) >= ALIGNED * len(t) and common_length(t, sentence) >= ALIGNED * len(t):
-            return True
-    return False
-
-
-def is_refusal(response: str) -> bool:
-    """Every sentence is one of a refusal or goes with one, and at least one refuses."""
-    sentences = [w for s in re.split(r"(?<=[.!?؟])[\"*_)”»\s]+|\n+", response) if (w := plain_words(s))]
-    refused = False
-    for s in sentences:
-        if _aligned(s, _REFUSALS):
-            refused = True
-        elif not _aligned(s, _COMPANIONS):
-            return False
-    return refused
-
-
-def is_copy(prompt: str, response: str) -> bool:
-    """The response is words of the prompt in order, most of the prompt, once or several times, with nothing of its own after."""
-    a, b = plain_words(prompt), plain_words(response)
-    if len(b) < 3 or not a:
-        return False
-    shared = common_length(a, b)
-    times = max(1, round(len(b) / len(a)))
-    if times > 1:
-        shared = min(common_length(a * times, b) , len(b))
-    last = set(zip(a, a[1:]))
-    answered = len(b) > len(a) * times and not (b[-2], b[-1]) in last
-    return shared >= COPIED * len(b) and shared >= GIVEN_BACK * len(a) and not answered
-
-
-@F.pandas_udf(T.BooleanType())
-def copied_udf(prompts: pd.Series, responses: pd.Series) -> pd.Series:
-    return pd.Series([bool(p and r and is_copy(p, r)) for p, r in zip(prompts, responses)], dtype=bool)
-
-
-@F.pandas_udf(T.BooleanType())
-def refusal_udf(responses: pd.Series) -> pd.Series:
-    return pd.Series([bool(r and is_refusal(r)) for r in responses], dtype=bool)
-
-
 def words(text: Column) -> Column:
     """Words as `plain_words` has them, in Spark."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}'\x{200c}\s]", ""), r"\s+"), lambda w: w != "")
