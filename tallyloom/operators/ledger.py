@@ -101,7 +101,7 @@ def report(usage: DataFrame, by: str, since: str | None = None) -> DataFrame:
     """Calls, cache hits, cost, tokens and hit rate per group, and a TOTAL row.
 
     Repeated deliveries count once. `since` (YYYY-MM-DD) keeps calls of that UTC day on; rows without `ts` then leave.
-    hit_rate is cache_tokens / input_tokens in percent, null without input tokens.
+    hit_rate is cache_tokens / input_tokens in percent, null without input tokens. No calls give no rows, not even a total.
     """
     calls = unique_calls(usage.select("event_id", *({by} - {"day"}), "ts", "cached", "cost_usd", "input_tokens", "output_tokens", "cache_tokens") if by != "ts" else usage)
     if since is not None:
