@@ -1,8 +1,8 @@
 """The k most similar vectors of every vector, by NN-descent over a neighbour graph.
 
 Start: centroids are fitted on a bounded sample; every vector goes to the blocks of its two nearest ones, and each block,
-of bounded size, links its members. Descent: links are reversed and kept if better, and neighbours of neighbours are
-joined as candidates; those that a bound rules out are dropped before any vector moves, the others are compared and merged.
+of bounded size, links its members; links count both ways. Descent: neighbours of neighbours are joined as candidates; those
+that a bound rules out are dropped before any vector moves, the others are compared and merged, until little changes.
 Exact copies are one node of the graph and are told apart again at the end.
 
 A vector is usable if it has `dim` finite components, not all zero. It travels packed without loss as bytes: in 8-bit
@@ -25,9 +25,10 @@ BLOCK = 2048  # vectors per centroid
 BLOCK_MAX = 8192  # rows of a block that are compared with each other in one task; larger blocks are divided
 CENTROIDS_MAX = 4096  # of a table; fitted on at most SAMPLE vectors
 SAMPLE = 1 << 16
-ROUNDS = 2
+ROUNDS = 8  # of descent at most; it ends once a round changes less than CHANGED of all the links to the k nearest
+CHANGED = 0.001
 #: A candidate two links away is dropped if even a correlation this high of what the links leave open would not make it one of the k.
-OPEN_CORRELATION = 0.8
+OPEN_CORRELATION = 0.6
 BROADCAST_IDS = 500_000  # ids (16 bytes each) that are sent to every executor; beyond that a shuffle join takes their place
 
 
@@ -91,8 +92,8 @@ def fit_centroids(vectors: DataFrame, dim: int) -> np.ndarray:
     wanted = min(CENTROIDS_MAX, max(1, n // BLOCK))
     share = min(1.0, min(SAMPLE, 64 * wanted) / max(1, n))
     drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else vectors
-    sample = pa.Table.from_batches(drawn.select("embedding").limit(SAMPLE).toArrow().to_batches())["embedding"].combine_chunks()
-    x, _ = _matrix(sample, dim)
+    sample = drawn.select("embedding").limit(SAMPLE).toArrow()["embedding"].combine_chunks()
+    x, _ = _matrix(sample, dim) if len(sample) else (np.zeros((0, dim), dtype=np.float32), None)
     if not len(x):
         return np.zeros((1, dim), dtype=np.float32)
     x = _unit(x)
@@ -107,7 +108,7 @@ def fit_centroids(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def _assign(table: int, centroids: np.ndarray, dim: int):
-    planes = np.random.default_rng(7).standard_normal((dim, 16)).astype(np.float32)
+    planes = np.random.default_rng(7).standard_normal((dim, 32)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,11 +120,12 @@ def _assign(table: int, centroids: np.ndarray, dim: int):
                 second = np.argmax(score, axis=1)
             else:
                 second = np.full(len(x), -1)
-            code = ((x @ planes > 0) @ (1 << np.arange(16))).astype(np.int32)
+            sides = x @ planes > 0 if len(x) else np.zeros((0, 32), bool)
+            codes = [(half @ (1 << np.arange(16))).astype(np.int32) for half in (sides[:, :16], sides[:, 16:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(x), table, np.int32)), batch.column("id").take(pa.array(at)).cast(pa.int64()), pa.array(pack(x), pa.binary()),
-                 pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), pa.array(code)],
-                ["t", "id", "v", "first", "second", "code"],
+                 pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), *map(pa.array, codes)],
+                ["t", "id", "v", "first", "second", "code", "code2"],
             )
 
     return run
@@ -175,37 +177,45 @@ def _link(dim: int, links: int):
 
 
 def _divided(nodes: DataFrame) -> DataFrame:
-    """(t, id, v, block, part): every node in its blocks; blocks of more than BLOCK_MAX rows are divided by direction, and
-    parts that still are larger by id."""
-    spread = nodes.withColumn("block", F.explode(F.array_distinct(F.array("first", "second")))).where("block >= 0")
-    sizes = spread.groupBy("t", "block").count().where(F.col("count") > BLOCK_MAX)
+    """(t, id, v, block, part, salt): every node in its blocks; blocks of more than BLOCK_MAX rows are divided by direction, and
+    parts that still are larger by id.
+
+    As members of their second block nodes are divided another way than as members of their first, so that parts overlap.
+    """
+    places = F.array(F.struct(F.col("first").alias("block"), F.lit(0).alias("way"), F.col("code").alias("side")), F.struct(F.col("second").alias("block"), F.lit(1).alias("way"), F.col("code2").alias("side")))
+    spread = nodes.select("t", "id", "v", F.inline(places)).where("block >= 0")
+    sizes = spread.groupBy("t", "block").count().where(F.col("count") > BLOCK_MAX)  # at most CENTROIDS_MAX rows a table
     parts = F.ceil(F.col("count") / BLOCK_MAX)
-    by_direction = lambda df: df.join(F.broadcast(sizes), ["t", "block"], "left").withColumn("part", F.coalesce(F.floor(F.col("code") * parts / 65536), F.lit(0))).drop("count")
-    spread = by_direction(spread)
-    # at most CENTROIDS_MAX blocks a table and BLOCK_MAX-sized parts of them: both tables of sizes are checked before they are sent out
+    part = F.when(F.col("count").isNull(), F.lit(0)).otherwise(F.floor(F.col("side") * parts / 65536) * 2 + F.col("way"))
+    spread = spread.join(F.broadcast(sizes), ["t", "block"], "left").withColumn("part", part.cast("int")).drop("count", "side")
     still = spread.groupBy("t", "block", "part").count().where(F.col("count") > BLOCK_MAX)
     few = still.count() <= BROADCAST_IDS
-    salt = F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK_MAX)), F.lit(0))
-    return spread.join(F.broadcast(still) if few else still, ["t", "block", "part"], "left").withColumn("salt", salt)
+    salt = F.coalesce(F.pmod(F.xxhash64("id", "way"), F.ceil(F.col("count") / BLOCK_MAX)), F.lit(0))
+    return spread.join(F.broadcast(still) if few else still, ["t", "block", "part"], "left").withColumn("salt", salt).drop("count", "way")
 
 
 # --- descent -----------------------------------------------------------------------------------------------------------
 
 
-def _best(links: DataFrame, n: int) -> DataFrame:
-    """(t, id, links): the n best of rows (t, id, link); ties go to the lesser id. Rows are ranked before they are shuffled too."""
-    rank = Window.partitionBy("t", "id").orderBy("link.far", "link.id")
-    kept = links.distinct().withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
-    return kept.groupBy("t", "id").agg(F.array_sort(F.collect_list("link")).alias("links"))
+def _best(rows: DataFrame, n: int, k: int) -> DataFrame:
+    """(t, id, links, changed) from rows (t, id, far, other, fresh): the n best links and how many of the first k are fresh only.
 
+    Ties go to the lesser id; a link given twice counts once. Rows are ranked before the shuffle too, so that of a node that
+    a third of all point to only few leave each task.
+    """
+    rank = F.dense_rank().over(Window.partitionBy("t", "id").orderBy("far", "other"))
+    kept = rows.withColumn("rank", rank).where(F.col("rank") <= n)
+    link = F.struct("far", F.col("other").alias("id"))
+    held = kept.groupBy("t", "id").agg(F.array_sort(F.collect_set(link)).alias("links"), F.collect_set(F.when(~F.col("fresh"), link)).alias("before"))
+    return held.select("t", "id", "links", F.size(F.array_except(F.slice("links", 1, k), "before")).alias("changed"))
 
-def _rows(graph: DataFrame) -> DataFrame:
-    return graph.select("t", "id", F.explode("links").alias("link"))
+
+def _rows(graph: DataFrame, fresh: bool = False) -> DataFrame:
+    return graph.select("t", "id", F.explode("links").alias("x")).select("t", "id", "x.far", F.col("x.id").alias("other"), F.lit(fresh).alias("fresh"))
 
 
 def _both_ways(rows: DataFrame) -> DataFrame:
-    back = rows.select("t", F.col("link.id").alias("id"), F.struct(F.col("link.far").alias("far"), F.col("id").alias("id")).alias("link"))
-    return rows.unionByName(back)
+    return rows.unionByName(rows.select("t", F.col("other").alias("id"), "far", F.col("id").alias("other"), "fresh"))
 
 
 def candidates(graph: DataFrame, k: int) -> DataFrame:
@@ -213,15 +223,17 @@ def candidates(graph: DataFrame, k: int) -> DataFrame:
 
     For cosines p and q of the two links the third is p q + r sqrt((1 - p^2) (1 - q^2)) with some r of -1 to 1.
     """
-    worst = F.when(F.size("links") >= k, F.element_at("links", k)["far"]).otherwise(F.lit(2.0))
-    here = graph.select("t", "id", worst.alias("worst"), F.transform("links", lambda x: x["id"]).alias("known"), F.explode("links").alias("via"))
-    here = here.select("t", "id", "worst", "known", F.col("via.id").alias("middle"), F.col("via.far").alias("p"))
-    there = graph.select("t", F.col("id").alias("middle"), "links")
     open_part = lambda c: F.sqrt(F.greatest(F.lit(0.0), 1 - c * c))
-    q = F.col("next.far")
+    most = lambda p: F.sqrt(p * p + OPEN_CORRELATION**2 * (1 - p * p))  # noqa: E731  # over all q
+    worst = F.when(F.size("links") >= k, -F.element_at("links", k)["far"]).otherwise(F.lit(-2.0))
+    known = F.transform("links", lambda x: F.hash(x["id"]))
+    here = graph.select("t", "id", worst.alias("worst"), known.alias("known"), F.explode("links").alias("via"))
+    here = here.select("t", "id", "worst", "known", F.col("via.id").alias("middle"), (-F.col("via.far")).alias("p")).where(most(F.col("p")) > F.col("worst"))
+    there = graph.select("t", F.col("id").alias("middle"), "links")
+    q = -F.col("next.far")
     chance = F.col("p") * q + F.lit(OPEN_CORRELATION) * open_part(F.col("p")) * open_part(q)
     far = here.join(there, ["t", "middle"]).select("t", "id", "worst", "known", "p", F.explode("links").alias("next"))
-    far = far.where((F.col("next.id") != F.col("id")) & (chance > -F.col("worst")) & ~F.array_contains("known", F.col("next.id")))
+    far = far.where((F.col("next.id") != F.col("id")) & (chance > F.col("worst")) & ~F.array_contains("known", F.hash("next.id")))
     return far.select("t", F.least("id", "next.id").alias("a"), F.greatest("id", "next.id").alias("b")).distinct()
 
 
@@ -237,7 +249,7 @@ def _compare(dim: int):
 
 
 def compared(pairs: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """(t, id, link) of both directions of the pairs. Only vectors that a pair names are shuffled."""
+    """(t, id, far, other, fresh) in both directions. Only vectors that a pair names are shuffled."""
     ids = pairs.select("t", F.explode(F.array("a", "b")).alias("id")).distinct()
     named = stored(ids)
     vectors = nodes.select("t", "id", "v")
@@ -245,18 +257,27 @@ def compared(pairs: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     side = lambda name: vectors.select("t", F.col("id").alias(name), F.col("v").alias(f"v{name}"))
     met = pairs.join(side("a"), ["t", "a"]).join(side("b"), ["t", "b"])
     rows = met.select("t", "a", "b", "va", "vb").mapInArrow(_compare(dim), "t int, a long, b long, far double")
-    return _both_ways(rows.select("t", F.col("a").alias("id"), F.struct("far", F.col("b").alias("id")).alias("link")))
+    return _both_ways(rows.select("t", F.col("a").alias("id"), "far", F.col("b").alias("other"), F.lit(True).alias("fresh")))
+
 
+def neighbour_graph(nodes: DataFrame, dim: int, k: int = K, links: int = LINKS) -> DataFrame:
+    """(t, id, links): the graph after descent; links are (far = -cosine, id), best first.
 
-def neighbour_graph(nodes: DataFrame, dim: int, k: int = K, links: int = LINKS, rounds: int = ROUNDS) -> DataFrame:
-    """(t, id, links): the graph after `rounds` of descent; links are (far = -cosine, id), best first."""
+    A pair is compared once: each round leaves out the pairs of the rounds before.
+    """
     blocks = _divided(nodes).groupBy("t", "block", "part", "salt").applyInArrow(_link(dim, links), _LINKS)
-    graph = stored(_best(_rows(blocks), links))
-    for _ in range(rounds):
-        turned = stored(_best(_both_ways(_rows(graph)), links))
-        pairs = stored(candidates(turned, k))
-        graph = stored(_best(_rows(turned).unionByName(compared(pairs, nodes, dim)), links)) if not pairs.isEmpty() else turned
-    return graph
+    graph = stored(_best(_both_ways(_rows(blocks)), links, k))
+    least_change, compared_before = CHANGED * k * graph.count(), None
+    for _ in range(ROUNDS):
+        pairs = candidates(graph, k)
+        pairs = stored(pairs if compared_before is None else pairs.join(compared_before, ["t", "a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        graph = stored(_best(_rows(graph).unionByName(compared(pairs, nodes, dim)), links, k))
+        if graph.agg(F.sum("changed")).first()[0] <= least_change:
+            break
+        compared_before = pairs if compared_before is None else compared_before.unionByName(pairs)
+    return graph.select("t", "id", "links")
 
 
 # --- copies and results ------------------------------------------------------------------------------------------------
@@ -273,7 +294,7 @@ def nearest(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> DataFra
     placed = None
     for t, name in enumerate(names):
         source = tables[name].select(F.col("id").cast("long").alias("id"), "embedding").where(F.col("embedding").isNotNull() & F.col("id").isNotNull())
-        part = source.mapInArrow(_assign(t, fit_centroids(source, dim), dim), "t int, id long, v binary, first int, second int, code int")
+        part = source.mapInArrow(_assign(t, fit_centroids(source, dim), dim), "t int, id long, v binary, first int, second int, code int, code2 int")
         placed = part if placed is None else placed.unionByName(part)
     placed = stored(placed.withColumn("copy", F.unhex(F.md5("v"))))
 
@@ -288,10 +309,10 @@ def nearest(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> DataFra
     graph = neighbour_graph(nodes, dim, k)
     # each link to a node stands for links to its copies
     by_node = sets.select("t", F.element_at("ids", 1).alias("node"), F.slice("ids", 1, k).alias("ids"))
-    links = _rows(graph).select("t", "id", F.col("link.far").alias("far"), F.col("link.id").alias("node"))
+    links = _rows(graph).select("t", "id", "far", F.col("other").alias("node"))
     wide = links.join(F.broadcast(by_node) if few else by_node, ["t", "node"], "left")
     wide = wide.select("t", "id", "far", F.explode(F.coalesce("ids", F.array("node"))).alias("other"))
-    alone = _best(wide.select("t", "id", F.struct("far", F.col("other").alias("id")).alias("link")), k)
+    alone = _best(wide.select("t", "id", "far", "other", F.lit(False).alias("fresh")), k, k).drop("changed")
     # and each copy has the links of its node besides the other copies
     copies = marked.where(F.col("ids").isNotNull()).select("t", "id", "ids")
     of_node = copies.withColumn("node", F.element_at("ids", 1)).join(alone.select("t", F.col("id").alias("node"), "links"), ["t", "node"], "left")
