@@ -10,11 +10,12 @@ integers with a power of two as unit if that holds it, else in half or single pr
 """
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.plans.lineage import stored
@@ -283,16 +284,21 @@ def neighbour_graph(nodes: DataFrame, dim: int, k: int = K, links: int = LINKS)
 # --- copies and results ------------------------------------------------------------------------------------------------
 
 
-def nearest(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> DataFrame:
-    """(chunk_table, id, near): the k most similar other rows of the same table for every usable row, as ids, best first.
+class Index(NamedTuple):
+    """The graph of some tables and what is needed to tell copies apart again."""
 
-    tables: by name, (id, embedding). At equal similarity the smaller id comes first. Unusable rows (null, another length,
-    a null, NaN or infinite component, all zeros) take no part; fewer than k other rows give a shorter list. Ids are
-    unique per table.
-    """
-    names = list(tables)
+    names: list[str]
+    placed: DataFrame  # every usable row: t, id, v, first, second, ids (of its set of copies, if it is one)
+    nodes: DataFrame  # one row of each set
+    sets: DataFrame  # t, copy, ids: the k + 1 least ids of each set of more than one
+    few: bool  # few enough sets to be sent to every executor
+    graph: DataFrame  # t, id, links
+
+
+def build(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> Index:
+    """The neighbour graph of every usable row of the tables, by name, (id, embedding); ids are unique per table."""
     placed = None
-    for t, name in enumerate(names):
+    for t, name in enumerate(tables):
         source = tables[name].select(F.col("id").cast("long").alias("id"), "embedding").where(F.col("embedding").isNotNull() & F.col("id").isNotNull())
         part = source.mapInArrow(_assign(t, fit_centroids(source, dim), dim), "t int, id long, v binary, first int, second int, code int, code2 int")
         placed = part if placed is None else placed.unionByName(part)
@@ -303,27 +309,96 @@ def nearest(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> DataFra
     least = placed.select("t", "copy", "id").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k + 1)
     sets = stored(least.groupBy("t", "copy").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1))
     few = sets.count() <= BROADCAST_IDS // (k + 1)
-    marked = placed.join(F.broadcast(sets) if few else sets, ["t", "copy"], "left")
-    nodes = marked.where(F.col("ids").isNull() | (F.col("id") == F.element_at("ids", 1))).drop("ids", "copy")
-
-    graph = neighbour_graph(nodes, dim, k)
-    # each link to a node stands for links to its copies
-    by_node = sets.select("t", F.element_at("ids", 1).alias("node"), F.slice("ids", 1, k).alias("ids"))
-    links = _rows(graph).select("t", "id", "far", F.col("other").alias("node"))
-    wide = links.join(F.broadcast(by_node) if few else by_node, ["t", "node"], "left")
-    wide = wide.select("t", "id", "far", F.explode(F.coalesce("ids", F.array("node"))).alias("other"))
-    alone = _best(wide.select("t", "id", "far", "other", F.lit(False).alias("fresh")), k, k).drop("changed")
-    # and each copy has the links of its node besides the other copies
-    copies = marked.where(F.col("ids").isNotNull()).select("t", "id", "ids")
+    placed = placed.join(F.broadcast(sets) if few else sets, ["t", "copy"], "left")
+    nodes = placed.where(F.col("ids").isNull() | (F.col("id") == F.element_at("ids", 1))).drop("ids", "copy")
+    return Index(list(tables), placed, nodes, sets, few, neighbour_graph(nodes, dim, k))
+
+
+def _with_copies(index: Index, links: DataFrame, k: int) -> DataFrame:
+    """(t, id, links): links (t, id, far, other) to nodes stand for links to all copies of them."""
+    by_node = index.sets.select("t", F.element_at("ids", 1).alias("other"), F.slice("ids", 1, k + 1).alias("ids"))
+    wide = links.join(F.broadcast(by_node) if index.few else by_node, ["t", "other"], "left")
+    wide = wide.select("t", "id", "far", F.explode(F.coalesce("ids", F.array("other"))).alias("other")).where(F.col("other") != F.col("id"))
+    return _best(wide.withColumn("fresh", F.lit(False)), k, k).drop("changed")
+
+
+def _named(index: Index) -> Column:
+    return F.element_at(F.array(*map(F.lit, index.names)), F.col("t") + 1).alias("chunk_table")
+
+
+def nearest(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> DataFrame:
+    """(chunk_table, id, near): the k most similar other rows of the same table for every usable row, as ids, best first.
+
+    At equal similarity the smaller id comes first. Unusable rows (null, another length, a null, NaN or infinite component,
+    all zeros) take no part; fewer than k other rows give a shorter list.
+    """
+    index = build(tables, dim, k)
+    alone = _with_copies(index, _rows(index.graph), k)
+    # each copy has the other copies, then the links of its node
+    copies = index.placed.where(F.col("ids").isNotNull()).select("t", "id", "ids")
     of_node = copies.withColumn("node", F.element_at("ids", 1)).join(alone.select("t", F.col("id").alias("node"), "links"), ["t", "node"], "left")
     others = F.filter("ids", lambda x: x != F.col("id"))
-    own = of_node.select("t", "id", F.slice(F.concat(others, F.coalesce(F.transform("links", lambda x: x["id"]), F.array().cast("array<bigint>"))), 1, k).alias("near"))
-    single = alone.join(by_node.select("t", F.col("node").alias("id")), ["t", "id"], "left_anti").select("t", "id", F.transform("links", lambda x: x["id"]).alias("near"))
-    name_of = F.element_at(F.array(*map(F.lit, names)), F.col("t") + 1)
-    return single.unionByName(own).select(name_of.alias("chunk_table"), "id", "near")
+    linked = lambda c: F.transform(c, lambda x: x["id"])
+    own = of_node.select("t", "id", F.slice(F.concat(others, F.coalesce(linked("links"), F.array().cast("array<bigint>"))), 1, k).alias("near"))
+    nodes_of_sets = index.sets.select("t", F.element_at("ids", 1).alias("id"))
+    single = alone.join(nodes_of_sets, ["t", "id"], "left_anti").select("t", "id", linked("links").alias("near"))
+    return single.unionByName(own).select(_named(index), "id", "near")
 
 
 def nearest_pairs(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> DataFrame:
     """(chunk_table, id_a, id_b), id_a < id_b: pairs of which one is among the k nearest of the other."""
     links = nearest(tables, dim, k).select("chunk_table", "id", F.explode("near").alias("other"))
     return links.select("chunk_table", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+# --- search ------------------------------------------------------------------------------------------------------------
+
+BEAM, HOPS = 24, 12
+ENTRIES = 16  # nodes of each of a query's two blocks at which its search starts
+
+
+def greedy_search(index: Index, queries: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
+    """(t, id, links): the k nearest rows found for each query (t, id, v, first, second) by greedy search over the graph.
+
+    A search starts at some nodes of the query's blocks, and at its own if the query is one. Each hop follows the links of the best nodes
+    found so far that it has not followed yet, until there are none; all queries take a hop together, as a join.
+    """
+    asked = stored(queries.select("t", "id", "v", "first", "second", F.coalesce(F.element_at("ids", 1), "id").alias("own")) if "ids" in queries.columns else queries.withColumn("own", F.col("id")))
+    drawn = Window.partitionBy("t", "first").orderBy(F.xxhash64("id"), "id")
+    entries = index.nodes.select("t", "first", "id").withColumn("rank", F.row_number().over(drawn)).where(F.col("rank") <= ENTRIES)
+    blocks = asked.select("t", "id", F.explode(F.array_distinct(F.array("first", "second"))).alias("first"))
+    starts = blocks.join(entries.select("t", "first", F.col("id").alias("other")), ["t", "first"]).select("t", "id", "other")
+    own = asked.select("t", "id", F.col("own").alias("other")).join(index.nodes.select("t", F.col("id").alias("other")), ["t", "other"], "left_semi")
+    met = stored(starts.unionByName(own.select("t", "id", "other")).distinct())
+    seen, found, followed = met, None, None
+    for _ in range(HOPS):
+        scored = _scored(met, asked, index.nodes, dim)
+        rows = scored if found is None else found.unionByName(scored)
+        rank = F.dense_rank().over(Window.partitionBy("t", "id").orderBy("far", "other"))
+        found = stored(rows.withColumn("rank", rank).where(F.col("rank") <= BEAM).drop("rank"))
+        open_ = found.select("t", "id", "other")
+        open_ = open_ if followed is None else open_.join(followed, ["t", "id", "other"], "left_anti")
+        nexts = open_.join(index.graph.select("t", F.col("id").alias("other"), "links"), ["t", "other"])
+        met = stored(nexts.select("t", "id", F.explode("links").alias("x")).select("t", "id", F.col("x.id").alias("other")).distinct().join(seen, ["t", "id", "other"], "left_anti"))
+        if met.isEmpty():
+            break
+        followed = found.select("t", "id", "other") if followed is None else followed.unionByName(open_)
+        seen = seen.unionByName(met)
+    return _with_copies(index, found, k)
+
+
+def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+    """(t, id, far, other) of pairs of a query (id) and a node (other)."""
+    needed = stored(pairs.select("t", F.col("other").alias("id")).distinct())
+    vectors = nodes.select("t", "id", "v").join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, ["t", "id"], "left_semi")
+    met = pairs.select("t", F.col("id").alias("a"), F.col("other").alias("b")).join(queries.select("t", F.col("id").alias("a"), F.col("v").alias("va")), ["t", "a"])
+    met = met.join(vectors.select("t", F.col("id").alias("b"), F.col("v").alias("vb")), ["t", "b"]).select("t", "a", "b", "va", "vb")
+    rows = met.mapInArrow(_compare(dim), "t int, a long, b long, far double")
+    return rows.select("t", F.col("a").alias("id"), "far", F.col("b").alias("other"))
+
+
+def searched(tables: dict[str, DataFrame], every: int = 50, dim: int = DIM, k: int = K) -> DataFrame:
+    """(chunk_table, id, near): greedy search for every usable row whose id is divisible by `every`, against all rows."""
+    index = build(tables, dim, k)
+    links = greedy_search(index, index.placed.where(F.col("id") % every == 0), k, dim)
+    return links.select(_named(index), "id", F.transform("links", lambda x: x["id"]).alias("near"))

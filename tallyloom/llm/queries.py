@@ -37,6 +37,7 @@ QUERIES = {
     "p2_classes": lambda spark, d: confusables.look_classes(_look_forms(spark, d)),
     "p3_found": lambda spark, d: neighbours.nearest_pairs(_embedded(spark, d)),
     "p3_nearest": lambda spark, d: neighbours.nearest(_embedded(spark, d)),
+    "p3_search": lambda spark, d: neighbours.searched(_embedded(spark, d)),
     "p5_found": lambda spark, d: splitting.hardest_cuts(_split(spark, d)),
     "p5_pieces": lambda spark, d: splitting.piece_rows(_split(spark, d)),
     "p6_ids": lambda spark, d: tokenizing.encode_ids(table(spark, d, "documents", "doc_id", "text")),

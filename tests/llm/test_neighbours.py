@@ -72,3 +72,32 @@ def test_many_blocks_recall(spark, monkeypatch, hot):
     assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
     share = sum(len(set(got[i]) & set(want[i])) for i in want) / (5 * len(want))
     assert share >= 0.9, share
+
+
+def test_search_recall(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK", 60)
+    monkeypatch.setattr(nb, "BLOCK_MAX", 240)
+    rows = vectors(1200, 7, clusters=100)
+    rows += [(2000 + i, rows[49][1]) for i in range(3)]  # copies of the query with id 50
+    want = {i: v for i, v in exact(rows, 5).items() if i % 50 == 0}
+    got = {r.id: r.near for r in nb.searched({"a": frame(spark, rows)}, dim=DIM).collect()}
+    assert set(got) == set(want)
+    share = sum(len(set(got[i]) & set(want[i])) for i in want) / sum(len(v) for v in want.values())
+    assert share >= 0.9, share
+    assert got[50][:3] == [2000, 2001, 2002]
+
+
+def test_search_for_vectors_outside_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK", 60)
+    rows, asked = vectors(1200, 8), vectors(30, 9)
+    index = nb.build({"a": frame(spark, rows)}, DIM)
+    centroids = nb.fit_centroids(frame(spark, rows), DIM)
+    placed = frame(spark, asked).mapInArrow(nb._assign(0, centroids, DIM), "t int, id long, v binary, first int, second int, code int, code2 int")
+    got = {r.id: [x.id for x in r.links] for r in nb.greedy_search(index, placed.selectExpr("t", "id + 100000 as id", "v", "first", "second"), dim=DIM).collect()}
+    x = np.array([v for _, v in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for i, v in asked:
+        best = np.argsort(-(x @ np.array(v)))[:5] + 1
+        hits += len(set(best) & set(got[i + 100000]))
+    assert hits / (5 * len(asked)) >= 0.9
