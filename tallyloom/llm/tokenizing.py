@@ -6,6 +6,7 @@ halves, long ones in several tasks, and the parts are joined pairwise up a tree.
 """
 
 import math
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 LEAF = 1 << 14  # characters that are encoded at once
 PART = 1 << 16  # characters of a document that one task encodes; longer documents are spread over tasks
+AT_ONCE = 1 << 19  # characters of whole documents that are encoded together
 LOOKAHEAD = 3  # how far beyond its end the splitter's choice of a word can depend on the text (contractions: ' and two letters)
 WINDOW = 64
 
@@ -31,6 +33,7 @@ def default_path() -> str:
 @lru_cache(4)
 def load(path: str):
     """The tokenizer, once per worker; the strings of special tokens are ordinary text to it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -123,15 +126,32 @@ _ELEMENT = "text string, ids array<int>, starts array<bigint>, first array<bigin
 
 
 def _short(path: str, leaf: int):
+    def ids_of(texts: list[str]) -> list:
+        """Whole leaves at once, but no more than AT_ONCE characters of them, since each encoding holds much besides its ids."""
+        tokenizer, ids, waiting, size = load(path), [None] * len(texts), [], 0
+
+        def encode_waiting() -> None:
+            for i, e in zip(waiting, tokenizer.encode_batch_fast([texts[i] for i in waiting], add_special_tokens=False)):
+                ids[i] = np.array(e.ids, dtype=np.int32)
+
+        for i, text in enumerate(texts):
+            if len(text) > leaf:
+                ids[i] = encode(text, tokenizer, leaf).ids
+                continue
+            if size + len(text) > AT_ONCE:
+                encode_waiting()
+                waiting, size = [], 0
+            waiting.append(i)
+            size += len(text)
+        encode_waiting()
+        return ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            small = [i for i, t in enumerate(texts) if len(t) <= leaf]
-            at_once = tokenizer.encode_batch_fast([texts[i] for i in small], add_special_tokens=False)
-            whole = {i: e.ids for i, e in zip(small, at_once)}
-            ids = [whole[i] if i in whole else encode(t, tokenizer, leaf).ids for i, t in enumerate(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = ids_of([t or "" for t in batch.column("text").to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["doc_id", "ids"])
 
     return run
 
