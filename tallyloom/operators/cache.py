@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.times import instant
 from tallyloom.operators.ledger import BLANKS
 
 
@@ -54,6 +55,6 @@ def evicted(cache: DataFrame, cutoff: str, keep: int) -> DataFrame:
 
 def age_buckets(cache: DataFrame, as_of: str) -> DataFrame:
     """(age, entries, hits): entries by whole days since they were created, up to `as_of`; ? where the time can't be read."""
-    days = F.floor((F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.try_to_timestamp("created"))) / 86400)
+    days = F.floor((F.unix_seconds(instant(as_of)) - F.unix_seconds(F.try_to_timestamp("created"))) / 86400)
     age = F.when(days.isNull(), "?").when(days < 7, "week").when(days < 30, "month").when(days < 90, "quarter").otherwise("older")
     return cache.groupBy(age.alias("age")).agg(F.count("*").alias("entries"), F.coalesce(F.sum("hits"), F.lit(0)).cast("long").alias("hits"))

@@ -7,6 +7,8 @@ sessions, far fewer, are then joined over midnight.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.times import utc
+
 
 def _islands(rows: DataFrame, keys: list[str], gap_s: int) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("first_ts", "last_ts")
@@ -27,12 +29,12 @@ def coalesce_events(events: DataFrame, key: str, ts: str = "ts", gap_s: int = 90
     """
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"))
     points = rows.groupBy("key", "ts").agg(F.count("*").alias("n"))
-    by_day = points.select("key", F.to_date("ts").alias("day"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), "n")
+    by_day = points.select("key", F.to_date(utc("ts")).alias("day"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), "n")
     partial = _islands(by_day, ["key", "day"], gap_s)
     return _islands(partial, ["key"], gap_s).select("key", "first_ts", "last_ts", F.col("n").cast("long").alias("n"))
 
 
 def as_text(runs: DataFrame) -> DataFrame:
-    """The times as text with microseconds."""
-    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    """The times, in UTC, as text with microseconds."""
+    text = lambda c: F.date_format(utc(c), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return runs.select("key", text("first_ts"), text("last_ts"), "n")

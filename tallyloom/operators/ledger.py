@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.times import instant, utc
 from tallyloom.operators.rolling import NO_PROJECT, unique_calls
 
 NONE = NO_PROJECT
@@ -93,7 +94,7 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: str = "event_id") ->
 
 def group_key(by: str) -> Column:
     """The report's key as text: day is the UTC date; null and empty become (none)."""
-    value = F.date_format("ts", "yyyy-MM-dd") if by == "day" else F.col(by).cast("string")
+    value = F.date_format(utc("ts"), "yyyy-MM-dd") if by == "day" else F.col(by).cast("string")
     return F.when(value.isNull() | (value == ""), NONE).otherwise(value)
 
 
@@ -105,7 +106,7 @@ def report(usage: DataFrame, by: str, since: str | None = None) -> DataFrame:
     """
     calls = unique_calls(usage.select("event_id", *({by} - {"day"}), "ts", "cached", "cost_usd", "input_tokens", "output_tokens", "cache_tokens") if by != "ts" else usage)
     if since is not None:
-        calls = calls.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+        calls = calls.where(F.col("ts") >= instant(since))
     keyed = calls.withColumn("group_key", group_key(by))
     total = lambda c: F.sum(c).cast("long").alias(c)
     rows = keyed.rollup("group_key").agg(
@@ -118,14 +119,14 @@ def report(usage: DataFrame, by: str, since: str | None = None) -> DataFrame:
 
 def spend(usage: DataFrame, as_of: str) -> DataFrame:
     """Per project, in one pass: cost of the month and of the 7 days up to the instant `as_of`, of all time, and calls of its day."""
-    now = F.lit(as_of).cast("timestamp")
+    now = instant(as_of)
     calls = unique_calls(usage.select("event_id", "project", "ts", "cached", "cost_usd")).where(F.col("ts") <= now)
     cost = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("cost_usd"))), F.lit(0)).cast("double").alias(name)
     return calls.groupBy(group_key("project").alias("project")).agg(
-        cost(F.date_trunc("month", "ts") == F.date_trunc("month", now), "month_usd"),
+        cost(F.date_trunc("month", utc("ts")) == F.date_trunc("month", utc(now)), "month_usd"),
         cost(F.col("ts") >= now - F.expr("interval 7 days"), "week_usd"),
         F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("double").alias("all_usd"),
-        F.count_if((F.to_date("ts") == F.to_date(now)) & ~F.coalesce("cached", F.lit(False))).alias("calls_today"),
+        F.count_if((F.to_date(utc("ts")) == F.to_date(utc(now))) & ~F.coalesce("cached", F.lit(False))).alias("calls_today"),
     )
 
 
@@ -133,7 +134,7 @@ def last_calls(usage: DataFrame) -> DataFrame:
     """Each project's latest call with a time (ties: greatest event_id): when, which model, what it cost."""
     latest = F.max(F.struct("ts", "event_id", "model_asked", F.col("cost_usd").cast("double").alias("cost_usd")))
     rows = usage.where(F.col("ts").isNotNull()).groupBy(group_key("project").alias("project")).agg(latest.alias("x"))
-    return rows.select("project", "x.event_id", F.date_format("x.ts", "yyyy-MM-dd HH:mm:ss").alias("last_ts"), "x.model_asked", "x.cost_usd")
+    return rows.select("project", "x.event_id", F.date_format(utc("x.ts"), "yyyy-MM-dd HH:mm:ss").alias("last_ts"), "x.model_asked", "x.cost_usd")
 
 
 def repeated(rows: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.times import utc
+
 MICROS = 1_000_000
 NO_PROJECT = "(none)"
 
@@ -61,7 +63,7 @@ def daily_costs(usage: DataFrame) -> DataFrame:
     calls = usage.where(F.col("ts").isNotNull()).select(
         F.unhex(F.md5("event_id")).alias("event_id"),
         project_name(F.col("project")).alias("entity"),
-        F.to_date("ts").alias("day"),
+        F.to_date(utc("ts")).alias("day"),
         (F.coalesce("cost_usd", F.lit(0)) * MICROS).cast("long").alias("value"),
     )
     return unique_calls(calls).groupBy("entity", "day").agg(F.sum("value").alias("value"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.times import instant, utc
 from tallyloom.operators.corpus import LINE_END
 
 CODE_TOKENS = 400
@@ -93,10 +94,10 @@ def run_totals(lines_: DataFrame) -> DataFrame:
 
 def live_sessions(usage: DataFrame, as_of: str, ttl_s: int = 86_400) -> DataFrame:
     """(session_id, calls, last_ts): sessions whose last call before `as_of` is at most `ttl_s` seconds old."""
-    now = F.lit(as_of).cast("timestamp")
+    now = instant(as_of)
     rows = usage.where(F.col("session_id").isNotNull() & (F.col("ts") <= now)).groupBy("session_id").agg(F.countDistinct("event_id").alias("calls"), F.max("ts").alias("last"))
     live = rows.where(F.unix_micros(now) - F.unix_micros("last") <= ttl_s * 1_000_000)
-    return live.select("session_id", "calls", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
+    return live.select("session_id", "calls", F.date_format(utc("last"), "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
 
 
 def definitions(source: str | None, max_tokens: int = CODE_TOKENS) -> list[tuple[str, str | None, int, int, str]]:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.times import instant
 from tallyloom.operators import cache, coalesce, ledger
 from tallyloom.sources.tables import table
 
@@ -22,7 +23,7 @@ def _lines(spark, d):
 
 def _load(spark, d):
     rows = ledger.projection(table(spark, d, "usage_rows").select("raw"), "raw")
-    before = table(spark, d, "usage_rows").where(F.col("ts") < F.lit(SINCE).cast("timestamp")).select("raw")
+    before = table(spark, d, "usage_rows").where(F.col("ts") < instant(SINCE)).select("raw")
     stored = ledger.projection(before, "raw")
     return ledger.new_rows(rows, stored).groupBy("mode").agg(F.count("*").alias("loaded"), F.sum("input_tokens").alias("input_tokens"))
 

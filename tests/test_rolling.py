@@ -67,3 +67,15 @@ def test_surge_bounds(spark):
     df = spark.createDataFrame(calls, USAGE)
     # 7 days: 20.125 / 7 = 2.875; 30 days: 43.125 / 30 = 1.4375, exactly half
     assert [r.usage_day for r in rolling.cost_surges(df).collect()] == ["2026-01-30"]
+
+
+def test_days_are_utc_in_any_session_zone(spark):
+    df = spark.createDataFrame([("a", "p", 1767225600 + 3600 * h) for h in (0, 23)], "event_id string, project string, s long")
+    df = df.selectExpr("concat(event_id, s) as event_id", "project", "timestamp_seconds(s) as ts", "cast(1 as decimal(12,6)) as cost_usd")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tehran", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert [(r.usage_day, r.total_7d) for r in rolling.rolling_costs(df).collect()] == [("2026-01-01", 2.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
