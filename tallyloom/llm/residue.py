@@ -84,7 +84,7 @@ def slots(documents: DataFrame, delimiters: tuple[str, ...], key: str = "doc_id"
     """(doc_id, name): the names between the delimiters, outside code and double quotes; case, underscores and blanks made one."""
     found = F.concat(*(F.regexp_extract_all(F.col("bare"), F.lit(p), F.lit(1)) for p in delimiters))
     quoteless = F.regexp_replace(body(F.col("text")), QUOTED_STRAIGHT, " ")
-    bare = documents.where(_any(F.col("text"), delimiters)).select(key, quoteless.alias("bare"))
+    bare = documents.where(F.col("text").rlike("|".join(f"(?:{p})" for p in delimiters))).select(key, quoteless.alias("bare"))
     return bare.select(key, F.explode(found).alias("name")).withColumn("name", F.trim(F.regexp_replace(F.lower("name"), r"[_\s-]+", " ")))
 
 
@@ -103,17 +103,21 @@ def with_slots(documents: DataFrame) -> DataFrame:
 def messages(documents: DataFrame) -> DataFrame:
     """(doc_id, message): the body's sentences without code, quotes and markup, numbers masked as #, in lower case.
 
-    A line of JSON or XML is one message. Messages without a letter or # are left out; they say nothing either way.
+    A line of JSON or XML is one message. Messages without a letter or digit are left out; they say nothing either way.
     """
     lines = documents.select("doc_id", F.explode(F.split(body(F.col("text")), LINE)).alias("line"))
     data = F.col("line").rlike(r"^\s*[{<]")
-    prose = F.regexp_replace(F.regexp_replace(F.col("line"), QUOTED, " ‹› "), PLAIN, " ")
+    quoted = F.when(F.col("line").rlike("[\"“„«‹'‘]"), F.regexp_replace("line", QUOTED, " ‹› ")).otherwise(F.col("line"))
+    prose = F.regexp_replace(quoted, PLAIN, " ")
     sentences = F.when(data, F.array("line")).otherwise(F.split(prose, r"(?<=[.!?؟:;…])\s+|\s+[-–—|]\s+"))
     split = lines.select("doc_id", F.explode(sentences).alias("m"))
     # numbers and hashes are masked, but for the three digits of a failed request
     masked = F.regexp_replace("m", r"(?i)\b(?=[0-9a-f]*\d)[0-9a-f]{6,40}\b|(?!\b[45]\d\d\b(?![.,:/-]?\d))\b\d+(?:[.,:/-]\d+)*", "#")
-    said = F.trim(F.lower(F.regexp_replace(masked, r"[\s\x{a0}]+", " ")))
-    return split.select("doc_id", F.regexp_replace(said, r"[.!,;:…]+$", "").alias("message")).where(F.col("message").rlike(r"[\p{L}#`‹]"))
+    masked = F.when(F.col("m").rlike("[0-9]"), masked).otherwise(F.col("m"))
+    spaced = F.when(F.col("m").rlike(r"  |[\t\x0b\f\x{a0}]"), F.regexp_replace(masked, r"[\s\x{a0}]+", " ")).otherwise(masked)
+    said = F.trim(F.lower(spaced))
+    speaking = split.where(F.col("m").rlike(r"[\p{L}0-9`‹]"))
+    return speaking.select("doc_id", F.regexp_replace(said, r"[.!,;:…]+$", "").alias("message"))
 
 
 def leaf(message: Column) -> Column:
