@@ -30,7 +30,7 @@ ROUNDS = 8  # of descent at most; it ends once a round changes less than CHANGED
 CHANGED = 0.001
 #: A candidate two links away is dropped if even a correlation this high of what the links leave open would not make it one of the k.
 OPEN_CORRELATION = 0.6
-BROADCAST_IDS = 500_000  # ids (16 bytes each) that are sent to every executor; beyond that a shuffle join takes their place
+BROADCAST_IDS = 100_000  # ids (16 bytes each) that are sent to every executor; beyond that a shuffle join takes their place
 
 
 # --- packing -----------------------------------------------------------------------------------------------------------
@@ -249,12 +249,15 @@ def _compare(dim: int):
     return run
 
 
+def _needed(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(t, id, v) of the nodes; only of those in ids (t, id) if they are few enough to be told to all executors."""
+    vectors, named = nodes.select("t", "id", "v"), stored(ids.distinct())
+    return vectors.join(F.broadcast(named), ["t", "id"], "left_semi") if named.count() <= BROADCAST_IDS else vectors
+
+
 def compared(pairs: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """(t, id, far, other, fresh) in both directions. Only vectors that a pair names are shuffled."""
-    ids = pairs.select("t", F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = stored(ids)
-    vectors = nodes.select("t", "id", "v")
-    vectors = vectors.join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, ["t", "id"], "left_semi")
+    """(t, id, far, other, fresh) in both directions."""
+    vectors = _needed(pairs.select("t", F.explode(F.array("a", "b")).alias("id")), nodes)
     side = lambda name: vectors.select("t", F.col("id").alias(name), F.col("v").alias(f"v{name}"))
     met = pairs.join(side("a"), ["t", "a"]).join(side("b"), ["t", "b"])
     rows = met.select("t", "a", "b", "va", "vb").mapInArrow(_compare(dim), "t int, a long, b long, far double")
@@ -389,8 +392,7 @@ def greedy_search(index: Index, queries: DataFrame, k: int = K, dim: int = DIM)
 
 def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     """(t, id, far, other) of pairs of a query (id) and a node (other)."""
-    needed = stored(pairs.select("t", F.col("other").alias("id")).distinct())
-    vectors = nodes.select("t", "id", "v").join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, ["t", "id"], "left_semi")
+    vectors = _needed(pairs.select("t", F.col("other").alias("id")), nodes)
     met = pairs.select("t", F.col("id").alias("a"), F.col("other").alias("b")).join(queries.select("t", F.col("id").alias("a"), F.col("v").alias("va")), ["t", "a"])
     met = met.join(vectors.select("t", F.col("id").alias("b"), F.col("v").alias("vb")), ["t", "b"]).select("t", "a", "b", "va", "vb")
     rows = met.mapInArrow(_compare(dim), "t int, a long, b long, far double")
