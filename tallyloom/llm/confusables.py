@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.plans.lineage import cut
+from tallyloom.plans.lineage import stored
 
 # Letters of other scripts and the Latin letter each looks like (a choice from Unicode's confusables data).
 LOOK_ALIKES = {
@@ -104,7 +104,7 @@ def look_alike_pairs(rows: DataFrame) -> DataFrame:
     rows: as from `forms`; the digests are written out once, so that texts are not read again for each side of the join.
     Looks with a single form leave before the join, so only rows of a real case meet.
     """
-    rows = cut(rows)
+    rows = stored(rows)
     cases = rows.join(mixed_looks(rows), ["chunk_table", "look"], "left_semi")
     a, b = cases.alias("a"), cases.alias("b")
     same: Column = (
@@ -118,6 +118,7 @@ def look_alike_pairs(rows: DataFrame) -> DataFrame:
 
 def look_classes(rows: DataFrame) -> DataFrame:
     """One row per text: (chunk_table, id, class_id, n_rows, n_forms); class_id is the least id that looks the same."""
+    rows = stored(rows)
     by_form = rows.groupBy("chunk_table", "look", "form").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = by_form.groupBy("chunk_table", "look").agg(
         F.min("id").alias("class_id"), F.sum("n").cast("long").alias("n_rows"), F.count("*").alias("n_forms")
