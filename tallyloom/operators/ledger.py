@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions.times import instant, utc
 from tallyloom.operators.rolling import NO_PROJECT, unique_calls
+from tallyloom.plans.lineage import over_all_cores
 
 NONE = NO_PROJECT
 TOTAL = "TOTAL"
@@ -61,7 +62,7 @@ def reject_reason(line: Column, parsed: Column) -> Column:
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """(line, parsed, reason) of each line that is not null; a wrongly typed field is null without rejecting the line."""
-    bare = lines.where(F.col(line).isNotNull()).select(stripped(F.col(line)).alias("line"))
+    bare = over_all_cores(lines.where(F.col(line).isNotNull()).select(line)).select(stripped(F.col(line)).alias("line"))
     rows = bare.withColumn("parsed", F.from_json("line", LINE))
     return rows.withColumn("reason", reject_reason(F.col("line"), F.col("parsed")))
 

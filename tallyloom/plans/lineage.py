@@ -25,3 +25,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def over_all_cores(df: DataFrame) -> DataFrame:
+    """`df` with at least as many partitions as the cluster has cores, for costly work per row; a large input has them already
+    and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
