@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.plans.lineage import over_all_cores
+
 Q = 16
 WORDS = 20  # consecutive words of the item that make a passage
 BAND = 64  # characters; a band covers two of them, the next one starts after one
@@ -153,7 +155,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least_words: int = W
     put in. documents: (doc_id, text); items: (item_id, text). Null and empty texts hold and are no passage; items of
     fewer words than `least_words` leak nowhere; repeated rows give one row. No item gives an empty result.
     """
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    rows = over_all_cores(documents.where(F.col("text").isNotNull()).select("doc_id", "text"))
     result = rows.sparkSession.createDataFrame([], "doc_id long, item_id long, n_words int")
     for block in item_blocks(items, block_chars):
         index = ItemIndex(block, edits, least_words)

@@ -24,6 +24,7 @@ DIM, K = 384, 5
 LINKS = 8  # neighbours that a node keeps during descent
 BLOCK = 2048  # vectors per centroid
 BLOCK_MAX = 8192  # rows of a block that are compared with each other in one task; larger blocks are divided
+TASK_BLOCKS = 4  # blocks of usual size that a task links
 CENTROIDS_MAX = 4096  # of a table; fitted on at most SAMPLE vectors
 SAMPLE = 1 << 16
 ROUNDS = 8  # of descent at most; it ends once a round changes less than CHANGED of all the links to the k nearest
@@ -269,9 +270,11 @@ def neighbour_graph(nodes: DataFrame, dim: int, k: int = K, links: int = LINKS)
 
     A pair is compared once: each round leaves out the pairs of the rounds before.
     """
-    blocks = _divided(nodes).groupBy("t", "block", "part", "salt").applyInArrow(_link(dim, links), _LINKS)
+    n, of_block = nodes.count(), ["t", "block", "part", "salt"]
+    spread = _divided(nodes).repartition(max(1, 2 * n // (TASK_BLOCKS * BLOCK)), *of_block)  # tasks follow the data, whatever the session's setting
+    blocks = spread.groupBy(*of_block).applyInArrow(_link(dim, links), _LINKS)
     graph = stored(_best(_both_ways(_rows(blocks)), links, k))
-    least_change, compared_before = CHANGED * k * graph.count(), None
+    least_change, compared_before = CHANGED * k * n, None
     for _ in range(ROUNDS):
         pairs = candidates(graph, k)
         pairs = stored(pairs if compared_before is None else pairs.join(compared_before, ["t", "a", "b"], "left_anti"))

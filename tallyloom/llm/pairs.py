@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.plans.lineage import over_all_cores
+
 SHINGLE = 3
 LIKE = 0.6  # least share of the response's shingles that the prompt has, for the two to be aligned
 COPIED = 0.8  # least share of response words in their common subsequence
@@ -216,7 +218,7 @@ def defects(cache: DataFrame) -> DataFrame:
     cache: (key, prompt, response). A null prompt asks nothing, so its response can only be empty, refusing or truncated;
     repeated keys give one row per defect. Python sees only pairs that Spark's own expressions leave open.
     """
-    rows = cache.select(F.col("key").alias("cache_key"), "prompt", "response").where(F.col("cache_key").isNotNull())
+    rows = over_all_cores(cache.select(F.col("key").alias("cache_key"), "prompt", "response").where(F.col("cache_key").isNotNull()))
     wants = lambda pattern: F.coalesce(F.col("prompt").rlike(pattern), F.lit(False))
     empty, given = is_empty(F.col("response")), wants(WANTS_TRANSLATION) | wants(WANTS_REPETITION)
     shared = containment(words(F.col("prompt")), words(F.col("response")))

@@ -11,7 +11,7 @@ a slot is sure by its delimiters, or by ambiguous delimiters around a name that
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.plans.lineage import stored
+from tallyloom.plans.lineage import over_all_cores, stored
 
 DEPTH = 4  # tokens of a message that lead to its leaf, after their number
 BROADCAST_ROWS = 200_000  # verdicts or slot names that are sent to every executor; beyond that a shuffle join takes their place
@@ -178,6 +178,6 @@ def residue(documents: DataFrame) -> DataFrame:
 
 def not_content(documents: DataFrame) -> DataFrame:
     """(doc_id, kind) of all residue: placeholder, or the kind from `residue`; repeated doc_ids are judged together."""
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    rows = over_all_cores(documents.where(F.col("text").isNotNull()).select("doc_id", "text"))
     marked = with_slots(rows).withColumn("kind", F.lit("placeholder"))
     return residue(rows).unionByName(marked).groupBy("doc_id").agg(F.min("kind").alias("kind"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.plans.lineage import over_all_cores
+
 LEAF = 1 << 14  # characters that are encoded at once
 PART = 1 << 16  # characters of a document that one task encodes; longer documents are spread over tasks
 AT_ONCE = 1 << 19  # characters of whole documents that are encoded together
@@ -106,7 +108,7 @@ def encode_ids(documents: DataFrame, path: str | None = None, part: int = PART,
     follows the longest text.
     """
     path = path or default_path()
-    rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = over_all_cores(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     longest = rows.select(F.max(F.length("text"))).first()[0] or 0
     short = rows.where(F.col("text").isNull() | (F.length("text") <= part)).mapInArrow(_short(path, leaf), "doc_id long, ids array<int>")
     if longest <= part:
