@@ -48,7 +48,16 @@ QUERIES = {
     "p6_round_trip": lambda spark, d: tokenizing.round_trip(table(spark, d, "documents", "doc_id", "text")),
 }
 
+_USABLE = "embedding is not null and len(embedding) = 384 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_VECTORS = " union all ".join(f"select '{t}' as chunk_table, id, embedding::double[] as e from {t} where {_USABLE}" for t in ("code_chunks", "rules_chunks", "session_chunks"))
+_WINDOWS = r"""(select {0}, array_to_string(ws[i:i + 19], ' ') as passage from (select {0}, regexp_extract_all(lower(nfc_normalize(text)), '[\p{{L}}\p{{N}}]+') as ws from {1} where text is not null) w,
+  unnest(range(1, len(ws) - 18)) as r(i))"""
+
 SQL = {
+    "p3_found": f"""with v as ({_VECTORS}), s as (select a.chunk_table, a.id, b.id as other, round(list_cosine_similarity(a.e, b.e), 12) as similarity from v a join v b on a.chunk_table = b.chunk_table and a.id <> b.id),
+r as (select *, row_number() over (partition by chunk_table, id order by similarity desc, other) as rank from s)
+select distinct chunk_table, least(id, other) as id_a, greatest(id, other) as id_b from r where rank <= 5""",
+    "p7_found": f"select distinct doc_id, item_id from {_WINDOWS.format('doc_id', 'documents')} d join {_WINDOWS.format('item_id', 'eval_items')} i on i.passage = d.passage",
     "p5_found": r"""
 with chunks as (select 'rules_chunks' as chunk_table, id, chunk from rules_chunks union all
     select 'code_chunks', id, chunk from code_chunks),
