@@ -200,7 +200,8 @@ def _divided(nodes: DataFrame) -> DataFrame:
 
 
 def _best(rows: DataFrame, n: int, k: int) -> DataFrame:
-    """(t, id, links, changed) from rows (t, id, far, other, fresh): the n best links and how many of the first k are fresh only.
+    """(t, id, links, news, changed) from rows (t, id, far, other, fresh): the n best links, those that are fresh only, and how
+    many of the first k are.
 
     Ties go to the lesser id; a link given twice counts once. Rows are ranked before the shuffle too, so that of a node that
     a third of all point to only few leave each task.
@@ -209,7 +210,8 @@ def _best(rows: DataFrame, n: int, k: int) -> DataFrame:
     kept = rows.withColumn("rank", rank).where(F.col("rank") <= n)
     link = F.struct("far", F.col("other").alias("id"))
     held = kept.groupBy("t", "id").agg(F.array_sort(F.collect_set(link)).alias("links"), F.collect_set(F.when(~F.col("fresh"), link)).alias("before"))
-    return held.select("t", "id", "links", F.size(F.array_except(F.slice("links", 1, k), "before")).alias("changed"))
+    held = held.withColumn("links", F.slice("links", 1, n)).withColumn("news", F.array_except("links", "before"))
+    return held.select("t", "id", "links", "news", F.size(F.array_intersect(F.slice("links", 1, k), "news")).alias("changed"))
 
 
 def _rows(graph: DataFrame, fresh: bool = False) -> DataFrame:
@@ -239,6 +241,24 @@ def candidates(graph: DataFrame, k: int) -> DataFrame:
     return far.select("t", F.least("id", "next.id").alias("a"), F.greatest("id", "next.id").alias("b")).distinct()
 
 
+def new_candidates(graph: DataFrame, k: int) -> DataFrame:
+    """(t, a, b): of the candidates, those over at least one link of `news`; all others were met in the round before.
+
+    Both ends of such a pair are links of one node, so that the pairs come out of its own row.
+    """
+    open_part = lambda c: F.sqrt(F.greatest(F.lit(0.0), 1 - c * c))
+    around = graph.where(F.size("news") > 0).select("t", F.explode("news").alias("x"), "links").select("t", "x", F.explode("links").alias("y")).where("x.id <> y.id")
+    p, q = -F.col("x.far"), -F.col("y.far")
+    chance = p * q + F.lit(OPEN_CORRELATION) * open_part(p) * open_part(q)
+    ends = around.select("t", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), chance.alias("chance")).groupBy("t", "a", "b").agg(F.max("chance").alias("chance"))
+    worst = F.when(F.size("links") >= k, -F.element_at("links", k)["far"]).otherwise(F.lit(-2.0))
+    known = F.transform("links", lambda x: F.hash(x["id"]))
+    of = lambda end: graph.select("t", F.col("id").alias(end), worst.alias(f"worst_{end}"), known.alias(f"known_{end}"))
+    met = ends.join(of("a"), ["t", "a"]).join(of("b"), ["t", "b"])
+    linked = F.array_contains("known_a", F.hash("b")) | F.array_contains("known_b", F.hash("a"))
+    return met.where((F.col("chance") > F.least("worst_a", "worst_b")) & ~linked).select("t", "a", "b")
+
+
 def _compare(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +288,7 @@ def compared(pairs: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, dim: int, k: int = K, links: int = LINKS) -> DataFrame:
     """(t, id, links): the graph after descent; links are (far = -cosine, id), best first.
 
-    A pair is compared once: each round leaves out the pairs of the rounds before.
+    A pair is compared once: each round after the first takes only pairs over a link that the round before found.
     """
     n, of_block = nodes.count(), ["t", "block", "part", "salt"]
     spread = _divided(nodes).repartition(max(1, 2 * n // (TASK_BLOCKS * BLOCK)), *of_block)  # tasks follow the data, whatever the session's setting
@@ -276,14 +296,14 @@ def neighbour_graph(nodes: DataFrame, dim: int, k: int = K, links: int = LINKS)
     graph = stored(_best(_both_ways(_rows(blocks)), links, k))
     least_change, compared_before = CHANGED * k * n, None
     for _ in range(ROUNDS):
-        pairs = candidates(graph, k)
-        pairs = stored(pairs if compared_before is None else pairs.join(compared_before, ["t", "a", "b"], "left_anti"))
+        first = compared_before is None
+        pairs = stored(candidates(graph, k) if first else new_candidates(graph, k).join(compared_before, ["t", "a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
         graph = stored(_best(_rows(graph).unionByName(compared(pairs, nodes, dim)), links, k))
         if graph.agg(F.sum("changed")).first()[0] <= least_change:
             break
-        compared_before = pairs if compared_before is None else compared_before.unionByName(pairs)
+        compared_before = pairs if first else compared_before.unionByName(pairs)
     return graph.select("t", "id", "links")
 
 
@@ -325,7 +345,7 @@ def _with_copies(index: Index, links: DataFrame, k: int) -> DataFrame:
     by_node = index.sets.select("t", F.element_at("ids", 1).alias("other"), F.slice("ids", 1, k + 1).alias("ids"))
     wide = links.join(F.broadcast(by_node) if index.few else by_node, ["t", "other"], "left")
     wide = wide.select("t", "id", "far", F.explode(F.coalesce("ids", F.array("other"))).alias("other")).where(F.col("other") != F.col("id"))
-    return _best(wide.withColumn("fresh", F.lit(False)), k, k).drop("changed")
+    return _best(wide.withColumn("fresh", F.lit(False)), k, k).select("t", "id", "links")
 
 
 def _named(index: Index) -> Column:
