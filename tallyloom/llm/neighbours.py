@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector, by NN-descent over a neighbour graph.
 
 Start: centroids are fitted on a bounded sample; every vector goes to the blocks of its two nearest ones, and each block,
-of bounded size, links its members; links count both ways. Descent: neighbours of neighbours are joined as candidates; those
+of bounded size, links its members; links count both ways. Descent: neighbours of neighbours, both ways, are joined as candidates; those
 that a bound rules out are dropped before any vector moves, the others are compared and merged, until little changes.
 Exact copies are one node of the graph and are told apart again at the end.
 
@@ -22,6 +22,7 @@ from tallyloom.plans.lineage import stored
 
 DIM, K = 384, 5
 LINKS = 8  # neighbours that a node keeps during descent
+REVERSE = 16  # nearest of the nodes that hold a node, by which it is joined beside its own links
 BLOCK = 2048  # vectors per centroid
 BLOCK_MAX = 8192  # rows of a block that are compared with each other in one task; larger blocks are divided
 TASK_BLOCKS = 4  # blocks of usual size that a task links
@@ -222,43 +223,38 @@ def _both_ways(rows: DataFrame) -> DataFrame:
     return rows.unionByName(rows.select("t", F.col("other").alias("id"), "far", F.col("id").alias("other"), "fresh"))
 
 
-def candidates(graph: DataFrame, k: int) -> DataFrame:
-    """(t, a, b), a < b: nodes two links apart, not linked, that the bound leaves a chance to be among the k nearest of one.
+def new_candidates(graph: DataFrame, k: int, links: int = LINKS) -> DataFrame:
+    """(t, a, b), a < b: nodes two links apart over at least one link of `news`, not linked, that the bound leaves a chance to be
+    among the k nearest of one; all over two older links were met in a round before, when the bound was no stricter.
 
-    For cosines p and q of the two links the third is p q + r sqrt((1 - p^2) (1 - q^2)) with some r of -1 to 1.
+    Links count both ways: from a node over each that it holds or that holds it to that one's links and to the REVERSE nearest of
+    those that hold it. So every node that points to a hub reads the hub's surroundings, and none reads more than these. For
+    cosines p and q of the two links the third is p q + r sqrt((1 - p^2) (1 - q^2)) with some r of -1 to 1.
     """
     open_part = lambda c: F.sqrt(F.greatest(F.lit(0.0), 1 - c * c))
     most = lambda p: F.sqrt(p * p + OPEN_CORRELATION**2 * (1 - p * p))  # noqa: E731  # over all q
-    worst = F.when(F.size("links") >= k, -F.element_at("links", k)["far"]).otherwise(F.lit(-2.0))
-    known = F.transform("links", lambda x: F.hash(x["id"]))
-    here = graph.select("t", "id", worst.alias("worst"), known.alias("known"), F.explode("links").alias("via"))
-    here = here.select("t", "id", "worst", "known", F.col("via.id").alias("middle"), (-F.col("via.far")).alias("p")).where(most(F.col("p")) > F.col("worst"))
-    there = graph.select("t", F.col("id").alias("middle"), "links")
-    q = -F.col("next.far")
+    marked = F.transform("links", lambda x: F.struct(x["id"].alias("id"), (-x["far"]).alias("cosine"), F.array_contains(F.transform("news", lambda y: y["id"]), x["id"]).alias("fresh")))
+    worst = F.when(F.size("links") >= k, -F.element_at("links", k)["far"]).otherwise(F.lit(-2.0)).alias("worst")
+    known = F.transform("links", lambda x: F.hash(x["id"])).alias("known")
+    edge = [F.col("via.id"), F.col("via.cosine").alias("p"), F.col("via.fresh").alias("fresh")]
+
+    edges = graph.select("t", F.col("id").alias("middle"), F.explode(marked).alias("via"))
+    around = _best(_both_ways(edges.select("t", F.col("middle").alias("id"), (-F.col("via.cosine")).alias("far"), F.col("via.id").alias("other"), F.col("via.fresh").alias("fresh"))), links + REVERSE, k)
+    around = around.select("t", F.col("id").alias("middle"), marked.alias("nexts"))
+    held = graph.select("t", "id", worst, known, F.explode(marked).alias("via")).select("t", "id", "worst", "known", F.col("via.id").alias("middle"), *edge[1:])
+    holding = edges.select("t", "middle", *edge).join(graph.select("t", "id", worst, known), ["t", "id"]).where(~F.array_contains("known", F.hash("middle")))
+    here = held.unionByName(holding).where(most(F.col("p")) > F.col("worst"))
+    # over an older link only those middles count that have a new one
+    older, ends = here.where(~F.col("fresh")), F.explode(F.array("middle", "via.id")).alias("middle")
+    moved = stored(edges.where("via.fresh").select("t", ends).distinct())
+    older = older.join(F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved, ["t", "middle"], "left_semi")
+    q = F.col("next.cosine")
     chance = F.col("p") * q + F.lit(OPEN_CORRELATION) * open_part(F.col("p")) * open_part(q)
-    far = here.join(there, ["t", "middle"]).select("t", "id", "worst", "known", "p", F.explode("links").alias("next"))
-    far = far.where((F.col("next.id") != F.col("id")) & (chance > F.col("worst")) & ~F.array_contains("known", F.hash("next.id")))
+    far = here.where("fresh").unionByName(older).join(around, ["t", "middle"]).select("t", "id", "worst", "known", "p", "fresh", F.explode("nexts").alias("next"))
+    far = far.where((F.col("fresh") | F.col("next.fresh")) & (F.col("next.id") != F.col("id")) & (chance > F.col("worst")) & ~F.array_contains("known", F.hash("next.id")))
     return far.select("t", F.least("id", "next.id").alias("a"), F.greatest("id", "next.id").alias("b")).distinct()
 
 
-def new_candidates(graph: DataFrame, k: int) -> DataFrame:
-    """(t, a, b): of the candidates, those over at least one link of `news`; all others were met in the round before.
-
-    Both ends of such a pair are links of one node, so that the pairs come out of its own row.
-    """
-    open_part = lambda c: F.sqrt(F.greatest(F.lit(0.0), 1 - c * c))
-    around = graph.where(F.size("news") > 0).select("t", F.explode("news").alias("x"), "links").select("t", "x", F.explode("links").alias("y")).where("x.id <> y.id")
-    p, q = -F.col("x.far"), -F.col("y.far")
-    chance = p * q + F.lit(OPEN_CORRELATION) * open_part(p) * open_part(q)
-    ends = around.select("t", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), chance.alias("chance")).groupBy("t", "a", "b").agg(F.max("chance").alias("chance"))
-    worst = F.when(F.size("links") >= k, -F.element_at("links", k)["far"]).otherwise(F.lit(-2.0))
-    known = F.transform("links", lambda x: F.hash(x["id"]))
-    of = lambda end: graph.select("t", F.col("id").alias(end), worst.alias(f"worst_{end}"), known.alias(f"known_{end}"))
-    met = ends.join(of("a"), ["t", "a"]).join(of("b"), ["t", "b"])
-    linked = F.array_contains("known_a", F.hash("b")) | F.array_contains("known_b", F.hash("a"))
-    return met.where((F.col("chance") > F.least("worst_a", "worst_b")) & ~linked).select("t", "a", "b")
-
-
 def _compare(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,22 +284,22 @@ def compared(pairs: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, dim: int, k: int = K, links: int = LINKS) -> DataFrame:
     """(t, id, links): the graph after descent; links are (far = -cosine, id), best first.
 
-    A pair is compared once: each round after the first takes only pairs over a link that the round before found.
+    A pair is compared once: each round takes only pairs over a link that the round before found; to the first all links are new.
     """
     n, of_block = nodes.count(), ["t", "block", "part", "salt"]
     spread = _divided(nodes).repartition(max(1, 2 * n // (TASK_BLOCKS * BLOCK)), *of_block)  # tasks follow the data, whatever the session's setting
     blocks = spread.groupBy(*of_block).applyInArrow(_link(dim, links), _LINKS)
-    graph = stored(_best(_both_ways(_rows(blocks)), links, k))
+    graph = stored(_best(_both_ways(_rows(blocks, fresh=True)), links, k))
     least_change, compared_before = CHANGED * k * n, None
     for _ in range(ROUNDS):
-        first = compared_before is None
-        pairs = stored(candidates(graph, k) if first else new_candidates(graph, k).join(compared_before, ["t", "a", "b"], "left_anti"))
+        pairs = new_candidates(graph, k, links)
+        pairs = stored(pairs if compared_before is None else pairs.join(compared_before, ["t", "a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
         graph = stored(_best(_rows(graph).unionByName(compared(pairs, nodes, dim)), links, k))
         if graph.agg(F.sum("changed")).first()[0] <= least_change:
             break
-        compared_before = pairs if first else compared_before.unionByName(pairs)
+        compared_before = pairs if compared_before is None else compared_before.unionByName(pairs)
     return graph.select("t", "id", "links")
 
 

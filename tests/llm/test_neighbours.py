@@ -101,3 +101,28 @@ def test_search_for_vectors_outside_the_graph(spark, monkeypatch):
         best = np.argsort(-(x @ np.array(v)))[:5] + 1
         hits += len(set(best) & set(got[i + 100000]))
     assert hits / (5 * len(asked)) >= 0.9
+
+
+def test_new_links_are_joined_in_both_directions(spark):
+    link = lambda i, cosine: (-cosine, i)
+    rows = [  # 1 holds the hub 9, which doesn't hold it; 2 is new in the hub's list; 4 has just found the hub 8, which doesn't hold it
+        (0, 1, [link(9, 0.8)], []), (0, 9, [link(2, 0.9), link(3, 0.85)], [link(2, 0.9)]), (0, 2, [], []), (0, 3, [], []),
+        (0, 4, [link(8, 0.8)], [link(8, 0.8)]), (0, 8, [link(5, 0.9)], []), (0, 5, [], []), (0, 6, [link(8, 0.7)], []),  # 6 holds it longer
+    ]
+    kind = "array<struct<far: double, id: bigint>>"
+    graph = spark.createDataFrame(rows, f"t int, id bigint, links {kind}, news {kind}")
+    assert {(r.a, r.b) for r in nb.new_candidates(graph, 5).collect()} == {(1, 2), (2, 3), (4, 5), (4, 6)}
+
+
+@pytest.mark.parametrize("block_max", [24])
+def test_recall_of_the_hot_rows_alone(spark, monkeypatch, block_max):
+    monkeypatch.setattr(nb, "BLOCK", 60)
+    monkeypatch.setattr(nb, "BLOCK_MAX", block_max)
+    rng = np.random.default_rng(6)
+    rows = vectors(1200, 5, clusters=150)
+    rows = [(i, v if i % 3 else [float(x) for x in np.float32(np.array(rows[0][1]) + 0.05 * rng.standard_normal(DIM))]) for i, v in rows]
+    got, want = {r.id: r.near for r in nb.nearest({"a": frame(spark, rows)}, DIM).collect()}, exact(rows, 5)
+    hot = [i for i, _ in rows if i % 3 == 0]
+    share = sum(len(set(got[i]) & set(want[i])) for i in hot) / (5 * len(hot))
+    print("recall of the hot rows", block_max, share)
+    assert share >= 0.9, share
