@@ -2,8 +2,8 @@
 
 Messages (the sentences of a document's body, without code, quotes and markup) run through a prefix tree of fixed depth:
 number of tokens, then the first tokens with numbers masked. All messages of a leaf make one template, whose tokens are kept
-where they agree. Templates are classified once and their verdicts go back to the documents by leaf; only messages of a
-leaf whose extremes are judged differently are judged by themselves. A document is
+where they agree. Each distinct message is judged once; a leaf whose messages are all judged alike gives its verdict back to the
+documents as a whole, the messages of any other leaf have their own. A document is
 residue if at least one of its messages is, and none is content. Placeholders are found on their own, in any document:
 a slot is sure by its delimiters, or by ambiguous delimiters around a name that sure slots of the corpus have.
 """
@@ -126,18 +126,21 @@ def leaf(message: Column) -> Column:
     return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH))
 
 
-def templates(said: DataFrame) -> DataFrame:
-    """(leaf, template, kind, n_messages): tokens on which the messages of a leaf agree, <*> elsewhere, and its verdict.
+def judgements(said: DataFrame) -> DataFrame:
+    """(leaf, message, kind, n_messages): every distinct message with its verdict and how often it is said."""
+    distinct = said.groupBy("leaf", "message").agg(F.count("*").alias("n_messages"))
+    return distinct.withColumn("kind", verdict(F.col("message")))
 
-    The least and the largest message of a leaf stand for it, so a hot leaf is combined before it is shuffled. Where the
-    two are judged differently the kind is "divided".
+
+def templates(judged: DataFrame) -> DataFrame:
+    """(leaf, template, kind, n_messages): tokens on which the least and the largest message of a leaf agree, <*> elsewhere, and
+    the verdict on all its messages; "divided" where any two of them are judged differently.
     """
-    ends = said.groupBy("leaf").agg(F.min("message").alias("a"), F.max("message").alias("b"), F.count("*").alias("n_messages"))
+    of = F.coalesce("kind", F.lit("content"))
+    ends = judged.groupBy("leaf").agg(F.min("message").alias("a"), F.max("message").alias("b"), F.sum("n_messages").alias("n_messages"), F.min(of).alias("least"), F.max(of).alias("most"))
     agreed = F.zip_with(F.split("a", " "), F.split("b", " "), lambda x, y: F.when(x == y, x).otherwise("<*>"))
-    both = ends.withColumn("kinds", F.transform(F.array_distinct(F.array("a", "b")), verdict))
-    one = (F.size("kinds") == 1) | F.col("kinds")[0].eqNullSafe(F.get("kinds", F.lit(1)))
-    kind = F.when(one, F.col("kinds")[0]).otherwise(F.lit("divided"))
-    return both.select("leaf", F.concat_ws(" ", agreed).alias("template"), kind.alias("kind"), "n_messages")
+    kind = F.when(F.col("least") != F.col("most"), "divided").when(F.col("least") != "content", F.col("least"))
+    return ends.select("leaf", F.concat_ws(" ", agreed).alias("template"), kind.alias("kind"), "n_messages")
 
 
 def verdict(template: Column) -> Column:
@@ -165,10 +168,12 @@ def residue(documents: DataFrame) -> DataFrame:
     Null, empty and blank texts and texts of nothing but furniture, code or signs are none.
     """
     said = stored(messages(documents.where(F.col("text").isNotNull())).withColumn("leaf", leaf(F.col("message"))))
-    judged = stored(templates(said).where(F.col("kind").isNotNull()).select("leaf", "kind"))
-    few = judged.count() <= BROADCAST_ROWS
-    known = said.join(F.broadcast(judged) if few else judged, "leaf", "left")
-    known = known.withColumn("kind", F.when(F.col("kind") == "divided", verdict(F.col("message"))).otherwise(F.col("kind")))
+    each = stored(judgements(said))
+    leaves = stored(templates(each).where(F.col("kind").isNotNull()).select("leaf", F.col("kind").alias("of_leaf")))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    own = stored(each.where(F.col("kind").isNotNull()).join(small(leaves.where("of_leaf = 'divided'").select("leaf")), "leaf", "left_semi").select("message", "kind"))
+    known = said.join(small(leaves), "leaf", "left").join(small(own), "message", "left")
+    known = known.withColumn("kind", F.when(F.col("of_leaf") == "divided", F.col("kind")).otherwise(F.col("of_leaf")))
     of = lambda kind: F.max(F.col("kind") == kind)
     whole = known.groupBy("doc_id").agg(F.max(F.col("kind").isNull()).alias("content"), *(F.coalesce(of(k), F.lit(False)).alias(k) for k in ("filler", "error", "script")))
     kinds = F.array_compact(F.array(*(F.when(F.col(k), k) for k in ("filler", "error", "script"))))

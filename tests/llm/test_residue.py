@@ -44,3 +44,12 @@ def test_divided_leaves_are_judged_one_by_one(spark):
     rows = [(1, "you really should now enable javascript"), (2, "you really should now feed goldfish"), (3, "you really should now visit grandmother")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [(r.doc_id, r.kind) for r in residue.not_content(df).collect()] == [(1, "script")]
+
+
+def test_messages_between_the_ends_of_a_leaf_are_judged(spark):
+    rows = [(1, "you really should now adopt cats"), (2, "you really should now enable javascript"), (3, "you really should now feed goldfish")]
+    rows += [(4, "error 500 in the alpha"), (5, "error 500 in the server"), (6, "error 500 in the zeta")]
+    rows += [(7, "the old page was not found"), (8, "the old page was opened again"), (9, "the old page was read. the old page was timed out")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.kind for r in residue.not_content(df).collect()}
+    assert got == {2: "script", 4: "error", 5: "error", 6: "error", 7: "error"}
