@@ -1,12 +1,15 @@
 """Token ids of whole documents by a public byte-level tokenizer, as a monoid over pieces of text.
 
-`join(encode(a), encode(b)) == encode(a + b)` holds exactly: a window around the seam is encoded again and grows to the
-right until it meets a word start of the right part that no longer depends on what is left of it. So texts are encoded by
-halves, long ones in several tasks, and the parts are joined pairwise up a tree.
+A place is stable where a character that is no white space is followed by a space or line feed: whatever stands around
+it, a word of the splitter begins there, so tokens on either side don't depend on the other side. A piece of text is
+kept as its text up to its first stable place, the ids from there to its last one, and the text from there on. Two
+neighbours are joined by encoding the window around their seam, which grows to the next stable place on either side. So
+texts are encoded by halves down to leaves, and only ids and seams go up the tree, never whole texts. Parts of one text
+that several tasks encoded meet in one shuffle, since its ids make one row in the end.
 """
 
-import math
-import os
+import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -17,161 +20,150 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.plans.lineage import over_all_cores
-
-LEAF = 1 << 14  # characters that are encoded at once
+LEAF = 1 << 10  # characters that are encoded at once: the base case of the tree
 PART = 1 << 16  # characters of a document that one task encodes; longer documents are spread over tasks
-AT_ONCE = 1 << 19  # characters of whole documents that are encoded together
-LOOKAHEAD = 3  # how far beyond its end the splitter's choice of a word can depend on the text (contractions: ' and two letters)
-WINDOW = 64
+STABLE = re.compile(r"\S(?=[ \n])")
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")  # too long for the splitter's stack
+NONE = np.zeros(0, dtype=np.int32)
 
 
 def default_path() -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 @lru_cache(4)
 def load(path: str):
-    """The tokenizer, once per worker; the strings of special tokens are ordinary text to it."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-    from tokenizers import Tokenizer
+    """The tokenizer of a file of ranks, once per worker; it has no special tokens, so their strings are ordinary text."""
+    import public_tokenizers
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("of_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Encoded(NamedTuple):
-    """A text, its ids, the places where its words start, and the index of each word's first id."""
+class Piece(NamedTuple):
+    """A text as head, ids of what is between its first and last stable place, and tail; without such a place, a head only."""
 
-    text: str
-    ids: np.ndarray
-    starts: np.ndarray
-    first: np.ndarray
+    head: str
+    ids: np.ndarray | None
+    tail: str
 
 
-def encode_leaf(text: str, tokenizer) -> Encoded:
-    e = tokenizer.encode(text, add_special_tokens=False)
-    words = np.array([w for w in e.word_ids], dtype=np.int64)
-    spans = tokenizer.pre_tokenizer.pre_tokenize_str(text)
-    starts = np.array([s for _, (s, _) in spans], dtype=np.int64)
-    return Encoded(text, np.array(e.ids, dtype=np.int32), starts, np.searchsorted(words, np.arange(len(starts))))
+def encode_text(text: str, tokenizer) -> np.ndarray:
+    """The ids of a text; of a very long run of white space all but the last character before more text is one word."""
+    m = LONG_BLANK.search(text) if len(text) >= 10_000 else None
+    if m is None:
+        return np.array(tokenizer.encode_ordinary(text), dtype=np.int32) if text else NONE
+    end = m.end() - (m.end() < len(text))
+    blank = np.array(tokenizer._encode_single_piece(text[m.start() : end]), dtype=np.int32)
+    return np.concatenate([encode_text(text[: m.start()], tokenizer), blank, encode_text(text[end:], tokenizer)])
 
 
-def join(a: Encoded, b: Encoded, tokenizer) -> Encoded:
-    """encode(a.text + b.text), encoding again only a window around the seam."""
-    if not a.text or not b.text:
-        return b if not a.text else a
-    fixed = int(np.searchsorted(a.starts, len(a.text) - LOOKAHEAD, side="right")) - 1
-    anchor = max(0, fixed)  # a word of a whose start cannot depend on b
-    left = int(a.starts[anchor]) if fixed >= 0 else 0
-    reach = WINDOW
+def _last_stable(text: str, first: int) -> int:
+    at = len(text)
     while True:
-        reach = min(reach, len(b.text))
-        window = encode_leaf(a.text[left:] + b.text[:reach], tokenizer)
-        places = window.starts + left - len(a.text)  # in b
-        if reach == len(b.text):
-            here, there = len(window.starts), len(b.starts)
-            sure = places[(places > 0)]
-        else:
-            sure = places[(places > 0) & (places <= reach - LOOKAHEAD)]
-        common = sure[np.isin(sure, b.starts)]
-        if len(common):
-            here, there = int(np.searchsorted(places, common[0])), int(np.searchsorted(b.starts, common[0]))
-        elif reach < len(b.text):
-            reach *= 2
-            continue
-        break
-    cut_a, cut_w = int(a.first[anchor]), int(window.first[here]) if here < len(window.first) else len(window.ids)
-    cut_b = int(b.first[there]) if there < len(b.first) else len(b.ids)
-    ids = np.concatenate([a.ids[:cut_a], window.ids[:cut_w], b.ids[cut_b:]])
-    starts = np.concatenate([a.starts[:anchor], window.starts[:here] + left, b.starts[there:] + len(a.text)])
-    first = np.concatenate([a.first[:anchor], window.first[:here] + cut_a, b.first[there:] - cut_b + cut_a + cut_w])
-    return Encoded(a.text + b.text, ids, starts, first)
-
-
-def encode(text: str, tokenizer, leaf: int = LEAF) -> Encoded:
+        at = max(text.rfind(" ", first, at), text.rfind("\n", first, at))
+        if at <= first or not text[at - 1].isspace():
+            return max(at, first)
+
+
+def leaf_piece(text: str, tokenizer) -> Piece:
+    m = STABLE.search(text)
+    if m is None:
+        return Piece(text, None, "")
+    last = _last_stable(text, m.end())
+    return Piece(text[: m.end()], encode_text(text[m.end() : last], tokenizer), text[last:])
+
+
+def join(a: Piece, b: Piece, tokenizer) -> Piece:
+    """The piece of both texts in a row: an associative operation, of which the empty text is the unit."""
+    if a.ids is None and b.ids is None:
+        return leaf_piece(a.head + b.head, tokenizer)
+    if a.ids is None:
+        return Piece(a.head + b.head, b.ids, b.tail)
+    if b.ids is None:
+        return Piece(a.head, a.ids, a.tail + b.head)
+    return Piece(a.head, np.concatenate([a.ids, encode_text(a.tail + b.head, tokenizer), b.ids]), b.tail)
+
+
+def encode(text: str, tokenizer, leaf: int = LEAF) -> Piece:
     """By halves down to leaves, joined on the way back."""
     if len(text) <= leaf:
-        return encode_leaf(text, tokenizer)
+        return leaf_piece(text, tokenizer)
     half = len(text) // 2
     return join(encode(text[:half], tokenizer, leaf), encode(text[half:], tokenizer, leaf), tokenizer)
 
 
+def joined(pieces: list[Piece], tokenizer) -> Piece:
+    """All pieces in a row, pairwise up a tree."""
+    while len(pieces) > 1:
+        pieces = [join(*pieces[i : i + 2], tokenizer) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
+    return pieces[0]
+
+
+def ids_of(piece: Piece, tokenizer) -> np.ndarray:
+    """The ids of a piece that is a whole text."""
+    if piece.ids is None:
+        return encode_text(piece.head, tokenizer)
+    return np.concatenate([encode_text(piece.head, tokenizer), piece.ids, encode_text(piece.tail, tokenizer)])
+
+
 def encode_ids(documents: DataFrame, path: str | None = None, part: int = PART, leaf: int = LEAF, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row; an empty or null text has no ids. Nothing is cut off, whatever a text's length.
 
     Texts of up to `part` characters are encoded where they are read, without a shuffle. Longer ones are cut into parts,
-    one row each, and their encoded parts are joined pairwise, one shuffle per level of the tree; the number of levels
-    follows the longest text.
+    which any tasks encode; the parts of a text are joined after one shuffle of ids and seams. Rows of equal doc_id and
+    text give as many equal rows.
     """
     path = path or default_path()
-    rows = over_all_cores(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    longest = rows.select(F.max(F.length("text"))).first()[0] or 0
-    short = rows.where(F.col("text").isNull() | (F.length("text") <= part)).mapInArrow(_short(path, leaf), "doc_id long, ids array<int>")
-    if longest <= part:
-        return short
-    # each long row gets a number of its own, so that rows of equal doc_id are not mixed
-    long_rows = rows.where(F.length("text") > part).withColumn("row", F.struct("doc_id", F.md5("text").alias("digest"), F.monotonically_increasing_id().alias("n")))
-    nodes = F.expr(f"transform(sequence(0, int((length(text) - 1) / {part})), i -> struct(i as node, substring(text, i * {part} + 1, {part}) as text))")
-    parts = long_rows.select("row", F.inline(nodes)).repartition("row.digest", "row.n", "node")
-    level = parts.mapInPandas(_leaves(path, leaf), f"{_ROW}, node int, {_ELEMENT}")
-    for _ in range(math.ceil(math.log2(-(-longest // part)))):
-        level = level.groupBy("row", F.floor(F.col("node") / 2).cast("int").alias("node")).applyInPandas(_joiner(path), f"{_ROW}, node int, {_ELEMENT}")
-    return short.unionByName(level.select("row.doc_id", "ids"))
-
-
-_ROW = "row struct<doc_id: bigint, digest: string, n: bigint>"
-_ELEMENT = "text string, ids array<int>, starts array<bigint>, first array<bigint>"
-
-
-def _short(path: str, leaf: int):
-    def ids_of(texts: list[str]) -> list:
-        """Whole leaves at once, but no more than AT_ONCE characters of them, since each encoding holds much besides its ids."""
-        tokenizer, ids, waiting, size = load(path), [None] * len(texts), [], 0
-
-        def encode_waiting() -> None:
-            for i, e in zip(waiting, tokenizer.encode_batch_fast([texts[i] for i in waiting], add_special_tokens=False)):
-                ids[i] = np.array(e.ids, dtype=np.int32)
-
-        for i, text in enumerate(texts):
-            if len(text) > leaf:
-                ids[i] = encode(text, tokenizer, leaf).ids
-                continue
-            if size + len(text) > AT_ONCE:
-                encode_waiting()
-                waiting, size = [], 0
-            waiting.append(i)
-            size += len(text)
-        encode_waiting()
-        return ids
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    short = rows.where(F.col("text").isNull() | (F.length("text") <= part)).mapInArrow(_whole(path, leaf), "doc_id long, ids array<int>")
+    parts = F.expr(f"transform(sequence(0, int((length(text) - 1) / {part})), i -> struct(i as node, substring(text, i * {part} + 1, {part}) as text))")
+    cut = rows.where(F.length("text") > part).select("doc_id", F.md5("text").alias("digest"), F.inline(parts))
+    encoded = cut.repartition("doc_id", "digest", "node").mapInArrow(_parts(path, leaf), "doc_id long, digest string, node int, head string, ids array<int>, tail string")
+    return short.unionByName(encoded.groupBy("doc_id", "digest").applyInArrow(_whole_of_parts(path), "doc_id long, ids array<int>"))
+
+
+def _lists(ids: list[np.ndarray], missing: list[bool] | None = None) -> pa.ListArray:
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+    flat = pa.array(np.concatenate(ids) if ids else NONE, pa.int32())
+    return pa.ListArray.from_arrays(offsets, flat, mask=pa.array(missing) if missing is not None else None)
+
 
+def _whole(path: str, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(path)
         for batch in batches:
-            ids = ids_of([t or "" for t in batch.column("text").to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["doc_id", "ids"])
+            ids = [ids_of(encode(t or "", tokenizer, leaf), tokenizer) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
     return run
 
 
-def _leaves(path: str, leaf: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = [encode(t, load(path), leaf) for t in b["text"]]
-            yield pd.DataFrame({"row": b["row"], "node": b["node"], **{f: [getattr(e, f) for e in done] for f in Encoded._fields}})
+def _parts(path: str, leaf: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(path)
+        for batch in batches:
+            pieces = [encode(t, tokenizer, leaf) for t in batch.column("text").to_pylist()]
+            ids = _lists([NONE if p.ids is None else p.ids for p in pieces], [p.ids is None for p in pieces])
+            seams = [pa.array([getattr(p, f) for p in pieces], pa.string()) for f in ("head", "tail")]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "digest", "node")), seams[0], ids, seams[1]], ["doc_id", "digest", "node", "head", "ids", "tail"])
 
     return run
 
 
-def _joiner(path: str):
-    def run(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
-        parts = [Encoded(r.text, *(np.asarray(x) for x in (r.ids, r.starts, r.first))) for r in pair.sort_values("node").itertuples()]
-        e = parts[0] if len(parts) == 1 else join(parts[0], parts[1], load(path))
-        return pd.DataFrame({"row": [key[0]], "node": [key[1]], **{f: [getattr(e, f)] for f in Encoded._fields}})
+def _whole_of_parts(path: str):
+    def run(parts: pa.Table) -> pa.Table:
+        tokenizer, nodes = load(path), parts["node"].to_numpy()
+        first = {int(n): i for i, n in reversed(list(enumerate(nodes)))}  # of equal rows each part comes several times
+        at = [first[n] for n in sorted(first)]
+        heads, tails, ids = parts["head"].to_pylist(), parts["tail"].to_pylist(), parts["ids"].combine_chunks()
+        pieces = [Piece(heads[i], ids[i].values.to_numpy() if ids[i].is_valid else None, tails[i]) for i in at]
+        whole, n = ids_of(joined(pieces, tokenizer), tokenizer), int((nodes == 0).sum())
+        return pa.table({"doc_id": pa.array([parts["doc_id"][0].as_py()] * n, pa.int64()), "ids": _lists([whole] * n)})
 
     return run
 
@@ -182,7 +174,7 @@ def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": load(path).decode_batch([list(map(int, x)) for x in b["ids"]], skip_special_tokens=False)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [load(path).decode(np.asarray(x).tolist()) for x in b["ids"]]})
 
     return encoded.mapInPandas(run, "doc_id long, text string")
 

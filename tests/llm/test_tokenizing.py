@@ -1,33 +1,50 @@
 import random
 
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tallyloom.llm import tokenizing as tk
 
 TOKENIZER = tk.load(tk.default_path())
+OTHER = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))  # the same vocabulary in another library
+OTHER.encode_special_tokens = True
 ALPHABET = "ab'srevlmd  \n\t12é!…٪ا‌ن漢🚀<|endoftext|>"
 
 
 def whole(text):
-    return TOKENIZER.encode(text, add_special_tokens=False).ids
+    return OTHER.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=ALPHABET, max_size=150), st.integers(1, 30))
 def test_tree_equals_whole(text, leaf):
-    e, at_once = tk.encode(text, TOKENIZER, leaf), tk.encode_leaf(text, TOKENIZER)
-    assert list(e.ids) == whole(text)
-    assert list(e.starts) == list(at_once.starts) and list(e.first) == list(at_once.first)
+    assert list(tk.ids_of(tk.encode(text, TOKENIZER, leaf), TOKENIZER)) == whole(text)
 
 
 def test_join_is_associative():
     random.seed(4)
     for _ in range(200):
-        a, b, c = (tk.encode_leaf("".join(random.choice(ALPHABET) for _ in range(random.randint(0, 25))), TOKENIZER) for _ in range(3))
-        left = tk.join(tk.join(a, b, TOKENIZER), c, TOKENIZER)
-        right = tk.join(a, tk.join(b, c, TOKENIZER), TOKENIZER)
-        assert list(left.ids) == list(right.ids) == whole(a.text + b.text + c.text)
+        texts = ["".join(random.choice(ALPHABET) for _ in range(random.randint(0, 25))) for _ in range(3)]
+        a, b, c = (tk.leaf_piece(t, TOKENIZER) for t in texts)
+        left, right = tk.join(tk.join(a, b, TOKENIZER), c, TOKENIZER), tk.join(a, tk.join(b, c, TOKENIZER), TOKENIZER)
+        assert list(tk.ids_of(left, TOKENIZER)) == list(tk.ids_of(right, TOKENIZER)) == whole("".join(texts))
+
+
+def test_long_blanks():
+    for text in ("a" + "\n" * 30_000 + "b c", " " * 20_000 + "\t", "x" + " \r\n" * 9000 + "y" + " " * 12_000):
+        assert list(tk.ids_of(tk.encode(text, TOKENIZER), TOKENIZER)) == whole(text)
+    assert len(tk.encode_text("\n" * 1_000_000 + "end", TOKENIZER)) > 1
+
+
+def test_all_documents(spark):
+    """Every document, with leaves so small that most take many levels, and parts that several tasks encode."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    given = {r.doc_id: r.text or "" for r in documents.collect()}
+    assert sum(len(t) > 4 * 128 for t in given.values()) > 500
+    for part, leaf in ((1 << 16, 128), (600, 100)):
+        assert {r.doc_id: r.ids for r in tk.encode_ids(documents, part=part, leaf=leaf).collect()} == {k: whole(t) for k, t in given.items()}
 
 
 def test_documents(spark):
