@@ -40,6 +40,7 @@ QUERIES = {
     "p3_search": lambda spark, d: neighbours.searched(_embedded(spark, d)),
     "p5_found": lambda spark, d: splitting.hardest_cuts(_split(spark, d)),
     "p5_pieces": lambda spark, d: splitting.piece_rows(_split(spark, d)),
+    "p5_checked": lambda spark, d: splitting.checked(_split(spark, d)),
     "p6_ids": lambda spark, d: tokenizing.encode_ids(table(spark, d, "documents", "doc_id", "text")),
     "p7_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
     "p7_passages": _leaks,
@@ -58,6 +59,7 @@ SQL = {
 r as (select *, row_number() over (partition by chunk_table, id order by similarity desc, other) as rank from s)
 select distinct chunk_table, least(id, other) as id_a, greatest(id, other) as id_b from r where rank <= 5""",
     "p7_found": f"select distinct doc_id, item_id from {_WINDOWS.format('doc_id', 'documents')} d join {_WINDOWS.format('item_id', 'eval_items')} i on i.passage = d.passage",
+    "p5_checked": " union all ".join(f"select '{t}' as chunk_table, id, md5(chunk) as digest, true as within, true as overlapping from {t} where length(chunk) > 1200" for t in ("rules_chunks", "code_chunks")),
     "p5_found": r"""
 with chunks as (select 'rules_chunks' as chunk_table, id, chunk from rules_chunks union all
     select 'code_chunks', id, chunk from code_chunks),

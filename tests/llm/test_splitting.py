@@ -16,6 +16,7 @@ def check(text, limit, overlap):
     pieces = sp.cut_text(text, limit, overlap)
     assert all(0 < b - a <= limit and 0 <= o <= overlap and a + o < b for a, b, o, _ in pieces)
     assert "".join(text[a + o : b] for a, b, o, _ in pieces) == text
+    assert all(o > 0 or b - a == limit for a, b, o, _ in pieces[1:] if overlap)
     if len(text) > limit:
         kinds = {k for *_, k in pieces}
         assert max(kinds, key=sp.KINDS.index) == hardest(text, limit)
@@ -35,6 +36,12 @@ def test_edges():
     assert sp.cut_text("") == [] and sp.cut_text("short") == [(0, 5, 0, "line")]
 
 
+def test_hard_cuts_repeat_the_whole_overlap():
+    for n in (1300, 2400, 5000, 12_345):
+        pieces = check("a" * n, 1200, 100)
+        assert all(o == 100 for _, _, o, _ in pieces[1:])
+
+
 def test_blank_lines_are_preferred():
     text = ("line of words here\n" * 10 + "\n") * 4
     pieces = sp.cut_text(text, 250, 0)
@@ -53,3 +60,4 @@ def test_rows(spark):
         assert p.text.startswith(f"line {p.first_line - 10} ") and lines[p.start_char : p.end_char] == p.text
     assert sp.piece_rows(split).where("id = 2 and first_line is not null").count() == 0
     assert sp.split_oversized(df.limit(0)).count() == 0
+    assert {(r.within, r.overlapping) for r in sp.checked(split).collect()} == {(True, True)}
