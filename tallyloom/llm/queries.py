@@ -19,8 +19,8 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(both)
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_passages(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+def _leaks(spark: SparkSession, d: str, edits: int = 0) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"), edits=edits)
 
 
 def _embedded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -44,6 +44,7 @@ QUERIES = {
     "p6_ids": lambda spark, d: tokenizing.encode_ids(table(spark, d, "documents", "doc_id", "text")),
     "p7_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
     "p7_passages": _leaks,
+    "p7_edited": lambda spark, d: _leaks(spark, d, edits=2),
     "p8_found": lambda spark, d: _residue(spark, d).select("doc_id"),
     "p8_kinds": _residue,
     "p6_round_trip": lambda spark, d: tokenizing.round_trip(table(spark, d, "documents", "doc_id", "text")),

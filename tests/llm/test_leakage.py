@@ -1,4 +1,5 @@
 import random
+from functools import lru_cache
 
 import numpy as np
 
@@ -30,18 +31,57 @@ def test_against_brute_force(spark):
     ii = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(800, None), (801, "too short")], "item_id long, text string").selectExpr("*", "1 as doc_id")
     want = {(d, i) for d, w in docs for i, x in items if runs(x, w, 20)}
     assert want
-    for block in (lk.BLOCK_CHARS, 500):
-        got = [(r.doc_id, r.item_id) for r in lk.leaked_passages(dd, ii, block_chars=block).collect()]
+    for most in (lk.BROADCAST_GRAMS, 0):
+        got = [(r.doc_id, r.item_id) for r in lk.leaked_passages(dd, ii, broadcast_grams=most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_edits(spark):
-    text = [f"alpha{i}" for i in range(30)]
-    changed = text[:10] + ["other"] + text[11:30]
-    docs = spark.createDataFrame([(1, " ".join(changed)), (2, " ".join(text[:19]))], "doc_id long, text string")
-    items = spark.createDataFrame([(1, " ".join(text))], "item_id long, text string")
+def best_alignment(item, text, edits):
+    """Words in common of the best alignment of parts of both, without bands."""
+
+    @lru_cache(None)
+    def after(i, j, e):
+        if e < 0:
+            return -(10**6)
+        best = 0
+        if i < len(item) and j < len(text) and item[i] == text[j]:
+            best = 1 + after(i + 1, j + 1, e)
+        if e and (i < len(item) or j < len(text)):
+            best = max(best, after(min(i + 1, len(item)), min(j + 1, len(text)), e - 1), after(min(i + 1, len(item)), j, e - 1), after(i, min(j + 1, len(text)), e - 1))
+        return best
+
+    return max((after(i, j, edits) for i in range(len(item)) for j in range(len(text)) if item[i] == text[j]), default=0)
+
+
+def test_edits_against_brute_force(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("abc") for _ in range(random.choice([1, 1, 2, 3, 5, 60])))
+    items = [(i, [word() for _ in range(random.randint(18, 40))]) for i in range(12)]
+    docs = []
+    for d in range(40):
+        w = list(random.choice(items)[1])
+        a = random.randint(0, 5)
+        w = w[a : a + random.randint(18, 26)]
+        for _ in range(random.randint(0, 4)):
+            at = random.randrange(len(w))
+            w[at : at + 1] = random.choice([[], [word()], [w[at], word()]])
+        docs.append((d, [word() for _ in range(random.randint(0, 12))] + w + [word() for _ in range(random.randint(0, 12))]))
+    dd = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    ii = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for edits in (0, 1, 2):
+        every = {(d, i): best_alignment(tuple(x), tuple(w), edits) for d, w in docs for i, x in items}
+        want = {k: n for k, n in every.items() if n >= 20}
+        assert want
+        for most in (lk.BROADCAST_GRAMS, 0):
+            assert {(r.doc_id, r.item_id): r.n_words for r in lk.leaked_passages(dd, ii, edits=edits, broadcast_grams=most).collect()} == want
+
+
+def test_a_long_word_changed(spark):
+    text = [f"w{i}" for i in range(10)] + ["x" * 100] + [f"v{i}" for i in range(11)]
+    docs = spark.createDataFrame([(1, " ".join(text[:10] + ["other"] + text[11:]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(text)), (1, "another text under the same id")], "item_id long, text string")
     assert lk.leaked_passages(docs, items, edits=0).count() == 0
-    assert [(r.doc_id, r.n_words) for r in lk.leaked_passages(docs, items, edits=2).collect()] == [(1, 29)]
+    assert [(r.doc_id, r.n_words) for r in lk.leaked_passages(docs, items, edits=1).collect()] == [(1, 21)]
 
 
 def test_no_items_and_no_documents(spark):
@@ -52,6 +92,9 @@ def test_no_items_and_no_documents(spark):
 
 
 def test_grams():
-    assert len(lk.grams("short")) == 0
-    h = lk.grams("abcdefghijklmnopq" * 2)
-    assert len(h) == 34 - lk.Q + 1 and h[0] == h[17] and len(np.unique(h)) == 17
+    s = lk.stream(["Ab, cd!", "", " É_ab\0cd "])
+    assert s.words(0, 2) == ["ab", "cd"] and s.words(2, 5) == ["é", "ab", "cd"] and list(s.of) == [0, 0, 2, 2, 2]
+    codes = lk.stream(["abcdefghijklmnopq" * 2]).codes
+    for q in (1, 2, 4, 16):
+        h = lk.grams(codes, np.arange(34), q)
+        assert all((h[i] == h[i + 17]) == (i + 17 + q <= 34) for i in range(17))
