@@ -1,8 +1,10 @@
 """The k most similar vectors of every vector, by NN-descent over a neighbour graph.
 
 Start: centroids are fitted on a bounded sample; every vector goes to the blocks of its two nearest ones, and each block,
-of bounded size, links its members; links count both ways. Descent: neighbours of neighbours, both ways, are joined as candidates; those
-that a bound rules out are dropped before any vector moves, the others are compared and merged, until little changes.
+divided if it is large, links its members. Descent: around every node its links and the nearest of the nodes that hold it are
+joined with each other, over at least one link that the round before found, and each keeps the best it meets, until little
+changes. The nodes of a zone, a group of near centroids, are joined in one task, so that a vector travels once to each zone that
+one of its links leads to or comes from, not once for each link; where zones end has no effect on the result.
 Exact copies are one node of the graph and are told apart again at the end.
 
 A vector is usable if it has `dim` finite components, not all zero. It travels packed without loss as bytes: in 8-bit
@@ -23,15 +25,15 @@ from tallyloom.plans.lineage import stored
 DIM, K = 384, 5
 LINKS = 8  # neighbours that a node keeps during descent
 REVERSE = 16  # nearest of the nodes that hold a node, by which it is joined beside its own links
-BLOCK = 2048  # vectors per centroid
-BLOCK_MAX = 8192  # rows of a block that are compared with each other in one task; larger blocks are divided
-TASK_BLOCKS = 4  # blocks of usual size that a task links
+BLOCK = 512  # vectors per centroid
+BLOCK_MAX = 4096  # rows of a block that are compared with each other in one task; larger blocks are divided, in two ways
+TASK_BLOCKS = 16  # blocks of usual size that a task links
+ZONE = 8192  # vectors of a zone
+ZONE_MAX = 32768  # nodes of a zone that one task joins; larger zones are divided
 CENTROIDS_MAX = 4096  # of a table; fitted on at most SAMPLE vectors
 SAMPLE = 1 << 16
 ROUNDS = 8  # of descent at most; it ends once a round changes less than CHANGED of all the links to the k nearest
 CHANGED = 0.001
-#: A candidate two links away is dropped if even a correlation this high of what the links leave open would not make it one of the k.
-OPEN_CORRELATION = 0.6
 BROADCAST_IDS = 100_000  # ids (16 bytes each) that are sent to every executor; beyond that a shuffle join takes their place
 
 
@@ -89,17 +91,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 # --- centroids ---------------------------------------------------------------------------------------------------------
 
 
-def fit_centroids(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Unit centroids of one table (id, embedding), one per BLOCK rows, by three rounds of k-means on a bounded sample of rows."""
-    n = vectors.count()
-    wanted = min(CENTROIDS_MAX, max(1, n // BLOCK))
-    share = min(1.0, min(SAMPLE, 64 * wanted) / max(1, n))
-    drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else vectors
-    sample = drawn.select("embedding").limit(SAMPLE).toArrow()["embedding"].combine_chunks()
-    x, _ = _matrix(sample, dim) if len(sample) else (np.zeros((0, dim), dtype=np.float32), None)
-    if not len(x):
-        return np.zeros((1, dim), dtype=np.float32)
-    x = _unit(x)
+def _k_means(x: np.ndarray, wanted: int) -> np.ndarray:
+    """Unit centroids of unit rows, after three rounds from evenly spaced rows."""
     centroids = x[np.linspace(0, len(x) - 1, min(wanted, len(x))).astype(int)].copy()
     for _ in range(3):
         nearest = np.concatenate([np.argmax(part @ centroids.T, axis=1) for part in np.array_split(x, -(-len(x) // 8192))])
@@ -110,7 +103,22 @@ def fit_centroids(vectors: DataFrame, dim: int) -> np.ndarray:
     return centroids
 
 
-def _assign(table: int, centroids: np.ndarray, dim: int):
+def fit_centroids(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids of one table (id, embedding), one per BLOCK rows, fitted on a bounded sample of rows, and the zone of each."""
+    n = vectors.count()
+    wanted = min(CENTROIDS_MAX, max(1, n // BLOCK))
+    share = min(1.0, min(SAMPLE, 64 * wanted) / max(1, n))
+    drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else vectors
+    sample = drawn.select("embedding").limit(SAMPLE).toArrow()["embedding"].combine_chunks()
+    x, _ = _matrix(sample, dim) if len(sample) else (np.zeros((0, dim), dtype=np.float32), None)
+    if not len(x):
+        return np.zeros((1, dim), dtype=np.float32), np.zeros(1, dtype=np.int32)
+    centroids = _k_means(_unit(x), wanted)
+    zones = _k_means(centroids, max(1, n // ZONE))
+    return centroids, np.argmax(centroids @ zones.T, axis=1).astype(np.int32)
+
+
+def _assign(table: int, centroids: np.ndarray, zones: np.ndarray, dim: int):
     planes = np.random.default_rng(7).standard_normal((dim, 32)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +135,31 @@ def _assign(table: int, centroids: np.ndarray, dim: int):
             codes = [(half @ (1 << np.arange(16))).astype(np.int32) for half in (sides[:, :16], sides[:, 16:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(x), table, np.int32)), batch.column("id").take(pa.array(at)).cast(pa.int64()), pa.array(pack(x), pa.binary()),
-                 pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), *map(pa.array, codes)],
-                ["t", "id", "v", "first", "second", "code", "code2"],
+                 *(pa.array(c.astype(np.int32)) for c in (first, second, *codes, zones[first]))],
+                ["t", "id", "v", "first", "second", "code", "code2", "zone"],
             )
 
     return run
 
 
+def _divided(rows: DataFrame, keys: list[str], most: int, side: str = "side", salt: tuple[str, ...] = ("id",)) -> DataFrame:
+    """`rows` with (part, salt): groups of more than `most` rows are divided by direction, and parts that still are larger by id."""
+    sizes = rows.groupBy(*keys).count().where(F.col("count") > most)  # at most CENTROIDS_MAX rows a table
+    part = F.coalesce(F.floor(F.col(side) * F.ceil(F.col("count") / most) / 65536), F.lit(0)).cast("int")
+    parted = rows.join(F.broadcast(sizes), keys, "left").withColumn("part", part).drop("count")
+    still = stored(parted.groupBy(*keys, "part").count().where(F.col("count") > most))
+    few = still.count() <= BROADCAST_IDS
+    salted = F.coalesce(F.pmod(F.xxhash64(*salt), F.ceil(F.col("count") / most)), F.lit(0))
+    return parted.join(F.broadcast(still) if few else still, [*keys, "part"], "left").withColumn("salt", salted).drop("count")
+
+
+def with_homes(nodes: DataFrame) -> DataFrame:
+    """`nodes` with `home`, the number of the zone, or of the part of a large zone, in which a node is joined with others."""
+    rows = _divided(nodes, ["t", "zone"], ZONE_MAX, side="code")
+    home = F.shiftleft(F.col("zone").cast("long"), 40) + F.shiftleft(F.col("part").cast("long"), 20) + F.col("salt")
+    return rows.withColumn("home", home).drop("part", "salt", "zone")
+
+
 # --- linking inside a block --------------------------------------------------------------------------------------------
 
 
@@ -162,97 +188,186 @@ def link_block(ids: np.ndarray, x: np.ndarray, links: int) -> tuple[np.ndarray,
     return a, b, similarities(x, norms, np.minimum(a, b), np.maximum(a, b))
 
 
-_LINKS = "t int, id long, links array<struct<far: double, id: bigint>>"
+_ROW = "t int, id long, home long, links array<struct<far: double, id: bigint, home: bigint, fresh: boolean>>"
+
+
+def _lists(of: np.ndarray, n: int, far: np.ndarray, ids: np.ndarray, homes: np.ndarray) -> pa.ListArray:
+    """Fresh links as one list for each of n rows; `of`, the row of each link, is in order."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32))
+    fields = [pa.array(far, pa.float64()), pa.array(ids, pa.int64()), pa.array(homes, pa.int64()), pa.array(np.ones(len(ids), bool))]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["far", "id", "home", "fresh"]))
 
 
 def _link(dim: int, links: int):
     def run(block: pa.Table) -> pa.Table:
-        ids = block["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, packed = ids[order], block["v"].to_pylist()
+        order = np.argsort(block["id"].to_numpy(), kind="stable")
+        ids, homes, packed = block["id"].to_numpy()[order], block["home"].to_numpy()[order], block["v"].to_pylist()
         a, b, cosine = link_block(ids, unpack([packed[i] for i in order], dim), links)
-        sizes = np.bincount(a, minlength=len(ids)) if len(a) else np.zeros(len(ids), int)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        found = pa.StructArray.from_arrays([pa.array(-cosine), pa.array(ids[b])], ["far", "id"])
-        return pa.table({"t": pa.array(np.full(len(ids), block["t"][0].as_py(), np.int32)), "id": pa.array(ids), "links": pa.ListArray.from_arrays(offsets, found)})
+        found = _lists(a, len(ids), -cosine, ids[b], homes[b])
+        return pa.table({"t": pa.array(np.full(len(ids), block["t"][0].as_py(), np.int32)), "id": pa.array(ids), "home": pa.array(homes), "links": found})
 
     return run
 
 
-def _divided(nodes: DataFrame) -> DataFrame:
-    """(t, id, v, block, part, salt): every node in its blocks; blocks of more than BLOCK_MAX rows are divided by direction, and
-    parts that still are larger by id.
-
-    As members of their second block nodes are divided another way than as members of their first, so that parts overlap.
-    """
-    places = F.array(F.struct(F.col("first").alias("block"), F.lit(0).alias("way"), F.col("code").alias("side")), F.struct(F.col("second").alias("block"), F.lit(1).alias("way"), F.col("code2").alias("side")))
-    spread = nodes.select("t", "id", "v", F.inline(places)).where("block >= 0")
-    sizes = spread.groupBy("t", "block").count().where(F.col("count") > BLOCK_MAX)  # at most CENTROIDS_MAX rows a table
-    parts = F.ceil(F.col("count") / BLOCK_MAX)
-    part = F.when(F.col("count").isNull(), F.lit(0)).otherwise(F.floor(F.col("side") * parts / 65536) * 2 + F.col("way"))
-    spread = spread.join(F.broadcast(sizes), ["t", "block"], "left").withColumn("part", part.cast("int")).drop("count", "side")
-    still = spread.groupBy("t", "block", "part").count().where(F.col("count") > BLOCK_MAX)
-    few = still.count() <= BROADCAST_IDS
-    salt = F.coalesce(F.pmod(F.xxhash64("id", "way"), F.ceil(F.col("count") / BLOCK_MAX)), F.lit(0))
-    return spread.join(F.broadcast(still) if few else still, ["t", "block", "part"], "left").withColumn("salt", salt).drop("count", "way")
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """(t, id, home, v, block, way, part, salt): every node in its two blocks; in blocks of more than BLOCK_MAX rows twice, as these
+    are divided by direction in two ways, so that their parts overlap."""
+    spread = nodes.select("t", "id", "home", "v", "code", "code2", F.explode(F.array("first", "second")).alias("block")).where("block >= 0")
+    large = spread.groupBy("t", "block").count().where(F.col("count") > BLOCK_MAX).select("t", "block", F.array(F.lit(0), F.lit(1)).alias("ways"))
+    ways = spread.join(F.broadcast(large), ["t", "block"], "left").withColumn("way", F.explode(F.coalesce("ways", F.array(F.lit(0)))))
+    sided = ways.withColumn("side", F.when(F.col("way") == 0, F.col("code")).otherwise(F.col("code2"))).drop("ways", "code", "code2")
+    return _divided(sided, ["t", "block", "way"], BLOCK_MAX, salt=("id", "way")).drop("side")
 
 
 # --- descent -----------------------------------------------------------------------------------------------------------
 
 
-def _best(rows: DataFrame, n: int, k: int) -> DataFrame:
-    """(t, id, links, news, changed) from rows (t, id, far, other, fresh): the n best links, those that are fresh only, and how
-    many of the first k are.
+def _merged(rows: DataFrame, links: int) -> DataFrame:
+    """One row per node with its best links; ties go to the lesser id, and a link found again is not fresh."""
+    every = rows.groupBy("t", "id", "home").agg(F.array_sort(F.flatten(F.collect_list("links"))).alias("all"))
+    once = F.filter("all", lambda x, i: (i == 0) | (x["id"] != F.get("all", i - 1)["id"]))
+    return every.select("t", "id", "home", F.slice(once, 1, links).alias("links"))
 
-    Ties go to the lesser id; a link given twice counts once. Rows are ranked before the shuffle too, so that of a node that
-    a third of all point to only few leave each task.
-    """
-    rank = F.dense_rank().over(Window.partitionBy("t", "id").orderBy("far", "other"))
-    kept = rows.withColumn("rank", rank).where(F.col("rank") <= n)
-    link = F.struct("far", F.col("other").alias("id"))
-    held = kept.groupBy("t", "id").agg(F.array_sort(F.collect_set(link)).alias("links"), F.collect_set(F.when(~F.col("fresh"), link)).alias("before"))
-    held = held.withColumn("links", F.slice("links", 1, n)).withColumn("news", F.array_except("links", "before"))
-    return held.select("t", "id", "links", "news", F.size(F.array_intersect(F.slice("links", 1, k), "news")).alias("changed"))
 
+def _changed(graph: DataFrame, k: int) -> int:
+    return graph.agg(F.sum(F.size(F.filter(F.slice("links", 1, k), lambda x: x["fresh"])))).first()[0] or 0
 
-def _rows(graph: DataFrame, fresh: bool = False) -> DataFrame:
-    return graph.select("t", "id", F.explode("links").alias("x")).select("t", "id", "x.far", F.col("x.id").alias("other"), F.lit(fresh).alias("fresh"))
 
+def _active(graph: DataFrame) -> DataFrame | None:
+    """(t, id) of the nodes around which a link is fresh and of those they have links with, or None if they are too many to be told
+    to all executors."""
+    edges = graph.select("t", "id", F.explode("links").alias("x")).select("t", "id", F.col("x.id").alias("other"), "x.fresh")
+    ends = lambda e: e.select("t", F.explode(F.array("id", "other")).alias("id")).distinct()
+    middles = stored(ends(edges.where("fresh")))
+    if middles.count() > BROADCAST_IDS:
+        return None
+    either = edges.join(F.broadcast(middles), ["t", "id"], "left_semi").unionByName(edges.join(F.broadcast(middles.withColumnRenamed("id", "other")), ["t", "other"], "left_semi"))
+    active = stored(ends(either))
+    return active if active.count() <= BROADCAST_IDS else None
 
-def _both_ways(rows: DataFrame) -> DataFrame:
-    return rows.unionByName(rows.select("t", F.col("other").alias("id"), "far", F.col("id").alias("other"), "fresh"))
 
+_MEMBER = "t int, home long, id long, at long, v binary, worst double, links array<struct<far: double, id: bigint, home: bigint, fresh: boolean>>"
 
-def new_candidates(graph: DataFrame, k: int, links: int = LINKS) -> DataFrame:
-    """(t, a, b), a < b: nodes two links apart over at least one link of `news`, not linked, that the bound leaves a chance to be
-    among the k nearest of one; all over two older links were met in a round before, when the bound was no stricter.
 
-    Links count both ways: from a node over each that it holds or that holds it to that one's links and to the REVERSE nearest of
-    those that hold it. So every node that points to a hub reads the hub's surroundings, and none reads more than these. For
-    cosines p and q of the two links the third is p q + r sqrt((1 - p^2) (1 - q^2)) with some r of -1 to 1.
+def _members(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """What the zones need: (t, home, id, at, v, worst, links), each row with a vector or with links.
+
+    `home` is the zone that the row goes to, `at` the node's own. A zone gets its own nodes; the links of other nodes that lead
+    into it; and the vectors of those and of all nodes that its own have links to.
     """
-    open_part = lambda c: F.sqrt(F.greatest(F.lit(0.0), 1 - c * c))
-    most = lambda p: F.sqrt(p * p + OPEN_CORRELATION**2 * (1 - p * p))  # noqa: E731  # over all q
-    marked = F.transform("links", lambda x: F.struct(x["id"].alias("id"), (-x["far"]).alias("cosine"), F.array_contains(F.transform("news", lambda y: y["id"]), x["id"]).alias("fresh")))
-    worst = F.when(F.size("links") >= k, -F.element_at("links", k)["far"]).otherwise(F.lit(-2.0)).alias("worst")
-    known = F.transform("links", lambda x: F.hash(x["id"])).alias("known")
-    edge = [F.col("via.id"), F.col("via.cosine").alias("p"), F.col("via.fresh").alias("fresh")]
-
-    edges = graph.select("t", F.col("id").alias("middle"), F.explode(marked).alias("via"))
-    around = _best(_both_ways(edges.select("t", F.col("middle").alias("id"), (-F.col("via.cosine")).alias("far"), F.col("via.id").alias("other"), F.col("via.fresh").alias("fresh"))), links + REVERSE, k)
-    around = around.select("t", F.col("id").alias("middle"), marked.alias("nexts"))
-    held = graph.select("t", "id", worst, known, F.explode(marked).alias("via")).select("t", "id", "worst", "known", F.col("via.id").alias("middle"), *edge[1:])
-    holding = edges.select("t", "middle", *edge).join(graph.select("t", "id", worst, known), ["t", "id"]).where(~F.array_contains("known", F.hash("middle")))
-    here = held.unionByName(holding).where(most(F.col("p")) > F.col("worst"))
-    # over an older link only those middles count that have a new one
-    older, ends = here.where(~F.col("fresh")), F.explode(F.array("middle", "via.id")).alias("middle")
-    moved = stored(edges.where("via.fresh").select("t", ends).distinct())
-    older = older.join(F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved, ["t", "middle"], "left_semi")
-    q = F.col("next.cosine")
-    chance = F.col("p") * q + F.lit(OPEN_CORRELATION) * open_part(F.col("p")) * open_part(q)
-    far = here.where("fresh").unionByName(older).join(around, ["t", "middle"]).select("t", "id", "worst", "known", "p", "fresh", F.explode("nexts").alias("next"))
-    far = far.where((F.col("fresh") | F.col("next.fresh")) & (F.col("next.id") != F.col("id")) & (chance > F.col("worst")) & ~F.array_contains("known", F.hash("next.id")))
-    return far.select("t", F.least("id", "next.id").alias("a"), F.greatest("id", "next.id").alias("b")).distinct()
+    worst = F.when(F.size("links") >= k, F.element_at("links", k)["far"]).otherwise(F.lit(2.0)).alias("worst")
+    no_vector, no_links = F.lit(None).cast("binary").alias("v"), F.expr("cast(null as array<struct<far: double, id: bigint, home: bigint, fresh: boolean>>)").alias("links")
+    homes = F.array_union(F.array("home"), F.array_distinct(F.transform("links", lambda x: x["home"])))
+    sent = graph.select("t", "id", F.col("home").alias("at"), worst, "links", F.explode(homes).alias("home"))
+    told = sent.select("t", "home", "id", "at", no_vector, "worst", F.when(F.col("home") == F.col("at"), F.col("links")).otherwise(F.filter("links", lambda x: x["home"] == F.col("home"))).alias("links"))
+    own = vectors.select("t", "home", "id", F.col("home").alias("at"), "v", F.lit(None).cast("double").alias("worst"), no_links)
+    foreign = F.filter("links", lambda x: x["home"] != F.col("home"))
+    out = graph.select("t", "id", "home", F.explode(foreign).alias("x"))
+    asked = out.select("t", "id", F.col("x.home").alias("to")).unionByName(out.select("t", F.col("x.id").alias("id"), F.col("home").alias("to"))).distinct()
+    guests = asked.join(vectors, ["t", "id"]).join(graph.select("t", "id", worst), ["t", "id"]).select("t", F.col("to").alias("home"), "id", F.col("home").alias("at"), "v", "worst", no_links)
+    return told.unionByName(own).unionByName(guests)
+
+
+def around(source: np.ndarray, target: np.ndarray, far: np.ndarray, fresh: np.ndarray, local: np.ndarray, reverse: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(middle, other, fresh) in order of middle: for each local node the ends of its links and the nearest of the nodes that hold it."""
+    own, held = local[source], local[target]
+    order = np.lexsort((source[held], far[held], target[held]))
+    middle, other, new = target[held][order], source[held][order], fresh[held][order]
+    rank = np.arange(len(middle)) - np.searchsorted(middle, middle)
+    near = rank < reverse
+    middle, other = np.concatenate([source[own], middle[near]]), np.concatenate([target[own], other[near]])
+    new = np.concatenate([fresh[own], new[near]])
+    order = np.lexsort((~new, other, middle))  # of a link both ways the fresh one counts
+    middle, other, new = middle[order], other[order], new[order]
+    once = np.concatenate([[True], (middle[1:] != middle[:-1]) | (other[1:] != other[:-1])]) if len(middle) else np.zeros(0, bool)
+    return middle[once], other[once], new[once]
+
+
+def met(y: np.ndarray, worst: np.ndarray, middle: np.ndarray, other: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, candidate), each once: pairs around a middle over a fresh link, where the candidate is among the nearest of the node so far."""
+    begin = np.flatnonzero(np.concatenate([[True], middle[1:] != middle[:-1]])) if len(middle) else np.zeros(0, int)
+    size = np.diff(np.concatenate([begin, [len(middle)]])).astype(int)
+    some = np.logical_or.reduceat(fresh, begin) if len(begin) else np.zeros(0, bool)
+    begin, size = begin[some & (size > 1)], size[some & (size > 1)]
+    order = np.argsort(size, kind="stable")
+    pairs = [np.zeros(0, np.int64)]
+    for s in range(0, len(order), 512):
+        b, n = begin[order[s : s + 512]], size[order[s : s + 512]]
+        at = np.minimum(b[:, None] + np.arange(n.max()), len(middle) - 1)
+        there = np.arange(n.max()) < n[:, None]
+        nodes, new = other[at], fresh[at] & there
+        x = y[nodes]
+        good = x @ x.transpose(0, 2, 1) >= -worst[nodes][:, :, None] - np.float32(1e-5)
+        good &= there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :]) & (nodes[:, :, None] != nodes[:, None, :])
+        i, p, q = np.nonzero(good)
+        pairs.append(np.unique(nodes[i, p] * len(y) + nodes[i, q]))
+    found = np.unique(np.concatenate(pairs))
+    return found // max(1, len(y)), found % max(1, len(y))
+
+
+def _join_zone(dim: int, links: int, reverse: int):
+    def run(zone: pa.Table) -> pa.Table:
+        t, home = zone["t"][0].as_py(), zone["home"][0].as_py()
+        has_vector = zone["v"].is_valid().to_numpy()
+        vectors, told = zone.filter(pa.array(has_vector)), zone.filter(pa.array(~has_vector))
+        ids, first = np.unique(vectors["id"].to_numpy(), return_index=True)
+        at, packed = vectors["at"].to_numpy()[first], vectors["v"].to_pylist()
+        x = unpack([packed[i] for i in first], dim)
+        norms = np.linalg.norm(x.astype(np.float64), axis=1)
+        worst = vectors["worst"].fill_null(-2.0).to_numpy()[first]
+        place = lambda wanted: np.minimum(np.searchsorted(ids, wanted), max(0, len(ids) - 1))
+        known = np.isin(told["id"].to_numpy(), ids)
+        told = told.filter(pa.array(known))
+        source = place(told["id"].to_numpy())
+        worst[source] = told["worst"].to_numpy()
+        lists = told["links"].combine_chunks()
+        link, of = lists.flatten(), np.repeat(source, lists.value_lengths().to_numpy(zero_copy_only=False))
+        far, end, fresh = (link.field(f).to_numpy(zero_copy_only=False) for f in ("far", "id", "fresh"))
+        there = np.isin(end, ids)
+        of, far, end, fresh = of[there], far[there], place(end[there]), fresh[there].astype(bool)
+        a, b = met((x / norms[:, None]).astype(np.float32), worst, *around(of, end, far, fresh, at == home, reverse))
+        new = ~np.isin(a * len(ids) + b, of * len(ids) + end)
+        a, b = a[new], b[new]
+        far = -similarities(x, norms, np.minimum(a, b), np.maximum(a, b))
+        better = far <= worst[a]
+        a, b, far = a[better], b[better], far[better]
+        order = np.lexsort((ids[b], far, a))
+        a, b, far = a[order], b[order], far[order]
+        best = np.arange(len(a)) - np.searchsorted(a, a) < links
+        a, b, far = a[best], b[best], far[best]
+        nodes, of = np.unique(a, return_inverse=True)
+        found = _lists(of, len(nodes), far, ids[b], at[b])
+        return pa.table({"t": pa.array(np.full(len(nodes), t, np.int32)), "id": pa.array(ids[nodes]), "home": pa.array(at[nodes]), "links": found})
+
+    return run
+
+
+def neighbour_graph(nodes: DataFrame, dim: int, k: int = K, links: int = LINKS, rounds: int = ROUNDS) -> DataFrame:
+    """(t, id, home, links): the graph after descent; links are (far = -cosine, id, home, fresh), best first.
+
+    nodes: as from `with_homes`. A round joins only over links that the round before found; to the first all links are new.
+    """
+    n = nodes.count()
+    spread = _blocks(nodes)
+    of_block, tasks = ["t", "block", "way", "part", "salt"], max(1, 2 * n // (TASK_BLOCKS * BLOCK))  # tasks follow the data, whatever the session's setting
+    blocks = spread.repartition(tasks, *of_block).groupBy(*of_block).applyInArrow(_link(dim, links), _ROW)
+    graph = stored(_merged(blocks, links))
+    vectors, least_change = nodes.select("t", "id", "home", "v"), CHANGED * k * n
+    for round_ in range(rounds):
+        active = _active(graph) if round_ else None
+        near = lambda df: df if active is None else df.join(F.broadcast(active), ["t", "id"], "left_semi")  # noqa: E731, B023
+        members = _members(near(graph), near(vectors), k)
+        zones = members.repartition(max(1, n // ZONE), "t", "home") if active is None else members
+        found = zones.groupBy("t", "home").applyInArrow(_join_zone(dim, links, REVERSE), _ROW)
+        old = graph.withColumn("links", F.transform("links", lambda x: x.withField("fresh", F.lit(False))))
+        graph = stored(_merged(old.unionByName(found), links))
+        if _changed(graph, k) <= least_change:
+            break
+    return graph
+
+
+def _both_ways(rows: DataFrame) -> DataFrame:
+    return rows.unionByName(rows.select("t", F.col("other").alias("id"), "far", F.col("id").alias("other")))
 
 
 def _compare(dim: int):
@@ -272,37 +387,6 @@ def _needed(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(named), ["t", "id"], "left_semi") if named.count() <= BROADCAST_IDS else vectors
 
 
-def compared(pairs: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """(t, id, far, other, fresh) in both directions."""
-    vectors = _needed(pairs.select("t", F.explode(F.array("a", "b")).alias("id")), nodes)
-    side = lambda name: vectors.select("t", F.col("id").alias(name), F.col("v").alias(f"v{name}"))
-    met = pairs.join(side("a"), ["t", "a"]).join(side("b"), ["t", "b"])
-    rows = met.select("t", "a", "b", "va", "vb").mapInArrow(_compare(dim), "t int, a long, b long, far double")
-    return _both_ways(rows.select("t", F.col("a").alias("id"), "far", F.col("b").alias("other"), F.lit(True).alias("fresh")))
-
-
-def neighbour_graph(nodes: DataFrame, dim: int, k: int = K, links: int = LINKS) -> DataFrame:
-    """(t, id, links): the graph after descent; links are (far = -cosine, id), best first.
-
-    A pair is compared once: each round takes only pairs over a link that the round before found; to the first all links are new.
-    """
-    n, of_block = nodes.count(), ["t", "block", "part", "salt"]
-    spread = _divided(nodes).repartition(max(1, 2 * n // (TASK_BLOCKS * BLOCK)), *of_block)  # tasks follow the data, whatever the session's setting
-    blocks = spread.groupBy(*of_block).applyInArrow(_link(dim, links), _LINKS)
-    graph = stored(_best(_both_ways(_rows(blocks, fresh=True)), links, k))
-    least_change, compared_before = CHANGED * k * n, None
-    for _ in range(ROUNDS):
-        pairs = new_candidates(graph, k, links)
-        pairs = stored(pairs if compared_before is None else pairs.join(compared_before, ["t", "a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        graph = stored(_best(_rows(graph).unionByName(compared(pairs, nodes, dim)), links, k))
-        if graph.agg(F.sum("changed")).first()[0] <= least_change:
-            break
-        compared_before = pairs if compared_before is None else compared_before.unionByName(pairs)
-    return graph.select("t", "id", "links")
-
-
 # --- copies and results ------------------------------------------------------------------------------------------------
 
 
@@ -317,12 +401,12 @@ class Index(NamedTuple):
     graph: DataFrame  # t, id, links
 
 
-def build(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> Index:
+def build(tables: dict[str, DataFrame], dim: int = DIM, k: int = K, rounds: int = ROUNDS) -> Index:
     """The neighbour graph of every usable row of the tables, by name, (id, embedding); ids are unique per table."""
     placed = None
     for t, name in enumerate(tables):
         source = tables[name].select(F.col("id").cast("long").alias("id"), "embedding").where(F.col("embedding").isNotNull() & F.col("id").isNotNull())
-        part = source.mapInArrow(_assign(t, fit_centroids(source, dim), dim), "t int, id long, v binary, first int, second int, code int, code2 int")
+        part = source.mapInArrow(_assign(t, *fit_centroids(source, dim), dim), "t int, id long, v binary, first int, second int, code int, code2 int, zone int")
         placed = part if placed is None else placed.unionByName(part)
     placed = stored(placed.withColumn("copy", F.unhex(F.md5("v"))))
 
@@ -332,16 +416,31 @@ def build(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> Index:
     sets = stored(least.groupBy("t", "copy").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1))
     few = sets.count() <= BROADCAST_IDS // (k + 1)
     placed = placed.join(F.broadcast(sets) if few else sets, ["t", "copy"], "left")
-    nodes = placed.where(F.col("ids").isNull() | (F.col("id") == F.element_at("ids", 1))).drop("ids", "copy")
-    return Index(list(tables), placed, nodes, sets, few, neighbour_graph(nodes, dim, k))
+    nodes = with_homes(placed.where(F.col("ids").isNull() | (F.col("id") == F.element_at("ids", 1))).drop("ids", "copy"))
+    return Index(list(tables), placed, nodes, sets, few, neighbour_graph(nodes, dim, k, rounds=rounds))
+
+
+def _rows(graph: DataFrame) -> DataFrame:
+    return graph.select("t", "id", F.explode("links").alias("x")).select("t", "id", "x.far", F.col("x.id").alias("other"))
 
 
 def _with_copies(index: Index, links: DataFrame, k: int) -> DataFrame:
     """(t, id, links): links (t, id, far, other) to nodes stand for links to all copies of them."""
     by_node = index.sets.select("t", F.element_at("ids", 1).alias("other"), F.slice("ids", 1, k + 1).alias("ids"))
     wide = links.join(F.broadcast(by_node) if index.few else by_node, ["t", "other"], "left")
-    wide = wide.select("t", "id", "far", F.explode(F.coalesce("ids", F.array("other"))).alias("other")).where(F.col("other") != F.col("id"))
-    return _best(wide.withColumn("fresh", F.lit(False)), k, k).select("t", "id", "links")
+    each = wide.select("t", "id", "far", F.explode(F.coalesce("ids", F.array("other"))).alias("other")).where(F.col("other") != F.col("id"))
+    best = F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct("far", F.col("other").alias("id"))))), 1, k)
+    return each.groupBy("t", "id").agg(best.alias("links"))
+
+
+def _nearest_of_nodes(index: Index, k: int) -> DataFrame:
+    """(t, id, links): of every node; only where one of the k nearest stands for copies are links told apart."""
+    graph = index.graph.select("t", "id", F.slice("links", 1, k).alias("links"))
+    by_node = index.sets.select("t", F.element_at("ids", 1).alias("other"))
+    some = stored(_rows(graph).join(F.broadcast(by_node) if index.few else by_node, ["t", "other"], "left_semi").select("t", "id").distinct())
+    some = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+    others = graph.join(some, ["t", "id"], "left_anti").select("t", "id", F.transform("links", lambda x: F.struct(x["far"].alias("far"), x["id"].alias("id"))).alias("links"))
+    return others.unionByName(_with_copies(index, _rows(graph.join(some, ["t", "id"], "left_semi")), k))
 
 
 def _named(index: Index) -> Column:
@@ -355,7 +454,7 @@ def nearest(tables: dict[str, DataFrame], dim: int = DIM, k: int = K) -> DataFra
     all zeros) take no part; fewer than k other rows give a shorter list.
     """
     index = build(tables, dim, k)
-    alone = _with_copies(index, _rows(index.graph), k)
+    alone = _nearest_of_nodes(index, k)
     # each copy has the other copies, then the links of its node
     copies = index.placed.where(F.col("ids").isNotNull()).select("t", "id", "ids")
     of_node = copies.withColumn("node", F.element_at("ids", 1)).join(alone.select("t", F.col("id").alias("node"), "links"), ["t", "node"], "left")

@@ -92,7 +92,7 @@ def test_search_for_vectors_outside_the_graph(spark, monkeypatch):
     rows, asked = vectors(1200, 8), vectors(30, 9)
     index = nb.build({"a": frame(spark, rows)}, DIM)
     centroids = nb.fit_centroids(frame(spark, rows), DIM)
-    placed = frame(spark, asked).mapInArrow(nb._assign(0, centroids, DIM), "t int, id long, v binary, first int, second int, code int, code2 int")
+    placed = frame(spark, asked).mapInArrow(nb._assign(0, *centroids, DIM), "t int, id long, v binary, first int, second int, code int, code2 int, zone int")
     got = {r.id: [x.id for x in r.links] for r in nb.greedy_search(index, placed.selectExpr("t", "id + 100000 as id", "v", "first", "second"), dim=DIM).collect()}
     x = np.array([v for _, v in rows], dtype=np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -103,15 +103,38 @@ def test_search_for_vectors_outside_the_graph(spark, monkeypatch):
     assert hits / (5 * len(asked)) >= 0.9
 
 
-def test_new_links_are_joined_in_both_directions(spark):
-    link = lambda i, cosine: (-cosine, i)
-    rows = [  # 1 holds the hub 9, which doesn't hold it; 2 is new in the hub's list; 4 has just found the hub 8, which doesn't hold it
-        (0, 1, [link(9, 0.8)], []), (0, 9, [link(2, 0.9), link(3, 0.85)], [link(2, 0.9)]), (0, 2, [], []), (0, 3, [], []),
-        (0, 4, [link(8, 0.8)], [link(8, 0.8)]), (0, 8, [link(5, 0.9)], []), (0, 5, [], []), (0, 6, [link(8, 0.7)], []),  # 6 holds it longer
-    ]
-    kind = "array<struct<far: double, id: bigint>>"
-    graph = spark.createDataFrame(rows, f"t int, id bigint, links {kind}, news {kind}")
-    assert {(r.a, r.b) for r in nb.new_candidates(graph, 5).collect()} == {(1, 2), (2, 3), (4, 5), (4, 6)}
+def test_around_and_met():
+    """1 holds the hub 4, which doesn't hold it; 2 is new in the hub's list; 0 and 5 hold 3, 5 has just found it."""
+    source, target = np.array([1, 4, 4, 0, 5]), np.array([4, 2, 6, 3, 3])
+    far, fresh = -np.array([0.8, 0.9, 0.85, 0.7, 0.9]), np.array([False, True, False, False, True])
+    every = np.ones(7, bool)
+    middle, other, new = nb.around(source, target, far, fresh, every, 16)
+    assert [(int(m), int(o)) for m, o in zip(middle, other)] == [(0, 3), (1, 4), (2, 4), (3, 0), (3, 5), (4, 1), (4, 2), (4, 6), (5, 3), (6, 4)]
+    y = np.full((7, 2), np.sqrt(0.5), np.float32)
+    a, b = nb.met(y, np.full(7, 2.0), middle, other, new)
+    assert set(zip(a.tolist(), b.tolist())) == {(1, 2), (2, 1), (2, 6), (6, 2), (0, 5), (5, 0)}
+    assert not len(nb.met(y, np.full(7, -2.0), middle, other, new)[0])
+    only_4 = np.arange(7) == 4
+    assert set(nb.around(source, target, far, fresh, only_4, 16)[0].tolist()) == {4}
+    nearest = nb.around(source, target, far, fresh, every, 1)
+    assert [int(o) for m, o in zip(*nearest[:2]) if m == 3] == [5]
+
+
+@pytest.mark.parametrize("zone_max", [32768, 40])
+def test_descent_finds_what_blocks_do_not(spark, monkeypatch, zone_max):
+    """With blocks that are divided much, the descent finds most of the links; where zones end changes nothing."""
+    monkeypatch.setattr(nb, "BLOCK", 60)
+    monkeypatch.setattr(nb, "BLOCK_MAX", 30)
+    monkeypatch.setattr(nb, "ZONE", 200)
+    monkeypatch.setattr(nb, "ZONE_MAX", zone_max)
+    rows, shares = vectors(1200, 5, clusters=150), []
+    want = exact(rows, 5)
+    for rounds in (0, 8):
+        graph = nb.build({"a": frame(spark, rows)}, DIM, rounds=rounds).graph
+        got = {r.id: [x.id for x in r.links[:5]] for r in graph.collect()}
+        shares.append(sum(len(set(got[i]) & set(want[i])) for i in want) / (5 * len(want)))
+    print("recall before and after descent", shares)
+    assert shares[0] < 0.95 and shares[1] >= 0.95
 
 
 @pytest.mark.parametrize("block_max", [24])
