@@ -50,8 +50,7 @@ class TwoStackQueue:
 
 def unique_calls(usage: DataFrame) -> DataFrame:
     """Each `event_id` once; a row without one can't be matched with another and stays."""
-    unmatched = F.when(F.col("event_id").isNull(), F.monotonically_increasing_id())
-    return usage.withColumn("_unmatched", unmatched).dropDuplicates(["event_id", "_unmatched"]).drop("_unmatched")
+    return usage.where(F.col("event_id").isNotNull()).dropDuplicates(["event_id"]).unionByName(usage.where(F.col("event_id").isNull()))
 
 
 def project_name(project: Column) -> Column:

@@ -29,9 +29,12 @@ def _load(spark, d):
 
 
 QUERIES = {
-    **{f"cost_report_by_{by}": (lambda spark, d, by=by: ledger.report(_usage(spark, d), by)) for by in ("model_asked", "project", "day", "session_id", "via", "mode")},
-    "cost_report_since": lambda spark, d: ledger.report(_usage(spark, d), "project", SINCE),
-    "ledger_projection": lambda spark, d: ledger.projection(table(spark, d, "usage_rows").select("raw"), "raw").drop("ts"),
+    **{f"cost_report_by_{by}": (lambda spark, d, by=by: ledger.ordered(ledger.report(_usage(spark, d), by)).drop("is_total")) for by in ("model_asked", "project", "day", "session_id", "via", "mode")},
+    "cost_report_since": lambda spark, d: ledger.ordered(ledger.report(_usage(spark, d), "project", SINCE)).drop("is_total"),
+    "ledger_projection": lambda spark, d: ledger.projection(table(spark, d, "usage_rows").select("raw"), "raw").withColumn("ts", F.unix_micros("ts")),
+    "mode_tokens": lambda spark, d: ledger.mode_tokens(table(spark, d, "usage_rows").select("raw"), "raw"),
+    "calls_today": lambda spark, d: ledger.calls_today(_usage(spark, d), AS_OF),
+    "session_spend": lambda spark, d: ledger.session_spend(_usage(spark, d), AS_OF),
     "ledger_rejects": lambda spark, d: ledger.rejects(_lines(spark, d)),
     "ledger_idempotent_load": _load,
     "ledger_repeated": lambda spark, d: ledger.repeated(table(spark, d, "usage_rows", "event_id"), "event_id"),
@@ -81,7 +84,7 @@ SQL = {
     **{f"cost_report_by_{by}": _report(by) for by in ("model_asked", "project", "day", "session_id", "via", "mode")},
     "cost_report_since": _report("project", f"ts >= timestamptz '{SINCE} 00:00:00+00'"),
     "ledger_projection": f"""with l as (select raw as line from usage_rows)
-select sha256(line) as event_id, {_JSON.format('id')} as response_id, {_JSON.format('ts')} as ts_raw, {_JSON.format('project')} as project, {_JSON.format('commit')} as commit_sha,
+select sha256(line) as event_id, {_JSON.format('id')} as response_id, {_JSON.format('ts')} as ts_raw, epoch_us(try_cast({_JSON.format('ts')} as timestamptz)) as ts, {_JSON.format('project')} as project, {_JSON.format('commit')} as commit_sha,
   {_JSON.format('session')} as session_id, {_JSON.format('model_asked')} as model_asked, {_JSON.format('model_echoed')} as model, coalesce({_JSON.format('mode')}, 'chat') as mode,
   {_JSON.format('via')} as via, coalesce({_JSON.format('cached')}::boolean, false) as cached,
   case when coalesce({_JSON.format('mode')}, 'chat') = 'chat' then {_JSON.format('in')}::bigint end as input_tokens,
@@ -107,7 +110,16 @@ select coalesce(nullif(project, ''), '(none)') as project,
   coalesce(sum(cost_usd) filter (ts >= now - interval 7 days), 0)::double as week_usd, coalesce(sum(cost_usd), 0)::double as all_usd,
   count(*) filter ((ts at time zone 'UTC')::date = (now at time zone 'UTC')::date and not coalesce(cached, false)) as calls_today from c group by 1""",
     "model_summary": f"""with {_CALLS} select coalesce(nullif(model, ''), '(none)') as model, count(*) as calls, sum(cost_usd)::double as cost_usd,
-  sum(latency_s * 100)::bigint::double / count(latency_s) / 100 as mean_latency_s, count_if(cached)::double / count(*) as cached_share from calls group by 1""",
+  sum(latency_s * 100)::bigint::double / count(latency_s) / 100 as mean_latency_s, count_if(cached)::double / count(*) as cached_share,
+  count_if(response_id is null)::double / count(*) as unanswered_share from calls group by 1""",
+    "mode_tokens": f"""with l as (select distinct raw as line from usage_rows where {_JSON.format('ts').replace('line', 'raw')} <> '' and {_JSON.format('model_asked').replace('line', 'raw')} <> ''),
+f as (select coalesce({_JSON.format('mode')}, 'chat') as mode, {_JSON.format('in')}::bigint as i, {_JSON.format('out')}::bigint as o from l)
+select mode, count(*) as calls, count(*) filter (mode <> 'worker' and i is not null) as calls_with_tokens, coalesce(sum(i) filter (mode <> 'worker' and i is not null), 0)::bigint as input_tokens,
+  coalesce(sum(o) filter (mode <> 'worker' and i is not null), 0)::bigint as output_tokens from f group by 1""",
+    "calls_today": f"""with {_CALLS} select coalesce(nullif(via, ''), '(none)') as channel, count(*) as calls from calls
+  where ts <= timestamptz '{AS_OF}+00' and ts >= timestamptz '{AS_OF[:10]} 00:00:00+00' and not coalesce(cached, false) group by 1""",
+    "session_spend": f"""with {_CALLS} select coalesce(nullif(session_id, ''), '(none)') as session, sum(cost_usd)::double as usd, count(*) as calls from calls
+  where ts <= timestamptz '{AS_OF}+00' and cost_usd > 0 group by 1""",
     "monthly_projection": f"""with {_CALLS}, latest as (select * from calls where ts is not null order by ts desc, event_id limit 100)
 select count(*) as n_calls, sum((coalesce(cost_usd, 0) * 1000000)::bigint)::double / count(*) / 1000000 * 500 * 30 as month_usd from latest""",
     "call_runs": _runs("usage_rows", "project", 900, " at time zone 'UTC'"),

@@ -1,34 +1,38 @@
-"""Cutting lineage so that iterative jobs survive the loss of executors."""
+"""Tables stored in the shared checkpoint folder, so that iterative jobs survive the loss of executors."""
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_stored: list[str] = []
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's checkpoints; a temporary one only where none is configured."""
+    """The folder in spark.checkpoint.dir, which all executors share. On one machine alone a temporary one may take its place."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder and read back: computed once, no lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared checkpoint folder and read back, so that later reads take only some columns."""
     path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _stored:
+        atexit.register(release)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def over_all_cores(df: DataFrame) -> DataFrame:
-    """`df` with at least as many partitions as the cluster has cores, for costly work per row; a large input has them already
-    and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def release() -> None:
+    """Deletes all stored tables of this process; results that were made from them must have been read before."""
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _stored:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
