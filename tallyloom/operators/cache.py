@@ -22,14 +22,65 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(composed(F.coalesce(text, F.lit(""))), f"{BLANKS}+", " "))
 
 
-def cache_key(model: Column, prompt: Column) -> Column:
-    """SHA-256 over model and normalised prompt, divided by a NUL."""
-    return F.sha2(F.concat(F.coalesce(model, F.lit("")), F.lit("\x00"), normal(prompt)), 256)
+def cache_key(model: Column, prompt: Column, system: Column | None = None, most_tokens: Column | None = None) -> Column:
+    """SHA-256 over model, normalised system text, normalised prompt and the bound on tokens, divided by NULs; null is empty."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("")) if c is not None else F.lit("")
+    zero, norm = F.lit("\x00"), lambda c: normal(c) if c is not None else F.lit("")
+    return F.sha2(F.concat(text(model), zero, norm(system), zero, normal(prompt), zero, text(most_tokens)), 256)
 
 
-def keyed(cache: DataFrame) -> DataFrame:
-    """(key, exact_key) of every entry; aliases of a model are different models here."""
-    return cache.select("key", cache_key(F.col("model"), F.col("prompt")).alias("exact_key"))
+def newest(cache: DataFrame) -> DataFrame:
+    """(exact_key, key, answer): of the entries with a response under each exact key the one created last; ties go to the greater key.
+
+    answer is the digest of the response, so that texts are not shuffled.
+    """
+    rows = cache.where(F.col("response").isNotNull()).select(cache_key(F.col("model"), F.col("prompt")).alias("exact_key"), "key", F.coalesce("created", F.lit("")).alias("created"), F.md5("response").alias("answer"))
+    return rows.groupBy("exact_key").agg(F.max(F.struct("created", "key", "answer")).alias("x")).select("exact_key", "x.key", "x.answer")
+
+
+def probe(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """(request, hit, entry, answer) for every request (request, model, prompt): the newest entry under its exact key, or none.
+
+    Entries are one row per exact key, and both sides hold digests only; many requests for one key are spread by the adaptive join.
+    """
+    asked = requests.select("request", cache_key(F.col("model"), F.col("prompt")).alias("exact_key"))
+    found = asked.join(newest(cache).withColumnRenamed("key", "entry"), "exact_key", "left")
+    return found.select("request", F.col("entry").isNotNull().alias("hit"), "entry", "answer")
+
+
+def with_hits(cache: DataFrame, probed: DataFrame) -> DataFrame:
+    """(key, hits): every entry's hits after those of `probed` are counted in."""
+    new = probed.where("hit").groupBy(F.col("entry").alias("key")).agg(F.count("*").alias("new"))
+    return cache.select("key", F.coalesce("hits", F.lit(0)).alias("hits")).join(new, "key", "left").select("key", (F.col("hits") + F.coalesce("new", F.lit(0))).cast("long").alias("hits"))
+
+
+def put(cache: DataFrame, answers: DataFrame, cutoff: str, keep: int) -> DataFrame:
+    """(key, hits, created): the cache after `answers` (key, created) replaced or joined its entries, without what is then evicted.
+
+    A replaced entry begins again at no hits; of several answers under a key the one created last counts.
+    """
+    row = lambda df, hits, new: df.where(F.col("key").isNotNull()).select("key", hits.cast("long").alias("hits"), F.coalesce("created", F.lit("")).alias("created"), F.lit(new).alias("new"))
+    both = row(cache, F.coalesce("hits", F.lit(0)), False).unionByName(row(answers, F.lit(0), True))
+    latest = both.groupBy("key").agg(F.max(F.struct("new", "created", "hits")).alias("x")).select("key", "x.hits", "x.created")
+    return latest.join(evicted(latest, cutoff, keep), "key", "left_anti")
+
+
+def live(cache: DataFrame, as_of: str, ttl_s: int = 3600) -> DataFrame:
+    """(key): entries that may still be read at the instant `as_of`: created at most `ttl_s` seconds before; unreadable times have passed."""
+    age = F.unix_seconds(instant(as_of)) - F.unix_seconds(F.try_to_timestamp("created"))
+    return cache.where(age.between(0, ttl_s)).select("key")
+
+
+def age(created: Column, as_of: str) -> Column:
+    """Age as text: minutes below an hour, hours below a day, else days; ? where the time can't be read or has no zone."""
+    s = F.unix_seconds(instant(as_of)) - F.unix_seconds(F.when(created.rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.try_to_timestamp(created)))
+    whole = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit))
+    return F.when(s.isNull(), "?").when(s < 3600, whole(60, "m")).when(s < 86400, whole(3600, "h")).otherwise(whole(86400, "d"))
+
+
+def keyed(cache: DataFrame, system: str = "", most_tokens: int | None = None) -> DataFrame:
+    """(key, exact_key) of every entry, asked with a system text and a bound on tokens; aliases of a model are different models here."""
+    return cache.select("key", cache_key(F.col("model"), F.col("prompt"), F.lit(system), F.lit(most_tokens)).alias("exact_key"))
 
 
 def duplicates(cache: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Coalescing events that follow each other within a gap into one session per key.
 
-Sessions are found per key and day first, so that a hot key is spread over as many tasks as it has days; the partial
-sessions, far fewer, are then joined over midnight.
+Sessions are found per key and day, so that a hot key is spread over as many tasks as it has days. Only the first and the last
+session of a day can go on over midnight: one row per key and day tells which of them belong together.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +30,19 @@ def coalesce_events(events: DataFrame, key: str, ts: str = "ts", gap_s: int = 90
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"))
     points = rows.groupBy("key", "ts").agg(F.count("*").alias("n"))
     by_day = points.select("key", F.to_date(utc("ts")).alias("day"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), "n")
-    partial = _islands(by_day, ["key", "day"], gap_s)
-    return _islands(partial, ["key"], gap_s).select("key", "first_ts", "last_ts", F.col("n").cast("long").alias("n"))
+    day = Window.partitionBy("key", "day")
+    place = F.row_number().over(day.orderBy("first_ts"))
+    runs = _islands(by_day, ["key", "day"], gap_s).withColumn("place", place).withColumn("runs", F.count("*").over(day))
+    runs = runs.withColumn("edge", (F.col("place") == 1) | (F.col("place") == F.col("runs")))
+    days = runs.groupBy("key", "day").agg(F.min("first_ts").alias("begin"), F.max("last_ts").alias("end"), F.first("runs").alias("runs"))
+    order = Window.partitionBy("key").orderBy("day")
+    apart = F.coalesce(seconds(F.col("begin")) - seconds(F.lag("end").over(order)) > gap_s, F.lit(True))
+    new = apart.cast("int") + F.coalesce((F.lag("runs").over(order) > 1).cast("int"), F.lit(0))
+    chains = days.withColumn("new", new).select("key", "day", F.sum("new").over(order).alias("chain"))
+    edges = runs.where("edge").join(chains, ["key", "day"]).withColumn("chain", F.col("chain") + (F.col("place") > 1).cast("int"))
+    over = edges.groupBy("key", "chain").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n").alias("n"))
+    columns = ["key", "first_ts", "last_ts", F.col("n").cast("long").alias("n")]
+    return runs.where(~F.col("edge")).select(*columns).unionByName(over.select(*columns))
 
 
 def as_text(runs: DataFrame) -> DataFrame:

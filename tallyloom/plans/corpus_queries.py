@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import cache, corpus, registry, retrieval
+from tallyloom.operators import cache, corpus, registry, retrieval, texts
 from tallyloom.sources.tables import table
 
 DIM = 384
@@ -35,13 +35,19 @@ def _dates(spark, d):
     return rows.select("id", corpus.session_date(F.col("heading"), F.col("chunk"), F.col("path")).alias("date"))
 
 
-def _query(spark, d, name="code_chunks"):
-    return retrieval.first_usable(table(spark, d, name, "id", "embedding"), DIM)
+def _queries(spark, d, name="code_chunks"):
+    """Searches ask for every row whose id is divisible by 50."""
+    return table(spark, d, name, "id", "embedding").where(F.col("id") % 50 == 0)
 
 
-def _topk(spark, d, repo=None):
-    chunks = table(spark, d, "code_chunks", "id", "repo", "embedding")
-    return retrieval.top_k(chunks.where(F.col("repo") == repo) if repo else chunks, _query(spark, d), 10)
+def _topk(spark, d, wanted=None, k=10):
+    chunks = table(spark, d, "code_chunks", "id", "repo", "path", "embedding")
+    return retrieval.top_k(chunks if wanted is None else chunks.where(wanted), _queries(spark, d), k, DIM)
+
+
+def _budget(spark, d):
+    sizes = table(spark, d, "code_chunks", "id", "chunk").select("id", F.coalesce(F.length("chunk"), F.lit(0)).alias("size"))
+    return retrieval.within_budget(_topk(spark, d, k=20), sizes, 8000)
 
 
 def _edges(spark, d):
@@ -49,8 +55,43 @@ def _edges(spark, d):
     return retrieval.resolved(retrieval.call_sites(code), code)
 
 
-def _mentions(spark, d):
-    return registry.mentions(table(spark, d, "documents", "doc_id", "text"))
+def _sites(spark, d):
+    return retrieval.call_sites(table(spark, d, "code_chunks", "id", "symbol", "chunk"))
+
+
+def _replaced(spark, d):
+    again = table(spark, d, "code_chunks", "id", "repo", "symbol", "chunk").where(F.col("repo") == "quill-desk")
+    return retrieval.replaced(_sites(spark, d), retrieval.call_sites(again).where(F.length("callee_symbol") > 4))
+
+
+def _defining(spark, d):
+    code = table(spark, d, "code_chunks", "id", "repo", "path", "lang", "symbol", "chunk")
+    names = texts.top_definitions(code).join(code.select("id", "repo", "path"), "id")
+    return retrieval.defining_chunks(names, code)
+
+
+def _mentions(spark, d, ledger=None):
+    """All mentions, or those of reports (which an identifier ledger is made from) or of all other documents."""
+    documents = table(spark, d, "documents", "doc_id", "text", "kind", "source", "updated_at")
+    report = F.coalesce(F.col("kind") == "report", F.lit(False))
+    return registry.mentions(documents if ledger is None else documents.where(report if ledger else ~report))
+
+
+def _ledger(spark, d):
+    lines = _mentions(spark, d, True).select(F.concat_ws("\t", "ident", F.concat(F.lit("line "), "line_no"), F.concat(F.lit("doc "), "doc_id"), "line").alias("line"))
+    return registry.ledger_rows(lines)
+
+
+def _allocated(spark, d):
+    requests = table(spark, d, "documents", "doc_id", "kind").select(F.upper(F.substring("kind", 1, 1)).alias("prefix"), F.col("doc_id").alias("request"))
+    return registry.allocated(requests, _mentions(spark, d))
+
+
+def _all_paths(spark, d):
+    rows = table(spark, d, "documents", "path")
+    for t in TABLES:
+        rows = rows.unionByName(table(spark, d, t, "path"))
+    return rows
 
 
 def _losses(spark, d):
@@ -61,6 +102,13 @@ def _losses(spark, d):
 QUERIES = {
     "manifest": lambda spark, d: corpus.manifest(_chunks(spark, d)),
     "manifest_diff": _diff,
+    "manifest_upsert": lambda spark, d: corpus.manifest_upsert(corpus.manifest(_headed(_chunks(spark, d))), corpus.manifest(_known(_chunks(spark, d)))),
+    "chunk_restamped": lambda spark, d: corpus.restamped(_chunks(spark, d), _known(_chunks(spark, d))),
+    "commit_stamped": lambda spark, d: corpus.stamped(_chunks(spark, d), corpus.heads(_chunks(spark, d))),
+    "chunks_behind": lambda spark, d: corpus.behind(_chunks(spark, d), corpus.heads(_chunks(spark, d))),
+    "ingest_stats": lambda spark, d: corpus.ingest_stats(_known(_chunks(spark, d)), _headed(_chunks(spark, d))),
+    "discovered_files": lambda spark, d: corpus.discovered(_all_paths(spark, d)),
+    "first_chunks": lambda spark, d: corpus.first_per_key(table(spark, d, "session_chunks", "path", "id", "heading"), "path", ["id"]),
     "chunk_upsert": lambda spark, d: corpus.upsert(_known(_chunks(spark, d)), _chunks(spark, d)),
     "chunk_stale": lambda spark, d: corpus.stale(_chunks(spark, d), _known(_headed(_chunks(spark, d)))),
     "collection_counts": lambda spark, d: corpus.counts(_sweep(spark, d)),
@@ -73,34 +121,52 @@ QUERIES = {
     "chunk_markdown": lambda spark, d: corpus.chunk_documents(table(spark, d, "documents", "doc_id", "text")),
     "section_lines": lambda spark, d: corpus.sections(table(spark, d, "rules_chunks", "id", "chunk")),
     "vector_topk": lambda spark, d: _topk(spark, d),
-    "vector_topk_filtered": lambda spark, d: _topk(spark, d, "quill-desk"),
-    "vector_topk_budget": lambda spark, d: retrieval.top_k_within(table(spark, d, "code_chunks", "id", "chunk", "embedding"), _query(spark, d), 20, 8000),
+    "vector_topk_filtered": lambda spark, d: _topk(spark, d, F.col("repo") == "quill-desk"),
+    "vector_topk_under_path": lambda spark, d: _topk(spark, d, F.col("path").startswith("lib/")),
+    "vector_topk_budget": _budget,
+    "path_vectors": lambda spark, d: retrieval.mean_pooled(table(spark, d, "code_chunks", "path", "embedding").withColumnRenamed("path", "key"), DIM),
     "call_edges": _edges,
-    "call_graph_expand": lambda spark, d: retrieval.expand(_topk(spark, d).select("id"), _edges(spark, d)),
+    "call_graph_expand": lambda spark, d: retrieval.expand(_topk(spark, d), _edges(spark, d)),
+    "call_edges_replaced": _replaced,
+    "definition_chunks": _defining,
     "python_calls": lambda spark, d: retrieval.parsed_calls(table(spark, d, "code_chunks", "id", "lang", "chunk")),
     "id_mentions": lambda spark, d: _mentions(spark, d).select("ident", "doc_id", "line_no"),
-    "id_gaps": lambda spark, d: registry.gaps(_mentions(spark, d)),
-    "id_next": lambda spark, d: registry.next_ids(_mentions(spark, d)),
+    "id_gaps": lambda spark, d: registry.gaps(_mentions(spark, d, False), _ledger(spark, d)),
+    "id_gap_report": lambda spark, d: registry.gap_report(_mentions(spark, d)),
+    "id_ledger": lambda spark, d: _ledger(spark, d).select("ident", "number", "ts", "who").distinct(),
+    "id_unrecorded": lambda spark, d: registry.unrecorded(_mentions(spark, d, False), _ledger(spark, d)),
+    "id_allocated": _allocated,
+    "id_next": lambda spark, d: registry.next_ids(_mentions(spark, d, False), _ledger(spark, d)),
     "id_digests": lambda spark, d: registry.digests(_mentions(spark, d)),
-    "prompts_escaped": lambda spark, d: table(spark, d, "cache_rows").select("key", registry.escaped(F.col("prompt")).alias("html"), registry.redacted(F.concat(F.lit("https://x.example/q?key="), F.col("key"), F.lit("&m=1"))).alias("url")),
+    "prompts_escaped": lambda spark, d: table(spark, d, "cache_rows").select("key", registry.escaped(registry.shortened(F.col("prompt"), 60)).alias("html"), F.md5(registry.redacted(F.concat(F.coalesce("prompt", F.lit("")), F.lit(" see https://x.example/q?key="), F.col("key"), F.lit("&m=1")))).alias("masked")),
     "documents_normal": lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(cache.normal(F.col("text")), 256).alias("digest")),
 }
 
 _LINES = r"regexp_split_to_array({0}, '\r\n|\n|\r')"
-_MANIFEST = "select repo, path, sha256(string_agg(coalesce(chunk_sha, ''), '' order by id)) as content_hash from rules_chunks where path is not null and {0} group by 1, 2"
+_FILES = """(select repo, path, sha256(string_agg(part, '' order by span)) as digest, min(first_id) as first_id, max(last_id) as last_id, sum(n)::bigint as n from (
+  select repo, path, floor(id / 10000) as span, sha256(string_agg(coalesce({0}, ''), '' order by id)) as part, min(id) as first_id, max(id) as last_id, count(*) as n
+  from rules_chunks where path is not null and {1} group by 1, 2, 3) group by 1, 2)"""
+_MANIFEST = "select repo, path, digest as content_hash from " + _FILES.format("chunk_sha", "{0}")
 _KNOWN = "repo_commit is not null and repo_commit <> 'unknown'"
 _HEADED = "coalesce(heading, '') <> ''"
+_HEADS = f"n as (select repo, repo_commit, count(*) as n from rules_chunks where {_KNOWN} and repo is not null group by 1, 2), h as (select repo, max(struct_pack(n := n, c := repo_commit)).c as head from n group by 1)"
+_PATHS = " union all ".join(f"select path from {t}" for t in ("documents", *TABLES))
 _SWEEP = " union all ".join(f"select '{t}' as collection, id, repo, path, repo_commit from {t}" for t in TABLES)
 _USABLE = f"embedding is not null and len(embedding) = {DIM} and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
-_SCORED = f"""q as (select embedding::double[] as q from code_chunks where {_USABLE} order by id limit 1),
-scored as (select c.*, round(list_cosine_similarity(c.embedding::double[], q.q), 6) as similarity from code_chunks c, q where {_USABLE.replace('embedding', 'c.embedding')})"""
+_SCORED = f"""q as (select id as query_id, embedding::double[] as q from code_chunks where id % 50 = 0 and {_USABLE}),
+scored as (select q.query_id, c.*, round(list_cosine_similarity(c.embedding::double[], q.q), 6) as similarity from code_chunks c, q where {_USABLE.replace('embedding', 'c.embedding')})"""
+_TOP = "select query_id, id, similarity from scored where {0} qualify row_number() over (partition by query_id order by similarity desc, id) <= {1}"
 _EDGES = r"""sites as (select id as caller_id, string_split(coalesce(symbol, ''), '.')[-1] as own, unnest(list_distinct(regexp_extract_all(chunk, '([A-Za-z_][A-Za-z0-9_]*)\(', 1))) as callee_symbol from code_chunks where chunk is not null),
 defined as (select repo, string_split(symbol, '.')[-1] as callee_symbol, min(id) as resolved_id from code_chunks where symbol is not null group by 1, 2),
 edges as (select distinct s.caller_id, s.callee_symbol, d.resolved_id from sites s join code_chunks c on c.id = s.caller_id
   left join defined d on d.repo = c.repo and d.callee_symbol = s.callee_symbol where s.callee_symbol <> s.own)"""
 _IDS = rf"""lines as (select doc_id, unnest({_LINES.format('text')}) as line, generate_subscripts({_LINES.format('text')}, 1) as line_no from documents where text is not null),
 found as (select doc_id, line_no::bigint as line_no, line, unnest(list_distinct(regexp_extract_all(line, '\b([DTNBW]-[0-9]+)\b', 1))) as ident from lines),
-m as (select *, string_split(ident, '-')[1] as prefix, string_split(ident, '-')[2]::bigint as number from found)"""
+m as (select *, string_split(ident, '-')[1] as prefix, try_cast(string_split(ident, '-')[2] as bigint) as number from found)"""
+_NUMBERED = f"""{_IDS}, u as (select distinct prefix, number from m where number is not null),
+b as (select prefix, number, coalesce(lag(number) over (partition by prefix order by number), 0) + 1 as first from u where number > 0),
+runs as (select prefix, first, number - 1 as last, number - first as n from b where number > first)"""
+_PADDED = "prefix || '-' || case when length(({0})::varchar) < 3 then lpad(({0})::varchar, 3, '0') else ({0})::varchar end"
 _JOINERS = "length({0}) - length(replace({0}, '‌', ''))"
 _SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\p{Z}]"
 _T = "coalesce(text, '')"
@@ -119,13 +185,23 @@ select s.id, case when p.path is not null then 'chunk_gone' else 'path_gone' end
   count(distinct repo_commit) filter (repo_commit <> 'unknown') as commits from s group by 1, 2""",
     "collection_stale_paths": f"""with s as ({_SWEEP}) select collection, repo, path, count(*) as chunks, count(distinct coalesce(repo_commit, 'unknown')) as commits from s group by 1, 2, 3
   having count(distinct coalesce(repo_commit, 'unknown')) > 1 or count(*) filter (coalesce(repo_commit, 'unknown') = 'unknown') > 0""",
-    "receipts": "select repo, path, substring(sha256(string_agg(coalesce(chunk, ''), '' order by id)), 1, 12) as receipt, min(id) as first_id, max(id) as last_id, count(*) as n from rules_chunks group by 1, 2",
+    "receipts": f"select repo, path, substring(digest, 1, 12) as receipt, first_id, last_id, n from {_FILES.format('sha256(chunk)', 'true').replace('coalesce(sha256(chunk), ' + chr(39) * 2 + ')', 'sha256(coalesce(chunk, ' + chr(39) * 2 + '))')}",
+    "manifest_upsert": f"with a as ({_MANIFEST.format(_HEADED)}), b as ({_MANIFEST.format(_KNOWN)}) select coalesce(a.repo, b.repo) as repo, coalesce(a.path, b.path) as path, coalesce(b.content_hash, a.content_hash) as content_hash from a full join b on a.repo = b.repo and a.path = b.path",
+    "chunk_restamped": f"with i as (select repo, path, chunk_sha, max(repo_commit) as c from rules_chunks where {_KNOWN} group by 1, 2, 3) select s.id, coalesce(i.c, s.repo_commit) as repo_commit from rules_chunks s left join i on i.repo = s.repo and i.path = s.path and i.chunk_sha = s.chunk_sha",
+    "commit_stamped": f"with {_HEADS} select id, coalesce(head, repo_commit) as repo_commit from rules_chunks left join h using (repo)",
+    "chunks_behind": f"with {_HEADS} select repo, count(*) as chunks, count(*) filter (repo_commit is distinct from head) as behind from rules_chunks join h using (repo) group by 1",
+    "ingest_stats": f"""with i as (select distinct repo, path, chunk_sha from rules_chunks where {_HEADED}), s as (select * from rules_chunks where {_KNOWN}), k as (select distinct repo, path, chunk_sha from s),
+seen as (select i.repo, count(*) as seen, count(*) filter (k.repo is null) as written, count(*) filter (k.repo is not null) as skipped from i left join k on k.repo = i.repo and k.path = i.path and k.chunk_sha = i.chunk_sha group by 1),
+gone as (select s.repo, count(*) as deleted from s left join i on i.repo = s.repo and i.path = s.path and i.chunk_sha = s.chunk_sha where i.path is null group by 1)
+select coalesce(seen.repo, gone.repo) as repo, coalesce(seen, 0) as seen, coalesce(written, 0) as written, coalesce(skipped, 0) as skipped, coalesce(deleted, 0) as deleted from seen full join gone on seen.repo = gone.repo""",
+    "discovered_files": " union ".join(f"select '{name}' as collection, path from ({_PATHS}) where regexp_matches(path, '{take}') and not regexp_matches(path, '{leave}')" for name, (take, leave) in corpus.DISCOVERY.items()),
+    "first_chunks": "select path, id, heading from session_chunks where path is not null qualify row_number() over (partition by path order by id) = 1",
     "session_dates": r"""with s as (select id, heading, chunk, string_split(path, '/')[-1] as name from session_chunks), d as (select *, nullif(regexp_extract(name, '([0-9]{8})', 1), '') as digits from s)
 select id, coalesce(nullif(regexp_extract(heading, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(heading, '([0-9]{4}-[0-9]{2})', 1), ''),
   nullif(regexp_extract(chunk, '[dD]ate:[ \t\n\r]*["'']?([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(name, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''),
   substring(digits, 1, 4) || '-' || substring(digits, 5, 2) || '-' || substring(digits, 7, 2), nullif(regexp_extract(name, '([0-9]{4}-[0-9]{2})', 1), '')) as date from d""",
     "document_measures": rf"""select doc_id, length({_T})::bigint as chars, (case when {_T} = '' then 0 else len({_LINES.format(_T)}) end)::bigint as lines, len(regexp_extract_all({_T}, '[^ \t\r\n]+'))::bigint as words,
-  (length({_T}) // 3)::bigint as est_tokens, ({_JOINERS.format(_T)})::bigint as joiners from documents""",
+  (length({_T}) // 3)::bigint as est_tokens, (length({_T}) // 4)::bigint as est_tokens_4, len(regexp_extract_all({_T}, '[^ \t\r\n]+'))::bigint * 2 as est_tokens_words, ({_JOINERS.format(_T)})::bigint as joiners from documents""",
     "script_shares": f"select lower(coalesce(lang, '(none)')) as lang, count(*) as documents, count(*) filter (regexp_matches({_T}, '[؀-ۿ]')) as arabic, sum({_JOINERS.format(_T)})::bigint as joiners from documents group by 1",
     "joiner_losses": f"""with b as (select repo, path, sum({_JOINERS.format('chunk')})::bigint as joiners_before from session_chunks group by 1, 2),
 a as (select repo, path, sum({_JOINERS.format("regexp_replace(regexp_replace(chunk, '‌([ .،])', '" + chr(92) + "1', 'g'), 'ه‌', 'ه', 'g')")})::bigint as joiners_after from session_chunks group by 1, 2)
@@ -133,21 +209,38 @@ select repo, path, joiners_before, joiners_after from b join a using (repo, path
     "section_lines": rf"""with l as (select id, unnest({_LINES.format('chunk')}) as line, generate_subscripts({_LINES.format('chunk')}, 1)::bigint as line_no from rules_chunks where chunk is not null),
 f as (select *, regexp_matches(line, '^[ \t]*```') as fence, sum(regexp_matches(line, '^[ \t]*```')::int) over (partition by id order by line_no) % 2 = 1 as fenced from l)
 select id, line_no, line, last_value(case when regexp_matches(line, '^#+ ') then trim(line, ' ') end ignore nulls) over (partition by id order by line_no) as heading from f where not fenced and not fence""",
-    "vector_topk": f"with {_SCORED} select id, similarity from scored order by similarity desc, id limit 10",
-    "vector_topk_filtered": f"with {_SCORED} select id, similarity from scored where repo = 'quill-desk' order by similarity desc, id limit 10",
-    "vector_topk_budget": f"""with {_SCORED}, top as (select id, similarity, chunk from scored order by similarity desc, id limit 20),
-cut as (select *, sum(length(chunk)) over (order by similarity desc, id) as upto from top) select id, similarity from cut where upto <= 8000""",
+    "vector_topk": f"with {_SCORED} {_TOP.format('true', 10)}",
+    "vector_topk_under_path": f"with {_SCORED} {_TOP.format(chr(39).join(('starts_with(path, ', 'lib/', ')')), 10)}",
+    "path_vectors": f"""with v as (select path as key, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from code_chunks where path is not null and {_USABLE}),
+c as (select path as key, count(*) as n from code_chunks where path is not null and {_USABLE} group by 1), t as (select key, i, sum(x) as x from v group by 1, 2),
+l as (select key, greatest(sqrt(sum(x * x)), 1e-9) as l from t group by 1) select key, any_value(n) as n, list(round(x / l, 6) + 0.0 order by i) as embedding from t join l using (key) join c using (key) group by 1""",
+    "vector_topk_filtered": f"with {_SCORED} {_TOP.format(chr(39).join(('repo = ', 'quill-desk', '')), 10)}",
+    "vector_topk_budget": f"""with {_SCORED}, top as ({_TOP.format('true', 20)}),
+cut as (select t.*, sum(coalesce(length(chunk), 0)) over (partition by query_id order by similarity desc, id) as upto from top t join code_chunks using (id)) select query_id, id, similarity from cut where upto <= 8000""",
     "call_edges": f"with {_EDGES} select * from edges",
-    "call_graph_expand": f"""with {_SCORED}, {_EDGES}, hits as (select id from scored order by similarity desc, id limit 10),
-every as (select id, 0 as r from hits union all select caller_id, 1 from edges where resolved_id in (select id from hits) union all select resolved_id, 2 from edges where resolved_id is not null and caller_id in (select id from hits))
-select id, case min(r) when 0 then 'hit' when 1 then 'caller' else 'callee' end as role from every group by 1""",
+    "call_graph_expand": f"""with {_SCORED}, {_EDGES}, hits as ({_TOP.format('true', 10)}),
+every as (select query_id, id, 0 as r from hits union all select query_id, caller_id, 1 from edges join hits on resolved_id = id union all select query_id, resolved_id, 2 from edges join hits on caller_id = id where resolved_id is not null)
+select query_id, id, case min(r) when 0 then 'hit' when 1 then 'caller' else 'callee' end as role from every group by 1, 2""",
+    "call_edges_replaced": f"""with {_EDGES}, again as (select id from code_chunks where repo = 'quill-desk'), n as (select caller_id, callee_symbol from edges where caller_id in (select id from again) and length(callee_symbol) > 4)
+select caller_id, callee_symbol from edges where caller_id not in (select caller_id from n) union select * from n""",
+    "definition_chunks": f"""with n as (select id, repo, path, unnest(list_distinct(case when lang = 'python' then regexp_extract_all(chunk, '{texts.PYTHON_DEFINITION}', 1) else regexp_extract_all(chunk, '{texts.SHELL_DEFINITION}', 1) end)) as name from code_chunks where chunk is not null),
+s as (select repo, path, symbol as name, min(id) as symbol_id from code_chunks where symbol is not null group by 1, 2, 3) select n.id, n.name, symbol_id from n join s on s.repo = n.repo and s.path = n.path and s.name = n.name""",
     "id_mentions": f"with {_IDS} select ident, doc_id, line_no from m",
-    "id_gaps": f"""with {_IDS}, s as (select prefix, unnest(generate_series(1, max(number))) as number from m group by 1)
-select prefix, number from s where not exists (select 1 from m where m.prefix = s.prefix and m.number = s.number)""",
+    "id_gaps": f"with {_NUMBERED} select prefix, first, last, n from runs",
+    "id_gap_report": f"""with {_NUMBERED}, each as (select prefix, unnest(generate_series(first, least(last, first + 9))) as number from runs),
+head as (select prefix, number from each qualify row_number() over (partition by prefix order by number) <= 10), named as (select prefix, string_agg(number::varchar, ', ' order by number) as gaps, count(*) as shown from head group by 1)
+select prefix, gaps, (n - shown)::bigint as more from named join (select prefix, sum(n) as n from runs group by 1) using (prefix)""",
+    "id_ledger": f"with {_IDS} select distinct ident, number, 'line ' || line_no as ts, 'doc ' || m.doc_id as who from m join documents d on d.doc_id = m.doc_id where kind = 'report'",
+    "id_unrecorded": f"with {_IDS}, k as (select ident, coalesce(kind = 'report', false) as report from m join documents d on d.doc_id = m.doc_id) select ident from k group by 1 having not bool_or(report)",
+    "id_allocated": f"""with {_IDS}, g as (select prefix, max(number) as greatest from m group by 1), r as (select distinct upper(substring(kind, 1, 1)) as prefix, doc_id as request from documents where kind is not null)
+select prefix, request, {_PADDED.format('coalesce(greatest, 0) + row_number() over (partition by prefix order by request)')} as ident from r left join g using (prefix)""",
     "id_next": f"with {_IDS} select prefix, prefix || '-' || case when length((max(number) + 1)::varchar) < 3 then lpad((max(number) + 1)::varchar, 3, '0') else (max(number) + 1)::varchar end as next_id, max(number) as greatest from m group by 1",
     "id_digests": rf"""with {_IDS}, g as (select ident, count(*) as n_lines, count(distinct doc_id) as n_docs, min(struct_pack(a := doc_id, b := line_no, c := line)) as x from m group by 1),
-c as (select *, trim(regexp_replace(x.c, '[*_`]+', '', 'g'), ' ') as clean from g), h as (select *, substring(clean, 1, 79) as head from c), w as (select *, regexp_extract(head, '(?s)^(.*) ', 1) as word from h)
+c as (select *, trim(regexp_replace(regexp_replace(x.c, '[*_`]+', '', 'g'), '{registry.SIGNS}', ''), ' ') as clean from g), h as (select *, substring(clean, 1, 79) as head from c), w as (select *, regexp_extract(head, '(?s)^(.*) ', 1) as word from h)
 select ident, n_lines, n_docs, x.a as first_doc, case when length(clean) <= 80 then clean else (case when word <> '' then word else head end) || '…' end as summary from w""",
-    "prompts_escaped": "select key, replace(replace(replace(prompt, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html, 'https://x.example/q?key=<redacted...' || right(key, 4) || '>&m=1' as url from cache_rows",
+    "prompts_escaped": r"""with t as (select key, case when length(prompt) <= 60 then prompt else rtrim(substring(prompt, 1, 59), ' ') || '…' end as short,
+  coalesce(prompt, '') || ' see https://x.example/q?key=' || key || '&m=1' as url from cache_rows)
+select key, replace(replace(replace(short, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html,
+  md5(regexp_replace(regexp_replace(url, '([?&]key=)[^&\s''"]+([^&\s''"]{4})', '\1<redacted...\2>', 'g'), '([?&]key=)[^&\s''"<]{1,4}([&\s''"]|$)', '\1<redacted>\2', 'g')) as masked from t""",
     "documents_normal": f"select doc_id, sha256(trim(regexp_replace(nfc_normalize({_T}), '{_SPACE}+', ' ', 'g'))) as digest from documents",
 }

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from tallyloom.functions.times import instant
 from tallyloom.operators import cache, coalesce, ledger
 from tallyloom.sources.tables import table
+from tallyloom.streaming import jobs
 
 AS_OF = "2026-06-15 12:00:00"
 SINCE = "2026-06-01"
 CUTOFF = "2026-04-15"
 KEEP = 200
+ANSWERED = "2026-07-01T00:00:00+00:00"
 
 
 def _usage(spark, d):
@@ -28,6 +30,16 @@ def _load(spark, d):
     return ledger.new_rows(rows, stored).groupBy("mode").agg(F.count("*").alias("loaded"), F.sum("input_tokens").alias("input_tokens"))
 
 
+def _probe(spark, d):
+    """Every prompt of the cache asked again, against the entries made since CUTOFF."""
+    rows = table(spark, d, "cache_rows")
+    return cache.probe(rows.withColumnRenamed("key", "request"), rows.where(F.col("created") >= CUTOFF))
+
+
+def _answered(spark, d):
+    return table(spark, d, "cache_rows").where(F.col("response").isNull()).select("key", F.lit(ANSWERED).alias("created"))
+
+
 QUERIES = {
     **{f"cost_report_by_{by}": (lambda spark, d, by=by: ledger.ordered(ledger.report(_usage(spark, d), by)).drop("is_total")) for by in ("model_asked", "project", "day", "session_id", "via", "mode")},
     "cost_report_since": lambda spark, d: ledger.ordered(ledger.report(_usage(spark, d), "project", SINCE)).drop("is_total"),
@@ -37,6 +49,7 @@ QUERIES = {
     "session_spend": lambda spark, d: ledger.session_spend(_usage(spark, d), AS_OF),
     "ledger_rejects": lambda spark, d: ledger.rejects(_lines(spark, d)),
     "ledger_idempotent_load": _load,
+    "ledger_streamed": lambda spark, d: jobs.replayed(table(spark, d, "usage_rows").select(F.col("raw").alias("value"))).select("event_id", "project", "month"),
     "ledger_repeated": lambda spark, d: ledger.repeated(table(spark, d, "usage_rows", "event_id"), "event_id"),
     "ledger_last_calls": lambda spark, d: ledger.last_calls(_usage(spark, d)),
     "spend_by_project": lambda spark, d: ledger.spend(_usage(spark, d), AS_OF),
@@ -44,7 +57,12 @@ QUERIES = {
     "monthly_projection": lambda spark, d: ledger.projection_of_latest(_usage(spark, d)),
     "call_runs": lambda spark, d: coalesce.as_text(coalesce.coalesce_events(table(spark, d, "usage_rows", "project", "ts"), "project")),
     "event_runs": lambda spark, d: coalesce.as_text(coalesce.coalesce_events(table(spark, d, "events", "user_id", "ts"), "user_id", gap_s=21600)),
-    "cache_keys": lambda spark, d: cache.keyed(table(spark, d, "cache_rows")),
+    "cache_keys": lambda spark, d: cache.keyed(table(spark, d, "cache_rows"), "Answer  briefly. ", 1024),
+    "cache_probe": lambda spark, d: _probe(spark, d),
+    "cache_hits": lambda spark, d: cache.with_hits(table(spark, d, "cache_rows"), _probe(spark, d)),
+    "cache_put": lambda spark, d: cache.put(table(spark, d, "cache_rows"), _answered(spark, d), CUTOFF, KEEP),
+    "cache_live": lambda spark, d: cache.live(table(spark, d, "cache_rows", "key", "created"), AS_OF, 30 * 86400),
+    "cache_entry_ages": lambda spark, d: table(spark, d, "cache_rows", "key", "created").select("key", cache.age(F.col("created"), AS_OF).alias("age")),
     "cache_duplicates": lambda spark, d: cache.duplicates(table(spark, d, "cache_rows")),
     "cache_evicted": lambda spark, d: cache.evicted(table(spark, d, "cache_rows", "key", "created"), CUTOFF, KEEP),
     "cache_ages": lambda spark, d: cache.age_buckets(table(spark, d, "cache_rows", "created", "hits"), AS_OF),
@@ -68,7 +86,11 @@ select case when is_total = 1 then 'TOTAL' else g end as group_key, calls, cache
 
 
 _SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\p{Z}]"
-_EXACT = f"sha256(coalesce(model, '') || chr(0) || trim(regexp_replace(nfc_normalize(coalesce(prompt, '')), '{_SPACE}+', ' ', 'g')))"
+_EXACT_OF = f"sha256(coalesce(model, '') || chr(0) || '{{0}}' || chr(0) || trim(regexp_replace(nfc_normalize(coalesce(prompt, '')), '{_SPACE.replace('{', '{{').replace('}', '}}')}+', ' ', 'g')) || chr(0) || '{{1}}')"
+_EXACT = _EXACT_OF.format("", "")
+_PROBED = f"""r as (select *, {_EXACT} as exact_key from cache_rows),
+n as (select exact_key, key as entry, md5(response) as answer from r where created >= '{CUTOFF}' and response is not null qualify row_number() over (partition by exact_key order by created desc, key desc) = 1),
+probed as (select r.key as request, n.entry is not null as hit, n.entry, n.answer from r left join n using (exact_key))"""
 _JSON = "json_extract_string(line, '$.{0}')"
 
 
@@ -100,6 +122,8 @@ select case when line = '' then 'blank' when not ok then 'not_json' when kind <>
   count(*) as n_lines from k group by 1""",
     "ledger_idempotent_load": f"""select mode, count(*) as loaded, sum(input_tokens)::bigint as input_tokens from (select distinct on (raw) * from usage_rows
   where raw not in (select raw from usage_rows where ts < timestamptz '{SINCE} 00:00:00+00' and raw is not null)) group by 1""",
+    "ledger_streamed": f"""select distinct sha256(raw) as event_id, {_JSON.format('project').replace('line', 'raw')} as project, strftime(try_cast({_JSON.format('ts').replace('line', 'raw')} as timestamptz) at time zone 'UTC', '%Y-%m') as month
+  from usage_rows where {_JSON.format('ts').replace('line', 'raw')} <> '' and {_JSON.format('model_asked').replace('line', 'raw')} <> ''""",
     "ledger_repeated": "select event_id, count(*) as n from usage_rows where event_id is not null group by 1 having count(*) > 1",
     "ledger_last_calls": """with r as (select coalesce(nullif(project, ''), '(none)') as project, event_id, ts, model_asked, cost_usd::double as cost_usd,
   row_number() over (partition by coalesce(nullif(project, ''), '(none)') order by ts desc, event_id desc) as rn from usage_rows where ts is not null)
@@ -124,7 +148,14 @@ select mode, count(*) as calls, count(*) filter (mode <> 'worker' and i is not n
 select count(*) as n_calls, sum((coalesce(cost_usd, 0) * 1000000)::bigint)::double / count(*) / 1000000 * 500 * 30 as month_usd from latest""",
     "call_runs": _runs("usage_rows", "project", 900, " at time zone 'UTC'"),
     "event_runs": _runs("events", "user_id", 21600),
-    "cache_keys": f"select key, {_EXACT} as exact_key from cache_rows",
+    "cache_keys": f"select key, {_EXACT_OF.format('Answer briefly.', 1024)} as exact_key from cache_rows",
+    "cache_probe": f"with {_PROBED} select * from probed",
+    "cache_hits": f"with {_PROBED}, c as (select entry as key, count(*) as new from probed where hit group by 1) select key, (coalesce(hits, 0) + coalesce(new, 0))::bigint as hits from cache_rows left join c using (key)",
+    "cache_put": f"""with p as (select key, case when response is null then 0 else coalesce(hits, 0) end::bigint as hits, case when response is null then '{ANSWERED}' else coalesce(created, '') end as created from cache_rows where key is not null)
+select * from p where created >= '{CUTOFF}' qualify row_number() over (order by created desc, key) <= {KEEP}""",
+    "cache_live": f"select key from cache_rows where epoch(timestamptz '{AS_OF}+00')::bigint - epoch(try_cast(created as timestamptz))::bigint between 0 and 2592000",
+    "cache_entry_ages": rf"""with a as (select key, epoch(timestamptz '{AS_OF}+00')::bigint - epoch(case when regexp_matches(created, '(Z|[+-]\d\d:?\d\d)$') then try_cast(created as timestamptz) end)::bigint as s from cache_rows)
+select key, case when s is null then '?' when s < 3600 then floor(s / 60.0)::bigint || 'm' when s < 86400 then floor(s / 3600.0)::bigint || 'h' else floor(s / 86400.0)::bigint || 'd' end as age from a""",
     "cache_duplicates": f"""with r as (select {_EXACT} as exact_key, key, coalesce(created, '') as created, coalesce(hits, 0) as hits from cache_rows)
 select exact_key, count(*) as entries, sum(hits)::bigint as hits, max(struct_pack(a := created, b := key)).b as kept from r group by 1 having count(*) > 1""",
     "cache_evicted": f"""with r as (select distinct key, coalesce(created, '') as created from cache_rows where key is not null),

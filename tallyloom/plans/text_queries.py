@@ -53,8 +53,6 @@ QUERIES = {
 _L = "lines as (select {0}, unnest({1}) as line, generate_subscripts({1}, 1)::bigint as line_no from {2} where {3} is not null)"
 _DOC_LINES = _L.format("doc_id", _LINES.format("text"), "documents", "text")
 _PATHS = " union all ".join(f"select path from {t}" for t in ("documents", *TABLES))
-_PY = r"(?m)^(?:async[ \t]+)?def[ \t]+([a-zA-Z_][a-zA-Z0-9_]*)[ \t]*\(|^class[ \t]+([a-zA-Z_][a-zA-Z0-9_]*)"
-_SH = r"(?m)^(?:function[ \t]+)?([a-zA-Z_][a-zA-Z0-9_.-]*)[ \t]*\(\)[ \t]*\{"
 
 SQL = {
     "pipe_rows": rf"""with {_DOC_LINES}, r as (select doc_id, line_no, list_transform(string_split(regexp_replace(line, '^ *\||\| *$', '', 'g'), '|'), lambda c: trim(c, ' ')) as cells
@@ -71,7 +69,7 @@ select id, case when slug = '' then 'note' else slug end as slug from s""",
     "chunk_positions": "select id, row_number() over (partition by repo, path order by id) as position, count(*) over (partition by repo, path) as n from session_chunks",
     "file_symbols": """with f as (select repo, path, symbol, min(struct_pack(line := coalesce(start_line, 0), id := id)) as pos from code_chunks where symbol is not null group by 1, 2, 3)
 select repo, path, string_agg(symbol, ', ' order by pos, symbol) as symbols from f group by 1, 2""",
-    "top_definitions": f"""with n as (select id, unnest(list_distinct(case when lang = 'python' then list_concat(regexp_extract_all(chunk, '{_PY}', 1), regexp_extract_all(chunk, '{_PY}', 2)) else regexp_extract_all(chunk, '{_SH}', 1) end)) as name
+    "top_definitions": f"""with n as (select id, unnest(list_distinct(case when lang = 'python' then regexp_extract_all(chunk, '{texts.PYTHON_DEFINITION}', 1) else regexp_extract_all(chunk, '{texts.SHELL_DEFINITION}', 1) end)) as name
   from code_chunks where chunk is not null) select id, name from n where name <> ''""",
     "run_totals": "select json_extract_string(raw, '$.run_id') as run_id, count(*) as calls, coalesce(sum(json_extract_string(raw, '$.cost_usd')::decimal(12,6)), 0)::double as cost_usd from (select distinct raw from usage_rows where raw is not null) where json_extract_string(raw, '$.run_id') is not null group by 1",
     "live_sessions": f"""select session_id, count(distinct event_id) as calls, strftime(max(ts) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as last_ts from usage_rows

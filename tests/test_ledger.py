@@ -62,6 +62,44 @@ def test_cache_keys_and_eviction(spark):
     assert {r.age for r in cache.age_buckets(df, "2026-01-04").collect()} == {"week", "?"}
 
 
+def test_doubtful_lines(spark):
+    df = lines(spark, "{}", '{"a": {"b": 1}, "ts": "t", "model_asked": "m"}', '{"ts": "}", "model_asked": "m"}', json.dumps(GOOD) + json.dumps(GOOD), "{'ts': 't', 'model_asked': 'm'}", '{"ts": "t", "model_asked": "m", "in": "x"}', '{"ts": "t", "model_asked": "m",}')
+    assert {r.reason: r.n_lines for r in ledger.rejects(df).collect()} == {"accepted": 3, "no_ts": 1, "not_json": 3}
+
+
+def test_runs_over_several_midnights(spark):
+    t = datetime(2026, 1, 1, 12)
+    at = [t + timedelta(hours=h) for h in (0, 6, 13, 20, 27, 34, 60, 61, 100)]
+    df = spark.createDataFrame([("k", x) for x in at], "key string, ts timestamp")
+    got = sorted((r.first_ts, r.last_ts, r.n) for r in coalesce.coalesce_events(df, "key", gap_s=7 * 3600).collect())
+    assert got == [(at[0], at[5], 6), (at[6], at[7], 2), (at[8], at[8], 1)]
+    assert coalesce.coalesce_events(df, "key", gap_s=2 * 86400).count() == 1
+
+
+def test_cache_probe_and_put(spark):
+    rows = [("1", "m", "p", "r1", "2026-01-01T00:00:00Z", 1), ("2", "m", " p ", "r2", "2026-01-02T00:00:00Z", None), ("3", "m", "p", None, "2026-01-03T00:00:00Z", 4), ("4", None, None, "x", None, 5)]
+    df = spark.createDataFrame(rows, "key string, model string, prompt string, response string, created string, hits int")
+    asked = spark.createDataFrame([("a", "m", "p"), ("b", "m", "p"), ("c", "n", "p"), ("d", None, None)], "request string, model string, prompt string")
+    probed = cache.probe(asked, df)
+    assert {(r.request, r.hit, r.entry) for r in probed.collect()} == {("a", True, "2"), ("b", True, "2"), ("c", False, None), ("d", True, "4")}
+    assert {(r.key, r.hits) for r in cache.with_hits(df, probed).collect()} == {("1", 1), ("2", 2), ("3", 4), ("4", 6)}
+    new = spark.createDataFrame([("1", "2026-02-01"), ("9", "2026-02-02")], "key string, created string")
+    assert {(r.key, r.hits) for r in cache.put(df, new, "2026-01-02", 3).collect()} == {("1", 0), ("9", 0), ("3", 4)}
+    assert {r.key for r in cache.live(df, "2026-01-03", 86400).collect()} == {"2", "3"}
+    ages = {r.key: r.age for r in df.select("key", cache.age(df.created, "2026-01-03 00:30:00").alias("age")).collect()}
+    assert ages == {"1": "2d", "2": "1d", "3": "30m", "4": "?"}
+
+
+def test_tokens_by_mode_and_spend(spark):
+    t = datetime(2026, 1, 2, 5)
+    df = lines(spark, *(json.dumps(GOOD | x) for x in ({}, {"mode": "worker"}, {"mode": "agent"})), json.dumps({k: v for k, v in GOOD.items() if k != "in"} | {"mode": "agent"}))
+    assert {(r.mode, r.calls, r.calls_with_tokens, r.input_tokens) for r in ledger.mode_tokens(df).collect()} == {("chat", 1, 1, 5), ("worker", 1, 0, 0), ("agent", 2, 1, 5)}
+    rows = [("a", "cli", "s", t, False, Decimal(1)), ("a", "cli", "s", t, False, Decimal(1)), ("b", None, "s", t, None, Decimal(0)), ("c", "cli", None, t, True, Decimal(2)), ("d", "cli", "s", t - timedelta(days=1), False, None)]
+    usage = spark.createDataFrame(rows, "event_id string, via string, session_id string, ts timestamp, cached boolean, cost_usd decimal(12,6)")
+    assert {tuple(r) for r in ledger.calls_today(usage, "2026-01-02 12:00:00").collect()} == {("cli", 1), ("(none)", 1)}
+    assert {tuple(r) for r in ledger.session_spend(usage, "2026-01-02 12:00:00").collect()} == {("s", 1.0, 1), ("(none)", 2.0, 1)}
+
+
 def test_streamed_ingest_is_idempotent(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "table"
     source.mkdir()
