@@ -2,10 +2,12 @@
 
 Messages (the sentences of a document's body, without code, quotes and markup) run through a prefix tree of fixed depth:
 number of tokens, then the first tokens with numbers masked. All messages of a leaf make one template, whose tokens are kept
-where they agree. Each distinct message is judged once; a leaf whose messages are all judged alike gives its verdict back to the
+where all agree. Each distinct message is judged once; a leaf whose messages are all judged alike gives its verdict back to the
 documents as a whole, the messages of any other leaf have their own. A document is
-residue if at least one of its messages is, and none is content. Placeholders are found on their own, in any document:
-a slot is sure by its delimiters, or by ambiguous delimiters around a name that sure slots of the corpus have.
+residue if at least one of its messages is, and none is content; headings say nothing against it. One message of content
+decides, so the longest line of every document is judged first, and all lines only where that leaves it open.
+Placeholders are found on their own, in any document: a slot is sure by its delimiters, or by ambiguous delimiters around a name
+that sure slots of the corpus have, or that the list of usual names has.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,11 @@ SURE_SLOTS = (
     rf"&lt;({NAME})&gt;", rf"\[INSERT ({NAME})\]",
 )
 # Delimiters that ordinary text has too.
+# Names that placeholders usually have.
+USUAL = (
+    "your name", "your company", "your email", "your title", "your text here", "first name", "last name", "full name", "company name", "project name", "insert name", "insert date", "insert text", "insert title", "name here", "date here", "text here", "title here",
+    "ihr name", "ihre firma", "vorname", "nachname", "firmenname", "projektname", "votre nom", "nom du projet", "prénom", "su nombre", "tu nombre", "nombre del proyecto", "apellido", "نام شما", "نام پروژه", "نام خانوادگی",
+)
 OPEN_SLOTS = (rf"<({NAME})>", rf"\{{({NAME})\}}", rf"\[({NAME})\](?![(\[:])", rf"\b__({NAME})__\b", rf"\$({NAME})\$", rf"%({NAME})%", rf"«({NAME})»")
 
 # Words of filler text after the classic one.
@@ -73,51 +80,74 @@ PLAIN = r"[#*_>|~=\[\]()<>]+|^\s*(?:[-+•]|\d+[.)])\s+|&\w+;"
 
 def body(text: Column) -> Column:
     """The text without fenced and inline code."""
-    return F.regexp_replace(F.regexp_replace(text, FENCED, "\n"), INLINE_CODE, " ` ")
+    fenceless = F.when(text.contains("```") | text.contains("~~~"), F.regexp_replace(text, FENCED, "\n")).otherwise(text)
+    return F.when(text.contains("`"), F.regexp_replace(fenceless, INLINE_CODE, " ` ")).otherwise(fenceless)
 
 
 def _any(column: Column, patterns: tuple[str, ...]) -> Column:
-    return column.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
+    return column.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
+
+
+def _either(delimiters: tuple[str, ...]) -> str:
+    return "|".join(f"(?:{p})" for p in delimiters)
 
 
-def slots(documents: DataFrame, delimiters: tuple[str, ...], key: str = "doc_id") -> DataFrame:
-    """(doc_id, name): the names between the delimiters, outside code and double quotes; case, underscores and blanks made one."""
+def _names(delimiters: tuple[str, ...]) -> Column:
+    """The names between the delimiters in `bare`; case, underscores and blanks made one."""
     found = F.concat(*(F.regexp_extract_all(F.col("bare"), F.lit(p), F.lit(1)) for p in delimiters))
-    quoteless = F.regexp_replace(body(F.col("text")), QUOTED_STRAIGHT, " ")
-    bare = documents.where(F.col("text").rlike("|".join(f"(?:{p})" for p in delimiters))).select(key, quoteless.alias("bare"))
-    return bare.select(key, F.explode(found).alias("name")).withColumn("name", F.trim(F.regexp_replace(F.lower("name"), r"[_\s-]+", " ")))
+    return F.array_distinct(F.transform(found, lambda name: F.trim(F.regexp_replace(F.lower(name), r"[_\s-]+", " "))))
+
+
+def slots(documents: DataFrame) -> DataFrame:
+    """(doc_id, sure, open): the names between either kind of delimiters, outside code and double quotes, of the documents with any.
+
+    Most texts end at a look for any of the delimiters that starts only at their first characters.
+    """
+    some = documents.where(F.col("text").rlike(f"(?=[{{<#$%\\[(@&_«])(?:{_either(SURE_SLOTS + OPEN_SLOTS)})"))
+    bare = some.select("doc_id", F.regexp_replace(body(F.col("text")), QUOTED_STRAIGHT, " ").alias("bare"))
+    return bare.select("doc_id", _names(SURE_SLOTS).alias("sure"), _names(OPEN_SLOTS).alias("open")).where(F.size("sure") + F.size("open") > 0)
 
 
 def with_slots(documents: DataFrame) -> DataFrame:
     """(doc_id) of documents with unfilled placeholders outside code.
 
-    A name in ambiguous delimiters counts if the corpus has it in at least two documents in sure ones.
+    A name in ambiguous delimiters counts if it is a usual one, or the corpus has it in at least two documents in sure ones.
     """
-    sure = stored(slots(documents, SURE_SLOTS).distinct())
-    names = sure.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("name")
+    found = stored(slots(documents))
+    names = stored(found.select("doc_id", F.explode("sure").alias("name")).distinct().groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("name"))
     few = names.count() <= BROADCAST_ROWS
-    unsure = slots(documents, OPEN_SLOTS).join(F.broadcast(names) if few else names, "name", "left_semi")
-    return sure.select("doc_id").unionByName(unsure.select("doc_id")).distinct()
+    unsure = found.where(F.size("sure") == 0).select("doc_id", F.explode("open").alias("name"))
+    known = unsure.join(F.broadcast(names) if few else names, "name", "left_semi").unionByName(unsure.where(F.col("name").isin(*USUAL)))
+    return found.where(F.size("sure") > 0).select("doc_id").unionByName(known.select("doc_id")).distinct()
+
+
+def longest_lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, line): the longest line of each body; the first in order of characters of equally long ones."""
+    lines = F.transform(F.split(body(F.col("text")), LINE), lambda x: F.struct(F.length(x).alias("n"), x.alias("line")))
+    return documents.select("doc_id", F.array_max(lines)["line"].alias("line"))
+
+
+def lines(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.explode(F.split(body(F.col("text")), LINE)).alias("line"))
 
 
-def messages(documents: DataFrame) -> DataFrame:
-    """(doc_id, message): the body's sentences without code, quotes and markup, numbers masked as #, in lower case.
+def messages(lines: DataFrame) -> DataFrame:
+    """(doc_id, message, heading): the sentences of lines without code, quotes and markup, numbers masked as #, in lower case.
 
     A line of JSON or XML is one message. Messages without a letter or digit are left out; they say nothing either way.
     """
-    lines = documents.select("doc_id", F.explode(F.split(body(F.col("text")), LINE)).alias("line"))
     data = F.col("line").rlike(r"^\s*[{<]")
     quoted = F.when(F.col("line").rlike("[\"“„«‹'‘]"), F.regexp_replace("line", QUOTED, " ‹› ")).otherwise(F.col("line"))
     prose = F.regexp_replace(quoted, PLAIN, " ")
     sentences = F.when(data, F.array("line")).otherwise(F.split(prose, r"(?<=[.!?؟:;…])\s+|\s+[-–—|]\s+"))
-    split = lines.select("doc_id", F.explode(sentences).alias("m"))
+    split = lines.select("doc_id", F.col("line").rlike(r"^ {0,3}#{1,6} ").alias("heading"), F.explode(sentences).alias("m"))
     # numbers and hashes are masked, but for the three digits of a failed request
     masked = F.regexp_replace("m", r"(?i)\b(?=[0-9a-f]*\d)[0-9a-f]{6,40}\b|(?!\b[45]\d\d\b(?![.,:/-]?\d))\b\d+(?:[.,:/-]\d+)*", "#")
     masked = F.when(F.col("m").rlike("[0-9]"), masked).otherwise(F.col("m"))
     spaced = F.when(F.col("m").rlike(r"  |[\t\x0b\f\x{a0}]"), F.regexp_replace(masked, r"[\s\x{a0}]+", " ")).otherwise(masked)
     said = F.trim(F.lower(spaced))
     speaking = split.where(F.col("m").rlike(r"[\p{L}0-9`‹]"))
-    return speaking.select("doc_id", F.regexp_replace(said, r"[.!,;:…]+$", "").alias("message"))
+    return speaking.select("doc_id", F.regexp_replace(said, r"[.!,;:…]+$", "").alias("message"), "heading")
 
 
 def leaf(message: Column) -> Column:
@@ -132,15 +162,24 @@ def judgements(said: DataFrame) -> DataFrame:
     return distinct.withColumn("kind", verdict(F.col("message")))
 
 
+def leaf_verdicts(judged: DataFrame) -> DataFrame:
+    """(leaf, kind): the verdict that all distinct messages of a leaf share, "divided" where any two of them are judged differently."""
+    of = F.coalesce("kind", F.lit("content"))
+    ends = judged.groupBy("leaf").agg(F.min(of).alias("least"), F.max(of).alias("most"))
+    return ends.select("leaf", F.when(F.col("least") != F.col("most"), "divided").otherwise(F.col("least")).alias("kind"))
+
+
 def templates(judged: DataFrame) -> DataFrame:
-    """(leaf, template, kind, n_messages): tokens on which the least and the largest message of a leaf agree, <*> elsewhere, and
-    the verdict on all its messages; "divided" where any two of them are judged differently.
+    """(leaf, template, kind, n_messages): the tokens that all messages of a leaf have at a place, <*> at the others, and the verdict.
+
+    Places are compared by their least and greatest tokens, which are combined before the shuffle.
     """
-    of = F.coalesce("kind", F.lit("content"))
-    ends = judged.groupBy("leaf").agg(F.min("message").alias("a"), F.max("message").alias("b"), F.sum("n_messages").alias("n_messages"), F.min(of).alias("least"), F.max(of).alias("most"))
-    agreed = F.zip_with(F.split("a", " "), F.split("b", " "), lambda x, y: F.when(x == y, x).otherwise("<*>"))
-    kind = F.when(F.col("least") != F.col("most"), "divided").when(F.col("least") != "content", F.col("least"))
-    return ends.select("leaf", F.concat_ws(" ", agreed).alias("template"), kind.alias("kind"), "n_messages")
+    token = judged.select("leaf", F.posexplode(F.split("message", " ")).alias("at", "token"))
+    ends = token.groupBy("leaf", "at").agg(F.min("token").alias("a"), F.max("token").alias("b"))
+    shown = F.struct("at", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>").alias("token"))
+    named = ends.groupBy("leaf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["token"]), " ").alias("template"))
+    counted = judged.groupBy("leaf").agg(F.sum("n_messages").alias("n_messages"))
+    return named.join(leaf_verdicts(judged), "leaf").join(counted, "leaf").select("leaf", "template", "kind", "n_messages")
 
 
 def verdict(template: Column) -> Column:
@@ -162,20 +201,32 @@ def verdict(template: Column) -> Column:
     )
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def with_verdicts(said: DataFrame) -> DataFrame:
+    """`said` (doc_id, message, heading) with `kind`, that of the leaf of a message if its messages agree, else its own; content is null."""
+    said = stored(said.withColumn("leaf", leaf(F.col("message"))))
+    each = stored(judgements(said))
+    leaves = stored(leaf_verdicts(each).where(F.col("kind") != "content").withColumnRenamed("kind", "of_leaf"))
+    own = stored(each.where(F.col("kind").isNotNull()).join(_small(leaves.where("of_leaf = 'divided'").select("leaf")), "leaf", "left_semi").select("message", "kind"))
+    known = said.join(_small(leaves), "leaf", "left").join(_small(own), "message", "left")
+    return known.withColumn("kind", F.when(F.col("of_leaf") == "divided", F.col("kind")).otherwise(F.col("of_leaf")))
+
+
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kind): documents whose body is only filler, an error message or a script notice; kind names which (or mixed).
 
     Null, empty and blank texts and texts of nothing but furniture, code or signs are none.
     """
-    said = stored(messages(documents.where(F.col("text").isNotNull())).withColumn("leaf", leaf(F.col("message"))))
-    each = stored(judgements(said))
-    leaves = stored(templates(each).where(F.col("kind").isNotNull()).select("leaf", F.col("kind").alias("of_leaf")))
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    own = stored(each.where(F.col("kind").isNotNull()).join(small(leaves.where("of_leaf = 'divided'").select("leaf")), "leaf", "left_semi").select("message", "kind"))
-    known = said.join(small(leaves), "leaf", "left").join(small(own), "message", "left")
-    known = known.withColumn("kind", F.when(F.col("of_leaf") == "divided", F.col("kind")).otherwise(F.col("of_leaf")))
+    content = F.col("kind").isNull() & ~F.col("heading")
+    decided = with_verdicts(messages(longest_lines(documents))).where(content).select("doc_id").distinct()
+    ids = documents.where(F.length(F.trim("text")) > 0).select("doc_id").distinct()
+    open_ = stored(ids.join(decided, "doc_id", "left_anti"))
+    known = with_verdicts(messages(lines(documents.join(_small(open_), "doc_id", "left_semi"))))
     of = lambda kind: F.max(F.col("kind") == kind)
-    whole = known.groupBy("doc_id").agg(F.max(F.col("kind").isNull()).alias("content"), *(F.coalesce(of(k), F.lit(False)).alias(k) for k in ("filler", "error", "script")))
+    whole = known.groupBy("doc_id").agg(F.max(content).alias("content"), *(F.coalesce(of(k), F.lit(False)).alias(k) for k in ("filler", "error", "script")))
     kinds = F.array_compact(F.array(*(F.when(F.col(k), k) for k in ("filler", "error", "script"))))
     found = whole.where(~F.col("content")).select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
     return found.select("doc_id", F.when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise("mixed").alias("kind"))

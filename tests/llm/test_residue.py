@@ -23,6 +23,10 @@ CASES = {
     19: ("Menu\nSearch\nAbout", None),
     20: ("Sample copy goes here.\nSample copy goes here.", "filler"),
     21: ("Zugriff verweigert", "error"),
+    23: ("# Notes on the long retry loop of spring\n\nLorem ipsum dolor sit amet consectetur.", "filler"),
+    24: ("# Notes on the long retry loop of spring\n\nWe moved it.", None),
+    25: (f"Dear [Your Name], all is well.\n{CONTENT}", "placeholder"),
+    26: ("# Notes on the long retry loop of spring", None),
     22: ("```\n404 Not Found\n```", None),
 }
 
@@ -53,3 +57,12 @@ def test_messages_between_the_ends_of_a_leaf_are_judged(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.kind for r in residue.not_content(df).collect()}
     assert got == {2: "script", 4: "error", 5: "error", 6: "error", 7: "error"}
+
+
+def test_templates_keep_what_all_messages_have(spark):
+    said = spark.createDataFrame([(i, f"the page of {x} was {y}", False) for i, (x, y) in enumerate([("alpha", "read"), ("beta", "not found"), ("zeta", "read")])], "doc_id long, message string, heading boolean")
+    judged = residue.judgements(said.withColumn("leaf", residue.leaf(said.message)))
+    assert {(r.template, r.kind, r.n_messages) for r in residue.templates(judged).collect()} == {("the page of <*> was read", "content", 2), ("the page of beta was not found", "error", 1)}
+    news = [(4, "our new service is a not found"), (5, "our new service is zone not found"), (6, "our new service is better for harbours")]
+    got = residue.not_content(spark.createDataFrame(news, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kind) for r in got} == {(4, "error"), (5, "error")}
