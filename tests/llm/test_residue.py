@@ -60,9 +60,9 @@ def test_messages_between_the_ends_of_a_leaf_are_judged(spark):
 
 
 def test_templates_keep_what_all_messages_have(spark):
-    said = spark.createDataFrame([(i, f"the page of {x} was {y}", False) for i, (x, y) in enumerate([("alpha", "read"), ("beta", "not found"), ("zeta", "read")])], "doc_id long, message string, heading boolean")
+    said = spark.createDataFrame([(i, f"the page of our {x} was {y}", False) for i, (x, y) in enumerate([("alpha", "read"), ("beta", "not found"), ("zeta", "read")])], "doc_id long, message string, heading boolean")
     judged = residue.judgements(said.withColumn("leaf", residue.leaf(said.message)))
-    assert {(r.template, r.kind, r.n_messages) for r in residue.templates(judged).collect()} == {("the page of <*> was read", "content", 2), ("the page of beta was not found", "error", 1)}
+    assert {(r.template, r.kind, r.n_messages) for r in residue.templates(judged).collect()} == {("the page of our <*> was read", "content", 2), ("the page of our beta was not found", "error", 1)}
     news = [(4, "our new service is a not found"), (5, "our new service is zone not found"), (6, "our new service is better for harbours")]
     got = residue.not_content(spark.createDataFrame(news, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.kind) for r in got} == {(4, "error"), (5, "error")}
