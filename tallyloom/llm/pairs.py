@@ -1,20 +1,26 @@
 """Defective prompt and response pairs: empty, copied, refusing, truncated answers and answers in another language.
 
-Copies are found by aligning response with prompt: shingle containment in Spark, then, for what passes, the longest common
-subsequence. Refusals are found by aligning every sentence with templates of refusals and of what goes with them. Language
-and truncation are column expressions. A request for the very thing (translation, repetition, a bare word) is respected.
+Copies are found by aligning response with prompt: shingle containment, then, for what passes, the longest common subsequence.
+Refusals are found by aligning every sentence with templates of refusals and of what goes with them. Language is told by
+profiles of character trigrams, fitted on a bounded sample of labelled documents. What is empty or truncated is told by column
+expressions, and empty answers never leave Spark. A request for the very thing (translation, repetition, a bare word) is respected.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.plans.lineage import stored
+
 
 SHINGLE = 3
-LIKE = 0.6  # least share of the response's shingles that the prompt has, for the two to be aligned
+LIKE = 0.15  # least share of the response's shingles that the prompt has, for the two to be aligned; low enough for every fifth word to differ
 COPIED = 0.8  # least share of response words in their common subsequence
 GIVEN_BACK = 0.6  # least share of the prompt's words in the common subsequence
 ALIGNED = 0.8  # least share of a template's words that a sentence has in order
@@ -26,13 +32,11 @@ WANTS_TRANSLATION = r"(?iU)^\W*(please |bitte |por favor,? |s'il (te|vous) plaî
 WANTS_REPETITION = r"(?iU)\b(repeat|echo|say it back|copy|quote|recite)\b.{0,60}(line|text|sentence|word|exactly|colon|back|following|as it is|without changes)|\bword for word\b|\bverbatim\b|^\W*wiederhol\w*\b|\bwortwörtlich\b|\bwort für wort\b|^\W*rép[èé]t\w*\b|\bmot pour mot\b|^\W*rep[ií]t\w*\b|\bpalabra por palabra\b|تکرار کن|کلمه به کلمه|عین همین"
 WANTS_BARE = r"(?iU)\b(yes or no|name only|number only|one word|only the (name|number|word|path))\b|\b(ja oder nein|nur (der|die|das|den)? ?(name|zahl|wort|pfad)\w*)\b|\b(oui ou non|(nom|nombre|chiffre) seulement|seulement le (nom|nombre))\b|\b(sí o no|solo (el|la) (nombre|número|cifra)|(nombre|número) solamente)\b|بله یا (خیر|نه)|فقط (نام|عدد)"
 
-# Common short words by language; Persian is told by its script.
-COMMON = {
-    "en": "the of and to is it that for was be on are with as by which not this from has have at or after before when than its can should were there how why what we i you".split(),
-    "de": "der die das und ist nicht den dem des ein eine einen zu mit für auf von im wird werden wurde nach bei aus wenn noch nur sich auch als es wir hat haben sind zum zur oder ob um was wie warum ich".split(),
-    "fr": "le la les des de du un une est pas que qui dans pour sur au aux et il je vous nous ce cette ses avec sont été être plus ne se son sa où en par lors depuis quand donc à ou".split(),
-    "es": "el la los las de del que en un una es no se por para con al lo su sus más como fue son ha hay este esta cada entre sin y o qué cuando desde ya hemos solo cuál así".split(),
-}
+LANGUAGES = ("en", "de", "fr", "es", "fa")
+SAMPLE = 400  # documents per language that the profiles are fitted on, the first by a hash of their id
+SLOTS = 1 << 15  # places for hashes of trigrams
+TRIGRAMS = 14  # that a text must have for its language to be told
+MARGIN = 0.25  # nats per trigram by which a language must be ahead of the next
 
 # Templates of refusals and of the sentences that come with them; what a sentence has besides is its subject.
 REFUSALS = """
@@ -83,83 +87,155 @@ def _templates(block: str) -> list[list[str]]:
 
 
 _REFUSALS, _COMPANIONS = _templates(REFUSALS), _templates(COMPANIONS)
+_ALL = [(t, refuses) for block, refuses in ((_REFUSALS, True), (_COMPANIONS, False)) for t in block]
+_WITH: dict[str, list[tuple[int, int]]] = {}  # of each word the templates that have it, and how often
+for _i, (_t, _) in enumerate(_ALL):
+    for _w, _n in Counter(_t).items():
+        _WITH.setdefault(_w, []).append((_i, _n))
+
 
+def aligned(sentence: list[str]) -> tuple[bool, bool]:
+    """Whether the sentence is aligned with a refusal, and whether with anything that goes with one.
 
-def _aligned(sentence: list[str], templates: list[list[str]]) -> bool:
-    has = set(sentence)
-    for t in templates:
-        if len(sentence) <= 2 * len(t) + 8 and sum(w in has for w in t) >= ALIGNED * len(t) and common_length(t, sentence) >= ALIGNED * len(t):
-            return True
-    return False
+    A template may stand anywhere among the first words; what the sentence has after it is its subject.
+    """
+    shared: Counter = Counter()
+    for w in set(sentence):
+        for i, n in _WITH.get(w, ()):
+            shared[i] += n
+    refuses = goes_along = False
+    for i, n in shared.items():
+        t, refusal = _ALL[i]
+        if n >= ALIGNED * len(t) and not (refuses if refusal else goes_along) and common_length(t, sentence[: 2 * len(t) + 8]) >= ALIGNED * len(t):
+            refuses, goes_along = refuses or refusal, goes_along or not refusal
+    return refuses, goes_along
 
 
 def is_refusal(response: str) -> bool:
     """Every sentence is one of a refusal or goes with one, and at least one refuses."""
-    sentences = [w for s in re.split(r"(?<=[.!?؟])[\"*_)”»\s]+|\n+", response) if (w := plain_words(s))]
     refused = False
-    for s in sentences:
-        if _aligned(s, _REFUSALS):
-            refused = True
-        elif not _aligned(s, _COMPANIONS):
-            return False
+    for s in re.split(r"(?<=[.!?؟])[\"*_)”»\s]+|\n+", response):
+        if w := plain_words(s):
+            refuses, goes_along = aligned(w)
+            if not refuses and not goes_along:
+                return False
+            refused = refused or refuses
     return refused
 
 
+def containment(prompt: list[str], response: list[str]) -> float:
+    """Share of the response's distinct shingles (of fewer words if it is shorter) that the prompt, said twice, has."""
+    n = min(SHINGLE, len(response))
+    shingles = lambda w: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    mine = shingles(response)
+    return len(mine & shingles(prompt + prompt)) / len(mine) if mine else 0.0
+
+
 def is_copy(prompt: str, response: str) -> bool:
     """The response is words of the prompt in order, most of the prompt, once or several times, with nothing of its own after."""
     a, b = plain_words(prompt), plain_words(response)
-    if len(b) < 3 or not a:
+    if a == b or not a or not b:
+        return bool(a) and a == b
+    if len(b) < 3 or containment(a, b) < LIKE:
         return False
     shared = common_length(a, b)
     times = max(1, round(len(b) / len(a)))
     if times > 1:
-        shared = min(common_length(a * times, b) , len(b))
+        shared = min(common_length(a * times, b), len(b))
     last = set(zip(a, a[1:]))
-    answered = len(b) > len(a) * times and not (b[-2], b[-1]) in last
+    answered = len(b) > len(a) * times and (b[-2], b[-1]) not in last
     return shared >= COPIED * len(b) and shared >= GIVEN_BACK * len(a) and not answered
 
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds copied, for the pairs whose shingles leave it open, and refused, for all that are not empty."""
-    for b in batches:
-        copied = [bool(like and is_copy(p, r)) for like, p, r in zip(b["like_copy"], b["prompt"], b["response"])]
-        refused = [not empty and is_refusal(r) for empty, r in zip(b["empty"], b["response"])]
-        yield b.assign(copied=copied, refused=refused)
+# --- language ----------------------------------------------------------------------------------------------------------
 
+_CODE = re.compile(r"(```|~~~).*?(\1|$)|`[^`\n]*`?", re.S)
+_DATA = re.compile(r"^\s*[|{\[].*$", re.M)
+_NAMES = re.compile(r"\S*[\d/_\\{}=<>]\S*")
+_LETTERLESS = re.compile(r"[\W\d_]+")
 
-def words(text: Column) -> Column:
-    """Words as `plain_words` has them, in Spark."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}'\x{200c}\s]", ""), r"\s+"), lambda w: w != "")
+
+def prose(text: str) -> str:
+    """Words in lower case, without code, paths, identifiers, numbers and markup."""
+    return _LETTERLESS.sub(" ", _NAMES.sub(" ", _DATA.sub(" ", _CODE.sub(" ", text)))).strip().lower()
+
+
+def trigrams(plain: str) -> np.ndarray:
+    codes = np.frombuffer(f" {plain} ".encode("utf-32-le"), dtype=np.uint32)
+    h = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
+    return (h ^ (h >> np.uint32(15))) % np.uint32(SLOTS)
 
 
-def containment(prompt: Column, response: Column) -> Column:
-    """Share of the response's distinct shingles (of fewer words if it is shorter) that the prompt, said twice, has; null without words."""
-    at = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
-    shingles = lambda words_: bind(words_, lambda w: F.array_distinct(F.transform(at(w), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))))
-    share = lambda both: F.when(both["mine"][0] != "", F.size(F.array_intersect(both["mine"], both["theirs"])) / F.size(both["mine"]))
-    return bind(F.struct(shingles(response).alias("mine"), shingles(F.concat(prompt, prompt)).alias("theirs")), share)
+class Profiles(NamedTuple):
+    """Log-probabilities of trigrams by language, and the score per trigram below which a text of its length is in no language known."""
 
+    log_p: np.ndarray
+    floor: np.ndarray
 
-def prose(text: Column) -> Column:
-    """Without code, paths, identifiers, numbers and markup."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)(```|~~~).*?(\1|$)", " "), r"`[^`\n]*`?", " ")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?m)^\s*[|{\[].*$", " "), r"\S*[\d/_\\{}=<>]\S*", " ")
 
+def fit_profiles(documents: DataFrame) -> Profiles:
+    """From at most SAMPLE documents (doc_id, text, lang) per language; languages without any have a flat profile."""
+    lang = F.substring(F.lower("lang"), 1, 2)
+    known = documents.where(lang.isin(*LANGUAGES) & F.col("text").isNotNull()).select("doc_id", lang.alias("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    drawn = stored(known.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang"))
+    counts, texts = np.full((len(LANGUAGES), SLOTS), 0.05), {x: [] for x in LANGUAGES}
+    for row in documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("lang", "text").toLocalIterator():
+        for line in row.text.splitlines():
+            if len(plain := prose(line)) >= 40:
+                texts[row.lang].append(trigrams(plain))
+    for i, x in enumerate(LANGUAGES):
+        for grams in texts[x]:
+            np.add.at(counts[i], grams, 1)
+    log_p = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    scores = [np.array([log_p[i, g].mean() for g in texts[x]] or [-20.0]) for i, x in enumerate(LANGUAGES)]
+    return Profiles(log_p, np.array([np.median(x) - 2.0 for x in scores]))
 
-def language(text: Column) -> Column:
-    """en, de, fr, es, fa, other (another script), or null where there is too little to tell."""
 
-    def by_words(p: Column) -> Column:
-        hits = lambda found: F.array_sort(F.array(*(F.struct((-F.size(F.array_intersect(found, F.array(*map(F.lit, ws))))).alias("n"), F.lit(lang).alias("lang")) for lang, ws in COMMON.items())))
-        return bind(bind(F.array_distinct(F.split(F.lower(p), r"[^\p{L}']+")), hits), lambda s: F.when((s[0]["n"] <= -2) & (s[0]["n"] < s[1]["n"]) & ((s[0]["n"] > -5) | (s[0]["n"] < s[1]["n"] - 1)), s[0]["lang"]))
+def language(text: str | None, profiles: Profiles) -> tuple[str | None, np.ndarray | None]:
+    """en, de, fr, es, fa, other (another script) or null where there is too little to tell, and the score of each profile."""
+    plain = prose(text or "")
+    if len(plain) < TRIGRAMS:
+        return None, None
+    codes = np.frombuffer(plain.replace(" ", "").encode("utf-32-le"), dtype=np.uint32)
+    arabic, latin = ((codes >= 0x600) & (codes < 0x780)).mean(), ((codes < 0x250) | (codes - np.uint32(0x1E00) < 0x100)).mean()
+    if arabic < 0.6 and latin < 0.4:
+        return "other", None
+    score = profiles.log_p[:, trigrams(plain)].mean(axis=1)
+    order = np.argsort(-score)
+    return (LANGUAGES[order[0]] if score[order[0]] - score[order[1]] >= MARGIN else None), score
 
-    def by_script(p: Column) -> Column:
-        size = lambda other: F.length(F.regexp_replace(p, other, ""))
-        counted = F.struct(size(r"\P{L}").alias("letters"), size(r"[^\p{IsArabic}]").alias("arabic"), size(r"[^\p{IsLatin}]").alias("latin"))
-        enough = lambda n: n["letters"] >= 8
-        return bind(counted, lambda n: F.when(enough(n) & (n["arabic"] > 0.6 * n["letters"]), "fa").when(enough(n) & (n["latin"] < 0.4 * n["letters"]), "other").otherwise(by_words(p)))
 
-    return bind(prose(text), by_script)
+def in_other_language(prompt: str | None, response: str, profiles: Profiles) -> bool:
+    """Whether the prose of both can be told and differs, or that of the response is in no language known."""
+    asked, _ = language(prompt, profiles)
+    if asked is None:
+        return False
+    answered, score = language(response, profiles)
+    if answered is None and score is None:
+        return False
+    if score is not None and asked != "other" and score[LANGUAGES.index(asked)] < profiles.floor[LANGUAGES.index(asked)] and len(prose(response)) >= 40:
+        return True
+    return answered is not None and answered != asked
+
+
+def _align(profiles):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Adds copied, refused and other_language for the rows that are not empty."""
+        known = profiles.value
+        for b in batches:
+            rows = list(zip(b["empty"], b["given_text"], b["bare"], b["prompt"], b["response"]))
+            copied = [not empty and not given and isinstance(p, str) and is_copy(p, r) for empty, given, _, p, r in rows]
+            refused = [not empty and is_refusal(r) for empty, _, _, _, r in rows]
+            other = [not (empty or given or bare or c or f) and in_other_language(p, r, known) for (empty, given, bare, p, r), c, f in zip(rows, copied, refused)]
+            yield b.assign(copied=copied, refused=refused, other_language=other)
+
+    return run
+
+
+def words(text: Column) -> Column:
+    """Words as `plain_words` has them, in Spark."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}'\x{200c}\s]", ""), r"\s+"), lambda w: w != "")
 
 
 def is_empty(response: Column) -> Column:
@@ -210,31 +286,27 @@ def is_truncated(response: Column) -> Column:
     return bind(F.regexp_replace(response, r"[\s\p{Cf}\x{a0}]+$", ""), whole)
 
 
-def defects(cache: DataFrame) -> DataFrame:
+def defects(cache: DataFrame, documents: DataFrame) -> DataFrame:
     """(cache_key, defect) of the defective pairs; a pair has the first that holds of empty, copied, refusal, wrong_language
     and truncated.
 
-    cache: (key, prompt, response). A null prompt asks nothing, so its response can only be empty, refusing or truncated;
-    repeated keys give one row per defect. Python sees only pairs that Spark's own expressions leave open.
+    cache: (key, prompt, response); documents: (doc_id, text, lang), for the profiles of languages. A null prompt asks nothing, so its
+    response can only be empty, refusing or truncated; repeated keys give one row per defect.
     """
     rows = cache.select(F.col("key").alias("cache_key"), "prompt", "response").where(F.col("cache_key").isNotNull())
     wants = lambda pattern: F.coalesce(F.col("prompt").rlike(pattern), F.lit(False))
-    empty, given = is_empty(F.col("response")), wants(WANTS_TRANSLATION) | wants(WANTS_REPETITION)
-    shared = containment(words(F.col("prompt")), words(F.col("response")))
-    rows = rows.select("*", empty.alias("empty"), given.alias("given_text"), wants(WANTS_BARE).alias("bare"), shared.alias("shared"))
-    like_copy = F.coalesce(~F.col("empty") & ~F.col("given_text") & (F.col("shared") >= LIKE), F.lit(False))
-    rows = rows.withColumn("like_copy", like_copy).drop("shared")
-    names = "cache_key string, prompt string, response string, empty boolean, given_text boolean, bare boolean, like_copy boolean, copied boolean, refused boolean"
-    rows = rows.mapInPandas(_align, names)
-    pair = F.struct(language(F.col("prompt")).alias("asked"), language(F.col("response")).alias("answered"))
-    other_language = bind(pair, lambda p: F.coalesce(p["asked"] != p["answered"], F.lit(False)))
+    given = wants(WANTS_TRANSLATION) | wants(WANTS_REPETITION)
+    rows = rows.select("*", is_empty(F.col("response")).alias("empty"), given.alias("given_text"), wants(WANTS_BARE).alias("bare"))
+    profiles = rows.sparkSession.sparkContext.broadcast(fit_profiles(documents))
+    names = "cache_key string, prompt string, response string, empty boolean, given_text boolean, bare boolean, copied boolean, refused boolean, other_language boolean"
+    rows = rows.mapInPandas(_align(profiles), names)
     # text that was asked for is cut only if what the prompt gave was not
     cut = is_truncated(F.col("response")) & F.when(F.col("given_text"), ~F.coalesce(is_truncated(F.col("prompt")), F.lit(False))).otherwise(True)
     defect = (
         F.when(F.col("empty"), "empty")
         .when(F.col("copied"), "copied")
         .when(F.col("refused"), "refusal")
-        .when(~F.col("given_text") & ~F.col("bare") & other_language, "wrong_language")
+        .when(F.col("other_language"), "wrong_language")
         .when(~F.col("bare") & cut, "truncated")
     )
     return rows.select("cache_key", defect.alias("defect")).where(F.col("defect").isNotNull()).distinct()
