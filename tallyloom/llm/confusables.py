@@ -20,16 +20,14 @@ from tallyloom.plans.lineage import stored
 
 # Letters of other scripts and the Latin letter each looks like (a choice from Unicode's confusables data).
 LOOK_ALIKES = {
-    "a": "аɑ", "b": "Ьƅ", "c": "сϲⅽ", "d": "ԁⅾ", "e": "еҽ", "f": "ẝ", "g": "ɡց", "h": "һհ", "i": "іⅰ", "j": "јϳ",
-    "l": "ӏⅼ", "m": "ⅿ", "n": "ո", "o": "оοօ", "p": "р", "q": "ԛգ", "r": "г", "s": "ѕ", "u": "ս", "v": "ѵνⅴ", "w": "ԝ",
+    "a": "аɑ", "c": "сϲⅽ", "d": "ԁⅾ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іⅰ", "j": "јϳ",
+    "l": "ӏⅼ", "m": "ⅿ", "n": "ո", "o": "оοօ", "p": "р", "q": "ԛգ", "s": "ѕ", "u": "ս", "v": "ѵνⅴ", "w": "ԝ",
     "x": "хⅹ", "y": "уү", "z": "ᴢ",
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹⅭ", "D": "ᎠⅮ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀⅠ", "J": "ЈᎫ",
     "K": "КΚK", "L": "ᏞⅬ", "M": "МΜⅯ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ТΤᎢ",
     "U": "Ս", "V": "ѴᏙⅤ", "W": "ԜᎳ", "X": "ХΧⅩ", "Y": "ҮΥ", "Z": "ΖᏃ",
     "-": "‐‑", ".": "․", "/": "⁄∕", ":": "꞉", ";": ";", "|": "ǀ", "!": "ǃ", "'": "ʹ", ",": "‚",
 }
-# Letters in the lists above that differ visibly from the Latin one in running text.
-NOT_ALIKE = "Ьƅẝг"
 # Characters that are drawn as nothing (besides the categories Cf and the variation selectors).
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 ZWNJ, ZWJ = "\u200c", "\u200d"
@@ -58,7 +56,7 @@ def prototypes() -> dict[int, str]:
         elif kind in SAME_LOOK or kind == "<compat>" and category in ("Ll", "Lu", "Lt", "Lo") and c != "ſ":
             plain = unicodedata.normalize("NFKD", c)
             table[code] = plain if plain.strip() == plain else c
-    table |= {ord(c): plain for plain, likes in LOOK_ALIKES.items() for c in likes if c not in NOT_ALIKE}
+    table |= {ord(c): plain for plain, likes in LOOK_ALIKES.items() for c in likes}
     return table
 
 
@@ -82,6 +80,11 @@ def skeleton_udf(texts: pd.Series) -> pd.Series:
     return texts.map(skeleton, na_action="ignore")
 
 
+def consistent(chunks: DataFrame, table: str, text: str = "chunk", key: str = "id") -> DataFrame:
+    """(chunk_table, id, form): every text in the one form that all texts which look like it share; null stays null."""
+    return chunks.select(F.lit(table).alias("chunk_table"), F.col(key).cast("long").alias("id"), skeleton_udf(F.col(text)).alias("form"))
+
+
 def forms(chunks: DataFrame, table: str, text: str = "chunk", key: str = "id") -> DataFrame:
     """(chunk_table, id, look, form): digests of a text's skeleton and of its characters. Rows with a null text are left out.
 

@@ -34,6 +34,7 @@ def _residue(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": lambda spark, d: pairs.defects(table(spark, d, "cache_rows", "key", "prompt", "response"), table(spark, d, "documents", "doc_id", "text", "lang")),
     "p2_found": lambda spark, d: confusables.look_alike_pairs(_look_forms(spark, d)),
+    "p2_forms": lambda spark, d: confusables.consistent(table(spark, d, "rules_chunks", "id", "chunk"), "rules_chunks").unionByName(confusables.consistent(table(spark, d, "session_chunks", "id", "chunk"), "session_chunks")),
     "p2_classes": lambda spark, d: confusables.look_classes(_look_forms(spark, d)),
     "p3_found": lambda spark, d: neighbours.nearest_pairs(_embedded(spark, d)),
     "p3_nearest": lambda spark, d: neighbours.nearest(_embedded(spark, d)),
