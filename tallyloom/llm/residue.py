@@ -10,6 +10,10 @@ Placeholders are found on their own, in any document: a slot is sure by its deli
 that sure slots of the corpus have, or that the list of usual names has.
 """
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +88,18 @@ def body(text: Column) -> Column:
     return F.when(text.contains("`"), F.regexp_replace(fenceless, INLINE_CODE, " ` ")).otherwise(fenceless)
 
 
+def _whole(pattern: str) -> bool:
+    """Whether a pattern has no alternatives outside its groups."""
+    return "|" not in re.sub(r"\\.|\[[^\]]*\]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", "", pattern)
+
+
 def _any(column: Column, patterns: tuple[str, ...]) -> Column:
-    return column.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
+    """Whether one of the patterns is in a message in lower case; what many begin with, a word or the message, is looked for once."""
+    groups: dict[str, list[str]] = {}
+    for p in patterns:
+        begin = next((x for x in (r"\b", "^") if p.startswith(x) and _whole(p)), "")
+        groups.setdefault(begin, []).append(p[len(begin) :])
+    return column.rlike("(?U)" + "|".join(f"{begin}(?:{'|'.join(f'(?:{p})' for p in found)})" for begin, found in groups.items()))
 
 
 def _either(delimiters: tuple[str, ...]) -> str:
@@ -186,9 +200,10 @@ def verdict(template: Column) -> Column:
     """Of a message or template: filler, error, script, furniture (navigation and marks around a page), or null for content."""
     tokens = F.split(template, " ")
     n = F.size(tokens)
+    common = reduce(and_, (template.contains(c) for c in "etaoni"))  # of the many messages that have all of these no letters need be counted
     letters = F.array_distinct(F.split(F.regexp_replace(template, r"[^\p{L}]", ""), ""))
     lorem = F.size(F.filter(tokens, lambda t: t.isin(LOREM)))
-    mashed = (n >= 3) & (F.size(letters) <= 5) & ~template.rlike(r"[#`‹*]") & (F.size(letters) > 1)
+    mashed = (n >= 3) & ~common & (F.size(letters) <= 5) & ~template.rlike(r"[#`‹*]") & (F.size(letters) > 1)
     same_letters = (n >= 2) & F.forall(tokens, lambda t: t.rlike(r"^(\p{L})\1{2,}$"))
     short = n <= MOST_WORDS
     return (
