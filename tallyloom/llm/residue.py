@@ -12,7 +12,7 @@ that sure slots of the corpus have, or that the list of usual names has.
 
 import re
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ SURE_SLOTS = (
     rf"%\(({NAME})\)s", rf"\[\[({NAME})\]\]", rf"\(\(\(({NAME})\)\)\)", rf"@@({NAME})@@", rf"\[(?:TODO|TBD|FIXME):? ({NAME})\]", rf"<INSERT ({NAME})>",
     rf"&lt;({NAME})&gt;", rf"\[INSERT ({NAME})\]",
 )
+SURE_BEGINS = ("{{", "{%", "<%", "#{", "${", "%(", "[[", "(((", "@@", "[", "<INSERT ", "&lt;", "[INSERT ")  # of the delimiters above, in their order
+OPEN_BEGINS = ("<", "{", "[", "__", "$", "%", "«")  # of the delimiters below
 # Delimiters that ordinary text has too.
 # Names that placeholders usually have.
 USUAL = (
@@ -102,10 +104,6 @@ def _any(column: Column, patterns: tuple[str, ...]) -> Column:
     return column.rlike("(?U)" + "|".join(f"{begin}(?:{'|'.join(f'(?:{p})' for p in found)})" for begin, found in groups.items()))
 
 
-def _either(delimiters: tuple[str, ...]) -> str:
-    return "|".join(f"(?:{p})" for p in delimiters)
-
-
 def _names(delimiters: tuple[str, ...]) -> Column:
     """The names between the delimiters in `bare`; case, underscores and blanks made one."""
     found = F.concat(*(F.regexp_extract_all(F.col("bare"), F.lit(p), F.lit(1)) for p in delimiters))
@@ -115,9 +113,10 @@ def _names(delimiters: tuple[str, ...]) -> Column:
 def slots(documents: DataFrame) -> DataFrame:
     """(doc_id, sure, open): the names between either kind of delimiters, outside code and double quotes, of the documents with any.
 
-    Most texts end at a look for any of the delimiters that starts only at their first characters.
+    A pattern is looked for only in texts that have what it begins with.
     """
-    some = documents.where(F.col("text").rlike(f"(?=[{{<#$%\\[(@&_«])(?:{_either(SURE_SLOTS + OPEN_SLOTS)})"))
+    begins = zip(SURE_BEGINS + OPEN_BEGINS, SURE_SLOTS + OPEN_SLOTS)
+    some = documents.where(reduce(or_, (F.col("text").contains(begin) & F.col("text").rlike(p) for begin, p in begins)))
     bare = some.select("doc_id", F.regexp_replace(body(F.col("text")), QUOTED_STRAIGHT, " ").alias("bare"))
     return bare.select("doc_id", _names(SURE_SLOTS).alias("sure"), _names(OPEN_SLOTS).alias("open")).where(F.size("sure") + F.size("open") > 0)
 
