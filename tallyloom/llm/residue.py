@@ -118,7 +118,7 @@ def slots(documents: DataFrame) -> DataFrame:
     begins = zip(SURE_BEGINS + OPEN_BEGINS, SURE_SLOTS + OPEN_SLOTS)
     some = documents.where(reduce(or_, (F.col("text").contains(begin) & F.col("text").rlike(p) for begin, p in begins)))
     bare = some.select("doc_id", F.regexp_replace(body(F.col("text")), QUOTED_STRAIGHT, " ").alias("bare"))
-    return bare.select("doc_id", _names(SURE_SLOTS).alias("sure"), _names(OPEN_SLOTS).alias("open")).where(F.size("sure") + F.size("open") > 0)
+    return bare.select("doc_id", _names(SURE_SLOTS).alias("sure"), _names(OPEN_SLOTS).alias("open"))  # no filter on these: it would be pushed below and find them twice
 
 
 def with_slots(documents: DataFrame) -> DataFrame:
