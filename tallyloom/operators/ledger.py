@@ -70,8 +70,11 @@ def reject_reason(line: Column, parsed: Column) -> Column:
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """(line, parsed, reason) of each line that is not null; a wrongly typed field is null without rejecting the line."""
-    bare = lines.where(F.col(line).isNotNull()).select(stripped(F.col(line)).alias("line"))
-    rows = bare.withColumn("parsed", F.from_json("line", T.StructType([*LINE.fields, T.StructField(CORRUPT, T.StringType())]), STRICT))
+    # each step stands in an array of its own, so that no later filter repeats it below
+    once = lambda column: F.explode(F.array(column))
+    bare = lines.where(F.col(line).isNotNull()).select(once(stripped(F.col(line))).alias("line"))
+    parsed = F.from_json("line", T.StructType([*LINE.fields, T.StructField(CORRUPT, T.StringType())]), STRICT)
+    rows = bare.select("line", once(parsed).alias("parsed"))
     return rows.withColumn("reason", reject_reason(F.col("line"), F.col("parsed")))
 
 

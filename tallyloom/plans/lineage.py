@@ -20,13 +20,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as a table in the shared checkpoint folder and read back, so that later reads take only some columns."""
-    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_folder(spark: SparkSession) -> str:
+    """The path of a folder in the shared checkpoint folder, deleted at the end of the process."""
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     if not _stored:
         atexit.register(release)
     _stored.append(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared checkpoint folder and read back, so that later reads take only some columns."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,5 @@
 """Structured Streaming: incremental ledger ingest, session windows, and a circuit breaker as keyed state."""
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.functions.times import utc
 from tallyloom.operators.ledger import new_rows, projection
-from tallyloom.plans.lineage import checkpoint_dir
+from tallyloom.plans.lineage import new_folder
 
 
 def ingest_ledger(lines: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
@@ -39,7 +38,7 @@ def ingest_ledger(lines: DataFrame, table_path: str, checkpoint: str) -> Streami
 
 def replayed(lines: DataFrame) -> DataFrame:
     """The table that `ingest_ledger` makes of lines (value) that were stored and are read as a stream, a few files at a time."""
-    folder = f"{checkpoint_dir(lines.sparkSession)}/stored-{uuid.uuid4().hex}"
+    folder = new_folder(lines.sparkSession)
     lines.write.parquet(f"{folder}/lines")
     stream = lines.sparkSession.readStream.schema(lines.schema).option("maxFilesPerTrigger", 16).parquet(f"{folder}/lines")
     ingest_ledger(stream, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
