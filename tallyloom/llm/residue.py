@@ -25,11 +25,11 @@ BROADCAST_ROWS = 200_000  # verdicts or slot names that are sent to every execut
 LINE = r"\r\n|[\n\r\x0b\x0c\x85\x{2028}\x{2029}]"
 FENCED = r"(?s)(```|~~~).*?(\1|$)"
 INLINE_CODE = r"``[^`]+``|`[^`\n]*`"
-QUOTED_STRAIGHT = r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]"
-QUOTED = r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»|‹[^›\n]{1,200}›|(?<!\w)'[^'\n]{2,200}'(?!\w)|(?<!\w)‘[^’\n]{2,200}’(?!\w)"
+QUOTED_STRAIGHT = r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]"
+QUOTED = r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|‹[^›\n]+›|(?<!\w)'[^'\n]{2,}'(?!\w)|(?<!\w)‘[^’\n]{2,}’(?!\w)"
 
 # Delimiters that only templates have, each around a name.
-NAME = r"[\p{L}_][\p{L}\p{M}\p{N}_ .\x{200c}-]{0,40}?"
+NAME = r"[\p{L}_][\p{L}\p{M}\p{N}_ .\x{200c}-]*?"
 SURE_SLOTS = (
     rf"\{{\{{\s*({NAME})\s*(?:\|[^}}\n]*)?\}}\}}", rf"\{{%\s*({NAME})\s*%\}}", rf"<%=?\s*({NAME})\s*%>", rf"#\{{({NAME})\}}", rf"\$\{{({NAME})\}}",
     rf"%\(({NAME})\)s", rf"\[\[({NAME})\]\]", rf"\(\(\(({NAME})\)\)\)", rf"@@({NAME})@@", rf"\[(?:TODO|TBD|FIXME):? ({NAME})\]", rf"<INSERT ({NAME})>",
@@ -38,12 +38,12 @@ SURE_SLOTS = (
 SURE_BEGINS = ("{{", "{%", "<%", "#{", "${", "%(", "[[", "(((", "@@", "[", "<INSERT ", "&lt;", "[INSERT ")  # of the delimiters above, in their order
 OPEN_BEGINS = ("<", "{", "[", "__", "$", "%", "«")  # of the delimiters below
 # Delimiters that ordinary text has too.
+OPEN_SLOTS = (rf"<({NAME})>", rf"\{{({NAME})\}}", rf"\[({NAME})\](?![(\[:])", rf"\b__({NAME})__\b", rf"\$({NAME})\$", rf"%({NAME})%", rf"«({NAME})»")
 # Names that placeholders usually have.
 USUAL = (
     "your name", "your company", "your email", "your title", "your text here", "first name", "last name", "full name", "company name", "project name", "insert name", "insert date", "insert text", "insert title", "name here", "date here", "text here", "title here",
     "ihr name", "ihre firma", "vorname", "nachname", "firmenname", "projektname", "votre nom", "nom du projet", "prénom", "su nombre", "tu nombre", "nombre del proyecto", "apellido", "نام شما", "نام پروژه", "نام خانوادگی",
 )
-OPEN_SLOTS = (rf"<({NAME})>", rf"\{{({NAME})\}}", rf"\[({NAME})\](?![(\[:])", rf"\b__({NAME})__\b", rf"\$({NAME})\$", rf"%({NAME})%", rf"«({NAME})»")
 
 # Words of filler text after the classic one.
 LOREM = (
@@ -80,7 +80,7 @@ SCRIPTS = (
     r"\bnoscript\b", r"\b(enable|allow|turn on|switch on|activate|without|requires?|needs?|support(s|ing)?|run) (java)?script(s|ing)?\b", r"\b(java)?script(s|ing)? (is|are|must be|has to be|to be)? ?(switched off|disabled|turned off|required|needed|enabled|blocked)\b", r"\bjavascript\b.{0,60}$",
     r"\brequires? (java)?scripts?\b", r"\bbrowser does not (run|support)\b", r"\bskripte?n?\b.{0,40}\b(ein|aktiv\w*|erlauben|zulassen|sehen|benötigt|erforderlich)\b", r"\b(aktivier|erlaub|schalte)\w*\b.{0,30}\bskript", r"\b(activ|autoris|permit|habilit)\w*\b.{0,30}\bscripts?\b", r"جاوااسکریپت|جاوا اسکریپت|اسکریپت‌?(ها)?",
 )
-MOST_WORDS = 30  # of a message that a cue of an error or notice decides; longer ones say more than that
+MOST_WORDS = 30  # that one cue speaks for; a longer message must have one for each of as many words
 PLAIN = r"[#*_>|~=\[\]()<>]+|^\s*(?:[-+•]|\d+[.)])\s+|&\w+;"
 
 
@@ -95,13 +95,13 @@ def _whole(pattern: str) -> bool:
     return "|" not in re.sub(r"\\.|\[[^\]]*\]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", "", pattern)
 
 
-def _any(column: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether one of the patterns is in a message in lower case; what many begin with, a word or the message, is looked for once."""
+def _cues(patterns: tuple[str, ...]) -> str:
+    """One pattern for many; what many begin with, a word or the message, is looked for once."""
     groups: dict[str, list[str]] = {}
     for p in patterns:
         begin = next((x for x in (r"\b", "^") if p.startswith(x) and _whole(p)), "")
         groups.setdefault(begin, []).append(p[len(begin) :])
-    return column.rlike("(?U)" + "|".join(f"{begin}(?:{'|'.join(f'(?:{p})' for p in found)})" for begin, found in groups.items()))
+    return "(?U)" + "|".join(f"{begin}(?:{'|'.join(f'(?:{p})' for p in found)})" for begin, found in groups.items())
 
 
 def _names(delimiters: tuple[str, ...]) -> Column:
@@ -204,13 +204,18 @@ def verdict(template: Column) -> Column:
     lorem = F.size(F.filter(tokens, lambda t: t.isin(LOREM)))
     mashed = (n >= 3) & ~common & (F.size(letters) <= 5) & ~template.rlike(r"[#`‹*]") & (F.size(letters) > 1)
     same_letters = (n >= 2) & F.forall(tokens, lambda t: t.rlike(r"^(\p{L})\1{2,}$"))
-    short = n <= MOST_WORDS
+
+    def said(patterns: tuple[str, ...]) -> Column:
+        """Whether cues speak for all of a message in lower case."""
+        cues = _cues(patterns)
+        return template.rlike(cues) & F.when(n <= MOST_WORDS, True).otherwise(n <= MOST_WORDS * F.regexp_count(template, F.lit(cues)))
+
     return (
         F.when((n >= 3) & (lorem >= 0.7 * n), "filler")
         .when(mashed | same_letters, "filler")
-        .when(short & _any(template, SCRIPTS), "script")
-        .when(short & _any(template, FILLER), "filler")
-        .when(short & _any(template, ERRORS), "error")
+        .when(said(SCRIPTS), "script")
+        .when(said(FILLER), "filler")
+        .when(said(ERRORS), "error")
         .when((n <= 4) & ~template.rlike(r"[.!?؟`‹]$"), "furniture")
     )
 

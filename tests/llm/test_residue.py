@@ -66,3 +66,11 @@ def test_templates_keep_what_all_messages_have(spark):
     news = [(4, "our new service is a not found"), (5, "our new service is zone not found"), (6, "our new service is better for harbours")]
     got = residue.not_content(spark.createDataFrame(news, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.kind) for r in got} == {(4, "error"), (5, "error")}
+
+
+def test_long_messages_need_a_cue_for_every_thirty_words(spark):
+    page = "<html><head><title>404 Not Found</title></head><body class='a b'>" + " the page you requested was not found and we could not load it so please try again later" * 6 + "</body></html>"
+    detail = '{"error": {"code": 503, "detail": "' + "the service is unavailable since the server did not respond within the time that was set " * 3 + '"}}'
+    report = "we read in the notes of spring that the job had timed out once, " + "and then we wrote down what each of the tables held before it ran again " * 6
+    df = spark.createDataFrame([(1, page), (2, detail), (3, report), (4, "Dear {{" + "the whole name of the person " * 4 + "}}, all is well."), (5, f'They wrote "{"404 not found " * 30}" on it.\n{CONTENT}')], "doc_id long, text string")
+    assert {(r.doc_id, r.kind) for r in residue.not_content(df).collect()} == {(1, "error"), (2, "error"), (4, "placeholder")}
