@@ -170,6 +170,8 @@ _PADDED = "prefix || '-' || case when length(({0})::varchar) < 3 then lpad(({0})
 _JOINERS = "length({0}) - length(replace({0}, '‌', ''))"
 _SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\p{Z}]"
 _T = "coalesce(text, '')"
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ANY_LINE = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 SQL = {
     "manifest": _MANIFEST.format("true"),
@@ -206,6 +208,18 @@ select id, coalesce(nullif(regexp_extract(heading, '([0-9]{4}-[0-9]{2}-[0-9]{2})
     "joiner_losses": f"""with b as (select repo, path, sum({_JOINERS.format('chunk')})::bigint as joiners_before from session_chunks group by 1, 2),
 a as (select repo, path, sum({_JOINERS.format("regexp_replace(regexp_replace(chunk, '‌([ .،])', '" + chr(92) + "1', 'g'), 'ه‌', 'ه', 'g')")})::bigint as joiners_after from session_chunks group by 1, 2)
 select repo, path, joiners_before, joiners_after from b join a using (repo, path) where joiners_after < joiners_before""",
+    "chunk_markdown": rf"""with recursive t as (select doc_id, regexp_split_to_array(text, '{_ANY_LINE}') as a from documents where text <> ''),
+l as (select * from (select doc_id, unnest(a) as line, generate_subscripts(a, 1) - 1 as i, len(a) as n from t) where i < n - 1 or line <> ''),
+m as (select *, regexp_matches(line, '^{_WHITE}*```') as mark, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as before, not regexp_matches(line, '[^{_WHITE[1:-1]}]') as blank from l),
+h as (select *, not mark and sum(mark::int) over (partition by doc_id order by i) % 2 = 0 and regexp_matches(line, '^#+ ') as head from m),
+s as (select *, sum(head::int) over (partition by doc_id order by i) as sec from h),
+e as (select doc_id, sec, min(i) as first, max(i) + 1 as last, coalesce(max(regexp_replace(line, '^{_WHITE}+|{_WHITE}+$', '', 'g')) filter (head), '') as heading from s group by 1, 2),
+b as (select doc_id, sec, i, before from s where blank),
+j as (select s.doc_id, s.sec, s.i, b.i as cut from s asof left join b on s.doc_id = b.doc_id and s.sec = b.sec and s.before + 904 <= b.before),
+p as (select doc_id, sec, first as i from e union all select p.doc_id, p.sec, j.cut + 1 from p join j on j.doc_id = p.doc_id and j.sec = p.sec and j.i = p.i join e on e.doc_id = p.doc_id and e.sec = p.sec where j.cut + 1 < e.last),
+c as (select p.doc_id, p.i, heading, case when p.i = first then p.i + 1 else p.i end as start_line, regexp_replace(array_to_string(a[p.i + 1:coalesce(j.cut, last)], chr(10)), '^{_WHITE}+|{_WHITE}+$', '', 'g') as chunk
+  from p join j on j.doc_id = p.doc_id and j.sec = p.sec and j.i = p.i join e on e.doc_id = p.doc_id and e.sec = p.sec join t on t.doc_id = p.doc_id)
+select doc_id, (row_number() over (partition by doc_id order by i))::int as chunk_no, heading, start_line::int as start_line, chunk from c where chunk <> heading and regexp_matches(chunk, '[\p{{L}}\p{{N}}]')""",
     "section_lines": rf"""with l as (select id, unnest({_LINES.format('chunk')}) as line, generate_subscripts({_LINES.format('chunk')}, 1)::bigint as line_no from rules_chunks where chunk is not null),
 f as (select *, regexp_matches(line, '^[ \t]*```') as fence, sum(regexp_matches(line, '^[ \t]*```')::int) over (partition by id order by line_no) % 2 = 1 as fenced from l)
 select id, line_no, line, last_value(case when regexp_matches(line, '^#+ ') then trim(line, ' ') end ignore nulls) over (partition by id order by line_no) as heading from f where not fenced and not fence""",
