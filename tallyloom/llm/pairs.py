@@ -20,7 +20,7 @@ from tallyloom.plans.lineage import stored
 
 
 SHINGLE = 3
-LIKE = 0.15  # least share of the response's shingles that the prompt has, for the two to be aligned; low enough for every fifth word to differ
+LIKE = 0.15  # least share of the response's shingles that the prompt has, for the two to be aligned; with less, their words must be nearly the same
 COPIED = 0.8  # least share of response words in their common subsequence
 GIVEN_BACK = 0.6  # least share of the prompt's words in the common subsequence
 ALIGNED = 0.8  # least share of a template's words that a sentence has in order
@@ -136,8 +136,8 @@ def is_copy(prompt: str, response: str) -> bool:
     a, b = plain_words(prompt), plain_words(response)
     if a == b or not a or not b:
         return bool(a) and a == b
-    if len(b) < 3 or containment(a, b) < LIKE:
-        return False
+    if containment(a, b) < LIKE and (Counter(a * max(1, round(len(b) / len(a)))) & Counter(b)).total() < COPIED * len(b):
+        return False  # fewer words in common than a common subsequence must have
     shared = common_length(a, b)
     times = max(1, round(len(b) / len(a)))
     if times > 1:

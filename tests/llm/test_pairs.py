@@ -15,7 +15,7 @@ CASES = {
     "r4": (WHY, "I can't reproduce the error with this model, so look at the input first. The job reads an empty table.", None), "r5": (WHY, "I'm sorry, but I can't help with that. The job reads the table before it is there.", None),
     "r6": (None, "I must decline to work on the price table.", "refusal"),
     "r7": (WHY, "I'm sorry, but I can't help with the price table of the small team and with all that was written about it in the long report on the nightly job and its many failures of the past spring and summer.", "refusal"),
-    "c8": (WHY, " ".join(w for i, w in enumerate(WHY.split(), 1) if i % 5), "copied"), "c9": ("Harbour?", "harbour", "copied"), "c10": ("Which town? Answer in one word.", "Harbour", None),
+    "c8": (WHY, " ".join(w for i, w in enumerate(WHY.split(), 1) if i % 5), "copied"), "c11": (WHY, " ".join(w for i, w in enumerate(WHY.split()) if i % 5 not in (2, 4)), "copied"), "c12": ("Restart the harbour?", "the harbour", "copied"), "c9": ("Harbour?", "harbour", "copied"), "c10": ("Which town? Answer in one word.", "Harbour", None),
     # language
     "l5": (WHY, "Il processo notturno legge la tabella dei prezzi prima che sia pronta e quindi si ferma subito senza scrivere nulla.", "wrong_language"),
     "l6": (WHY, "Het nachtelijke proces leest de prijstabel voordat deze klaar is en stopt dan meteen zonder iets te schrijven.", "wrong_language"),
