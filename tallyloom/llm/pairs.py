@@ -246,10 +246,22 @@ def is_empty(response: Column) -> Column:
 
 CUT_NOTE = r"(?iU)(?:\[[^\]\n]*\b(?:closed|cut|interrupted|truncated|reached|aborted|lost|ended|stopped|limit)\b[^\]\n]*\]|<(?:max_tokens|eos|cut|truncated|length)>|\bfinish_reason\W+(?:length|max_tokens))$"
 ITEM = r"^([-*+•]|\d+[.)])\s+"
+# Words for numbers from two on, and what a list is announced to have.
+NUMBERS = ("two|zwei|deux|dos|دو", "three|drei|trois|tres|سه", "four|vier|quatre|cuatro|چهار", "five|fünf|cinq|cinco|پنج", "six|sechs|seis|شش", "seven|sieben|sept|siete|هفت", "eight|acht|huit|ocho|هشت", "nine|neun|neuf|nueve|نه", "ten|zehn|dix|diez|ده")
+PARTS = "steps|points|things|reasons|items|parts|risks|changes|schritte|punkte|dinge|gründe|teile|risiken|änderungen|étapes|points|choses|raisons|parties|risques|changements|pasos|puntos|cosas|razones|partes|riesgos|cambios|گام|مرحله|قدم|نکته|دلیل|بخش|مورد"
+ANNOUNCED = rf"(?iU)\b({'|'.join(NUMBERS)}|\d{{1,2}})\s+(?:\p{{L}}+\s+)?(?:{PARTS})\b[^.!?؟\n]*[.:]?\s*\n\s*(?:[-*+•]|\d+[.)])\s"
+
+
+def is_short_of_items(text: Column) -> Column:
+    """Whether a list has fewer items than the line before it announces."""
+    by_word = F.create_map(*(F.lit(x) for n, words in enumerate(NUMBERS, 2) for word in words.split("|") for x in (word, n)))
+    announced = F.lower(F.regexp_extract(text, ANNOUNCED, 1))
+    n = F.coalesce(announced.try_cast("int"), F.try_element_at(by_word, announced))
+    return text.rlike(ANNOUNCED) & (F.regexp_count(text, F.lit(r"(?mU)^\s*(?:[-*+•]|\d+[.)])\s")) < F.coalesce(n, F.lit(0)))
 
 
 def is_truncated(response: Column) -> Column:
-    """Open fences and brackets, a broken table row or list item, a sentence without its end, or a note of the cut.
+    """Open fences and brackets, a broken table row or list item, a list short of what was announced, a sentence without its end, or a note of the cut.
 
     A last line that is a path, a name, a label with its value or an item of a list of phrases needs no full stop.
     """
@@ -258,7 +270,7 @@ def is_truncated(response: Column) -> Column:
     def whole(text: Column) -> Column:
         last = F.trim(F.element_at(F.split(text, r"\r\n|\n|\r"), -1))
         return (
-            F.when(text.rlike(CUT_NOTE) | (count(text, r"(?m)^\s*(```|~~~)") % 2 == 1), True)
+            F.when(text.rlike(CUT_NOTE) | is_short_of_items(text) | (count(text, r"(?m)^\s*(```|~~~)") % 2 == 1), True)
             .when(text.rlike(r"(```|~~~)[\"*_)”]*$"), False)
             .when(text.rlike(r"^\s*[\[{]\s*[\"{\[\d]"), unbalanced(text))
             .otherwise(bind(last, lambda line: of_line(text, line)))

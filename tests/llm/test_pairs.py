@@ -24,6 +24,8 @@ CASES = {
     "l1": (WHY, "Der Lauf liest die Tabelle, bevor sie da ist, und wird dann nicht mehr gestartet.", "wrong_language"), "l2": ("Translate into German: " + WHY, "Der Lauf liest die Tabelle, bevor sie da ist, und wird dann nicht mehr gestartet.", None),
     "l3": (WHY, "```bash\ncd etl && ./run.sh\n```", None), "l4": (WHY, "اگر پرونده نباشد وضعیت کهنه شمرده می‌شود.", "wrong_language"),
     # truncation
+    "t11": (WHY, "There are three steps.\n\n1. Stop the job.\n2. Fill the table.", "truncated"), "t12": (WHY, "There are three steps.\n\n1. Stop the job.\n2. Fill the table.\n3. Start the job.", None),
+    "t13": (WHY.replace("Why", "Warum"), "The 4 main points:\n- Stop the job now.\n- Fill the table again.", "truncated"), "t14": (WHY, "The job ran three times.\n\n1. Stop the job.\n2. Fill the table.", None),
     "t1": (WHY, "The job reads the table before it is there. The next step is to", "truncated"), "t2": (WHY, "Like this:\n\n```python\nfor x in y:", "truncated"), "t3": (WHY, '[{"a": 1}, {"a": ', "truncated"),
     "t4": (WHY, "The steps are:\n1. Stop the job now.\n2. **`run`** –", "truncated"), "t5": (WHY, "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | ", "truncated"), "t6": (WHY, "The job is late. The next [stream closed after 10 ms]", "truncated"),
     "t7": (WHY, "These are at fault.\n\n- the price table\n- the nightly job", None), "t8": (WHY, "It is in this file.\n\netl/run_job.py", None), "t9": (WHY + " Answer yes or no.", "Yes", None), "t10": (WHY, "| a | b |\n|---|---|\n| 1 | 2 |", None),
